@@ -81,9 +81,9 @@ def _longest(auto: Automaton, data: bytes, at: int, stop: int, way: int) -> int:
     return best
 
 
-def find_spans(texts: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, str]]]:
+def find_spans(texts: list[bytes], rules: tuple[Rule, ...] = RULES, automata=None) -> list[list[tuple[int, int, str]]]:
     """For each text its (start, end, kind), in byte offsets, by start, then by the rules' order."""
-    union, forward, backward, tails = _compiled(rules)
+    union, forward, backward, tails = automata or _compiled(rules)
     block = Block(texts, sep=0xFF)  # no text has this byte, so no match crosses it
     hits = scan(union, block.data)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -123,9 +123,11 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans: an array of (start, end, kind, secret) for each row."""
 
+    automata = _compiled(rules)  # once, on the driver; the arrays go to the executors
+
     def score(texts: list[bytes]) -> dict:
         out = []
-        for text, spans in zip(texts, find_spans(texts, rules), strict=True):
+        for text, spans in zip(texts, find_spans(texts, rules, automata), strict=True):
             points = code_points(text, spans)
             out.append([{"start": s, "end": e, "kind": k, "secret": text[a:b].decode()} for (a, b, k), (s, e, _) in zip(spans, points, strict=True)])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("secret", pa.string())]))
