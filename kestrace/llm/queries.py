@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .langid import identify
 from .mixing import mix
+from .pii import personal_digest
 from .secrets import secret_digest
 
 
@@ -27,8 +29,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup]
+    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op9_language_id]
     return {f.__name__: f for f in found}
 
 
