@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
-from .text import blocks, fresh, id_text
+from .shared import keep_rows, materialise
+from .text import blocks, id_text
 
 FINGERPRINT_BITS = 40
 #: Rows that a partition holds before it sends its messages.
@@ -152,13 +152,5 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """docs, all its columns, without the rows that exact_groups does not keep."""
-    key, sha = fresh(docs, "dropped_id"), fresh(docs, "text_key")
-    groups = materialise(exact_groups(docs).where("group_size > 1"))
-    same_row = F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(f"{sha}_"))
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS // 4 else dropped
-    hashed = docs.withColumn(sha, F.sha2(normalised(F.col("text").cast("string")).cast("binary"), 256))
-    kept = hashed.join(dropped, (F.col(sha) == F.col(f"{sha}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
-    if groups.where(same_row).limit(1).count():  # rows repeated with their doc_id
-        kept = kept.dropDuplicates([sha])
-    return kept.select(*docs.columns)
+    decided = exact_groups(docs).where("group_size > 1").select("doc_id", F.unhex("text_sha256").alias("key"), "kept")
+    return keep_rows(docs, decided, lambda text: F.unhex(F.sha2(normalised(text).cast("binary"), 256)))

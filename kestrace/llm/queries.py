@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_groups
 from .langid import identify
 from .mixing import mix
+from .near_dedup import near_classes
 from .pii import personal_digest
 from .secrets import secret_digest
 
@@ -37,8 +38,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op9_language_id]
+    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op9_language_id, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .text import fresh
 
 _own: dict[str, str] = {}
 
@@ -52,4 +56,23 @@ def forget(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
-__all__ = ["forget", "materialise", "shared_folder"]
+#: Dropped rows are broadcast up to this many (about 40 bytes each), else joined by a shuffle.
+BROADCAST_DROPPED = 250_000
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, text_key: Callable[[Column], Column]) -> DataFrame:
+    """docs, all its columns, without the rows that decided (doc_id, key, kept) does not keep.
+
+    A row is told by its doc_id and text_key(text). Of rows repeated with both, one stays
+    when one is kept.
+    """
+    one, two = fresh(docs, "dropped_id"), fresh(docs, "text_key")
+    decided = materialise(decided.groupBy("doc_id", "key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    dropped = decided.where(~F.col("kept")).select(F.col("doc_id").alias(one), F.col("key").alias(f"{two}_"))
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_DROPPED else dropped
+    hashed = docs.withColumn(two, text_key(F.col("text").cast("string")))
+    kept = hashed.join(dropped, (F.col(two) == F.col(f"{two}_")) & F.col("doc_id").cast("long").eqNullSafe(F.col(one)), "left_anti")
+    if decided.where("kept and n > 1").limit(1).count():
+        number = fresh(docs, "doc_number")
+        kept = kept.withColumn(number, F.col("doc_id").cast("long")).dropDuplicates([number, two])
+    return kept.select(*docs.columns)
