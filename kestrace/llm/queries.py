@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
 from .langid import identify
+from .lm import language_scores
 from .mixing import mix
 from .near_dedup import near_classes
 from .pii import personal_digest
@@ -34,6 +35,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op9_language_id, op10_near_dedup]
+    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op8_lm_scoring, op9_language_id, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
