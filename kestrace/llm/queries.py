@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import contaminated
 from .exact_dedup import exact_groups
 from .langid import identify
 from .lm import language_scores
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "lcs", "answer", "cosine", "start_word", "end_word")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
@@ -48,7 +54,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op8_lm_scoring, op9_language_id, op10_near_dedup]
+    found = [op3_decontamination, op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op8_lm_scoring, op9_language_id, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
