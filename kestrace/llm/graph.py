@@ -37,3 +37,21 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Pairs of one representative that share a copy of its text.
+PAIRS_A_COPY = 256
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with text_a and text_b from texts (node, text), one row for each node.
+
+    A node that many pairs name as b gets a copy for every PAIRS_A_COPY of them, so that
+    no task receives all pairs of one representative.
+    """
+    load = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / PAIRS_A_COPY).cast("int").alias("copies"))
+    load = materialise(load)
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(load, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(pairs.join(load, "b"), "a")
+    left = left.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
+    return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b")

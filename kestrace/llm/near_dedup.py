@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, with_texts
 from .shared import keep_rows, materialise
 from .text import LOWER, Block, blocks, id_text, mix64, prefix_hash, seeds, shingles, span_hash
 
@@ -39,8 +39,6 @@ SKETCHES = 16
 LENGTH = 3
 #: Up to so many keys (16 bytes each) go to every executor, more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
-#: Pairs of one representative that share a copy of its text.
-PAIRS_A_COPY = 256
 
 
 def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +176,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float)
     # Copies of a text carry one key; the first will do.
     texts = rows.select(text_key(F.col("text")).alias("key"), "text").join(few, "key").groupBy("node").agg(F.first("text").alias("text"))
     texts = materialise(texts)
-    load = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.ceil(F.col("n") / PAIRS_A_COPY).cast("int").alias("copies"))
-    load = materialise(load)
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(load, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(pairs.join(load, "b"), "a")
-    left = left.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
-    both = left.join(right, ["b", "copy"])
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long")
+    return with_texts(pairs, texts).mapInArrow(_verify(least), "a long, b long")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import contaminated
 from .exact_dedup import exact_groups
 from .langid import identify
+from .line_dedup import line_classes
 from .lm import language_scores
 from .mixing import mix
 from .near_dedup import near_classes
 from .pii import personal_digest
+from .quality import graded
 from .secrets import secret_digest
 
 
@@ -20,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "lcs", "answer", "cosine", "start_word", "end_word")
@@ -54,7 +64,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_decontamination, op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op8_lm_scoring, op9_language_id, op10_near_dedup]
+    found = [op1_line_dedup, op2_quality_grade, op3_decontamination, op4_source_mixing, op5_secret_scan, op6_exact_dedup, op7_personal_data, op8_lm_scoring, op9_language_id, op10_near_dedup]
     return {f.__name__: f for f in found}
 
 
