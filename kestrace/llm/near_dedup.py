@@ -10,9 +10,9 @@ k-mers aligned in order, the similarity is L / (n + m - L), and the band is as w
 that similarity allows, so no pair at or over the threshold is lost to it.
 
 Equal texts are one node. Within a bucket every node is paired with one member (a star),
-then nodes still apart are paired again in finer buckets (two agreeing sketches), with
-other members; so pairs grow with the rows, never with the square of a group. Classes are
-connected components of the verified pairs.
+then nodes still apart are paired with several other members; so pairs grow with the
+rows, never with the square of a group. Classes are connected components of the verified
+pairs.
 
 Defined results: words are lower-cased for A-Z; a text of one to four words is one k-mer;
 texts without words equal only identical texts; null text counts as empty. class_id is
@@ -37,6 +37,10 @@ SIMILARITY = 0.8
 SKETCHES = 16
 #: k-mers of a sketch.
 LENGTH = 3
+#: Bands of the first round, and rounds and drawn members for what is then still apart.
+FIRST_BANDS = 4
+ROUNDS = 2
+DRAWS = 4
 #: Up to so many keys (16 bytes each) go to every executor, more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -186,36 +190,33 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     read = materialise(sketched.withColumn("row", F.monotonically_increasing_id()))
     firsts = materialise(read.groupBy("key").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies")))
     nodes = read.where("some").join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    bands = materialise(nodes.select("node", "key", F.posexplode("bands").alias("band", "bucket")))
-    buckets = materialise(bands.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b"))
-    star = materialise(bands.join(buckets, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    names = bands.where("band = 0").select("node", "key")
-
-    # First each node with its lowest representative, then those that are still apart.
-    edges = materialise(_verified(rows, names, star.groupBy("a").agg(F.min("b").alias("b")), least))
-    label = materialise(components(edges))
+    nodes = materialise(nodes.select("node", "key", "bands"))
+    names = nodes.select("node", "key")
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-        joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return joined.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-
-    tried = star.groupBy("a").agg(F.min("b").alias("b"))
-    more = materialise(_verified(rows, names, apart(star.join(tried, ["a", "b"], "left_anti")), least))
-    edges = edges.unionByName(more)
+    # The first bands join most of each group: every node with its lowest representative there.
+    bands = nodes.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"))
+    buckets = materialise(bands.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b"))
+    star = materialise(bands.join(buckets, "bucket").groupBy("node").agg(F.min("b").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b"))
+    edges = materialise(_verified(rows, names, star, least))
     label = materialise(components(edges))
 
-    # Buckets that hold several classes: again by two agreeing sketches, with other representatives.
-    member = bands.join(buckets.select("bucket"), "bucket", "left_semi").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = materialise(member.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
-    inside = bands.join(mixed, "bucket", "left_semi").select("node", F.col("bucket").alias("one"), F.col("band").alias("at"))
-    fine = inside.join(bands.select("node", "bucket", "band"), "node").where("band <> at").select("node", F.xxhash64("one", "bucket").alias("fine"))
-    fine = materialise(fine.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct())
-    pick = F.min(F.struct(F.xxhash64("node", "fine").alias("h"), "node"))
-    leader = materialise(fine.groupBy("fine").agg(pick.alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("fine", F.col("p.node").alias("b")))
-    again = fine.join(leader, "fine").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    again = apart(again.join(star, ["a", "b"], "left_anti"))
-    label = materialise(components(edges.unionByName(materialise(_verified(rows, names, again, least)))))
+    # Then all bands: in buckets that hold several classes, the nodes outside the lowest
+    # one are paired with its leader and with members drawn in several hash orders.
+    done = star
+    for again in range(ROUNDS):
+        known = nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.explode("bands").alias("bucket"))
+        draws = [F.min(F.struct(F.xxhash64(F.lit(again * DRAWS + d), "node").alias("h"), "node", "class")).alias(f"d{d}") for d in range(DRAWS)]
+        mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by(F.struct(F.lit(0).cast("long").alias("h"), "node", "class"), "class").alias("lead"), *draws)
+        mixed = materialise(mixed.where("low <> high").select("bucket", "low", F.array("lead", *[f"d{d}" for d in range(DRAWS)]).alias("with")))
+        outside = known.join(mixed.withColumnRenamed("bucket", "in"), (F.col("bucket") == F.col("in")) & (F.col("class") != F.col("low")))
+        pairs = outside.select("node", "class", F.explode(F.array_distinct(F.transform("with", lambda x: F.struct(x["node"].alias("b"), x["class"].alias("other"))))).alias("x"))
+        pairs = pairs.where("class <> x.other").select(F.greatest("node", "x.b").alias("a"), F.least("node", "x.b").alias("b")).distinct()
+        pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"))
+        found = materialise(_verified(rows, names, pairs, least))
+        if not found.limit(1).count():
+            break
+        done, edges = done.unionByName(pairs), edges.unionByName(found)
+        label = materialise(components(edges))
 
     of_key = materialise(firsts.join(label, "node", "left").select("key", F.coalesce("component", "node").alias("class")))
     named = materialise(read.select("doc_id", "row", "key").join(of_key, "key"))
