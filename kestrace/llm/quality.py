@@ -6,7 +6,7 @@ grades, with ordered thresholds: P(grade <= k) = sigmoid(threshold[k] - w . x).
 each document an expected grade and the probability of the top grade, which selects.
 
 Features are the distinct runs of letters, digits or other signs, letters in lower case,
-and the shares of capital, digit and sign bytes in steps. The fit uses a bounded sample of
+the first bytes of longer runs, and the shares of capital, digit and sign bytes in steps. The fit uses a bounded sample of
 labelled documents; every whole text is scored.
 
 Defined results: null text counts as empty. Labels with a null grade or id are left out;
@@ -24,15 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LOWER, Block, blocks, per_document, prefix_hash, span_hash
+from .text import LOWER, Block, blocks, mix64, per_document, prefix_hash, span_hash
 
 DIMS = 1 << 18
 GRADES = 3
 #: Labelled documents that the fit uses at most, about.
 SAMPLE = 8000
-EPOCHS = 150
-RIDGE = 2e-4
+FIT_STEPS = 80
+RIDGE = 1e-3
+#: Rows that a feature must be in.
+LEAST = 8
+#: Chi-square that a feature must have against the grades.
+SCREEN = 30.0
 STEPS = 12
+#: Longer runs also count by their first bytes, so that endings don't hide a word.
+STEMS = (4, 6)
 #: Documents are kept from this probability of the top grade on.
 SELECT = 0.5
 
@@ -51,9 +57,13 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[:-1], edge[1:]
     real = kind[start] != 0
     start, end = start[real], end[real]
-    h = span_hash(prefix_hash(LOWER[block.data]), start, end)
-    doc = np.searchsorted(block.end, start)
-    key = doc.astype(np.int64) * DIMS + (h >> np.uint64(46)).astype(np.int64)
+    prefix = prefix_hash(LOWER[block.data])
+    doc = np.searchsorted(block.end, start).astype(np.int64) * DIMS
+    slot = lambda h, kind: (mix64(h + np.uint64(kind)) >> np.uint64(46)).astype(np.int64)
+    keys = [doc + slot(span_hash(prefix, start, end), 1)]
+    for size in STEMS:
+        long = end - start > size
+        keys.append(doc[long] + slot(span_hash(prefix, start[long], start[long] + size), 1 + size))
     # Shares of capitals among letters, of digits and of signs among all, in STEPS steps.
     upper = (block.data >= 65) & (block.data <= 90)
     add = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[np.stack([block.start, block.end])], axis=0)[0]
@@ -61,7 +71,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(len(texts), dtype=np.int64) * DIMS
     shares = [np.sqrt(add(upper) / letters), np.sqrt(add(kind == 2) / size), np.sqrt(add(kind == 3) / size)]
     extra = [at + DIMS - 1 - i * (STEPS + 1) - (s * STEPS).astype(np.int64) for i, s in enumerate(shares)]
-    key = np.unique(np.concatenate([key, *extra]))
+    key = np.unique(np.concatenate([*keys, *extra]))
     return key & (DIMS - 1), np.searchsorted(key, np.append(at, len(texts) * DIMS))
 
 
@@ -82,36 +92,68 @@ def linear(weights: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray
     return total[first[1:]] - total[first[:-1]]
 
 
-def fit_ordinal(at: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int = GRADES, epochs: int = EPOCHS, ridge: float = RIDGE) -> Ordinal:
-    """Maximum likelihood with a ridge penalty, by Adam over all rows; thresholds are a base and positive steps."""
+def fit_ordinal(at: np.ndarray, first: np.ndarray, grade: np.ndarray, grades: int = GRADES, steps: int = FIT_STEPS, ridge: float = RIDGE, least: int = LEAST, screen: float = SCREEN) -> Ordinal:
+    """Maximum likelihood with a ridge penalty, by L-BFGS; thresholds are a base and positive steps."""
     n = len(grade)
     share = np.clip(np.array([(grade <= k).mean() for k in range(grades - 1)]), 0.01, 0.99)
     base = np.log(share / (1 - share))
-    theta = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 0.05))])
     used, place = np.unique(at, return_inverse=True)
     row = np.repeat(np.arange(n), np.diff(first))
-    often = np.bincount(place) >= 3  # features of one or two rows say nothing
-    w = np.zeros(len(used))
-    params, mean, square = [w, theta], [np.zeros_like(w), np.zeros_like(theta)], [np.zeros_like(w), np.zeros_like(theta)]
-    for step in range(1, epochs + 1):
+    # Screened by chi-square against the grades: words of single documents say nothing, and would explain all.
+    seen = np.bincount(place, minlength=len(used))
+    prior = np.bincount(grade, minlength=grades) / n
+    chi = sum((np.bincount(place, grade[row] == k, minlength=len(used)) - seen * q) ** 2 / np.maximum(seen * q, 1e-9) for k, q in enumerate(prior) if q)
+    often = (seen >= least) & (chi >= screen)
+    # Only their occurrences go on.
+    some = often[place]
+    first = np.concatenate([[0], np.cumsum(some)])[first]
+    used, place, row = used[often], (np.cumsum(often) - 1)[place[some]], row[some]
+    d, each = len(used), np.arange(n)
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, theta = x[:d], x[d:]
         cut = np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))])
         z = linear(w, place, first)
         s = 1 / (1 + np.exp(np.clip(z[:, None] - cut[None, :], -40, 40)))  # P(grade <= k)
         full = np.concatenate([np.zeros((n, 1)), s, np.ones((n, 1))], 1)
-        p = np.maximum(full[np.arange(n), grade + 1] - full[np.arange(n), grade], 1e-9)
+        p = np.maximum(full[each, grade + 1] - full[each, grade], 1e-12)
         slope = np.concatenate([np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))], 1)
-        up, down = slope[np.arange(n), grade + 1] / p, slope[np.arange(n), grade] / p
-        dz = (up - down) / n  # of the negative log likelihood
+        up, down = slope[each, grade + 1] / p, slope[each, grade] / p
         dcut = np.array([-up[grade == k].sum() + down[grade == k + 1].sum() for k in range(grades - 1)]) / n
-        gw = np.bincount(place, dz[row], minlength=len(used)) + ridge * w
-        gtheta = np.concatenate([[dcut.sum()], [dcut[k:].sum() * np.exp(theta[k]) for k in range(1, grades - 1)]])
-        gw[~often] = 0
-        for x, g, m, v in zip(params, (gw, gtheta), mean, square, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        gw = np.bincount(place, ((up - down) / n)[row], minlength=d) + ridge * w
+        gtheta = [dcut.sum(), *(dcut[k:].sum() * np.exp(theta[k]) for k in range(1, grades - 1))]
+        return float(-np.log(p).mean() + ridge / 2 * (w @ w)), np.concatenate([gw, gtheta])
+
+    x = np.concatenate([np.zeros(d), base[:1], np.log(np.maximum(np.diff(base), 0.05))])
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, held = g.copy(), []
+        for s, y in reversed(past):
+            a = (s @ q) / (y @ s)
+            q -= a * y
+            held.append(a)
+        if past:
+            q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (s, y), a in zip(past, reversed(held), strict=True):
+            q += s * (a - (y @ q) / (y @ s))
+        size = 1.0 if past else min(1.0, 1.0 / (np.abs(g).sum() + 1e-12))
+        while True:
+            moved = x - size * q
+            f2, g2 = value(moved)
+            if f2 <= f - 1e-4 * size * (g @ q) or size < 1e-10:
+                break
+            size /= 2
+        step, turn = moved - x, g2 - g
+        if step @ turn > 1e-14:
+            past = [*past[-9:], (step, turn)]
+        done = abs(f - f2) < 1e-8
+        x, f, g = moved, f2, g2
+        if done:
+            break
     weights = np.zeros(DIMS, np.float32)
-    weights[used] = w
+    weights[used] = x[:d]
+    theta = x[d:]
     return Ordinal(weights, np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))]))
 
 
