@@ -204,9 +204,14 @@ def mix(docs: DataFrame, members: str | None = None, weights: tuple[float, ...]
     return out.select("doc_id", "pattern", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """docs, all its columns, each row as often as the mix uses it."""
-    key, times = fresh(docs, "mixed_id"), fresh(docs, "times")
+def select_mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix uses, all columns, with repeats and taken.
+
+    A column of docs with one of these names is replaced. Rows that repeat a doc_id share
+    the largest of their repeats.
+    """
+    key, times, words = fresh(docs, "mixed_id"), fresh(docs, "times"), fresh(docs, "words")
     plan = mix(docs).where("repeats > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("repeats").alias(times))
-    out = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(key)))
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    out = docs.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(key))).withColumn(words, word_count(F.col("text").cast("string")))
+    kept = [F.col(c) for c in docs.columns if c.lower() not in ("repeats", "taken")]
+    return out.where(F.col(words) > 0).select(*kept, F.col(times).alias("repeats"), (F.col(words) * F.col(times)).alias("taken"))
