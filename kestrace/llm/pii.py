@@ -148,13 +148,18 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(slots: np.ndarray):
-    """One row for each text: base spans, candidates that patterns extract; and pattern counts of each block."""
+    """One row for each text: base spans, candidates that patterns extract; and the pattern counts of each task."""
     schema = {
         "kind": pa.int32(), "doc_id": pa.int64(), "base": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])),
         "found": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("pattern", pa.int64())])), "pattern": pa.int64(), "n": pa.int64(),
     }
 
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        seen, at = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+        return seen, np.bincount(at, np.concatenate([n for _, n in held]), minlength=len(seen)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the task's pattern counts, at most SLOTS and their namesakes
         for b in batches:
             ids = b.column("doc_id")
             for row, texts in blocks(b):
@@ -175,12 +180,21 @@ def _extract(slots: np.ndarray):
                     s, e = int(before[d][start[t] - block.start[d]]), int(before[d][end[t] - block.start[d]])
                     seed = any(s < z and a < e for a, z, _ in base[d])
                     found[d].append({"start": s, "end": e, "instance": int(h[t : t + 1].view(np.int64)[0]), "seed": seed, "pattern": int(p[w, t : t + 1].view(np.int64)[0])})
-                n, m = len(texts), len(seen)
+                held.append((seen, count))
+                if len(held) >= 64:
+                    held = [counted(held)]
+                n = len(texts)
                 yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array(np.r_[np.zeros(n, np.int32), np.ones(m, np.int32)]), "doc_id": pa.array(ids.slice(row, n).to_pylist() + [None] * m, pa.int64()),
-                    "base": pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in base] + [None] * m, schema["base"]), "found": pa.array(found + [None] * m, schema["found"]),
-                    "pattern": pa.array([None] * n + seen.view(np.int64).tolist(), pa.int64()), "n": pa.array([None] * n + count.tolist(), pa.int64()),
+                    "kind": pa.array(np.zeros(n, np.int32)), "doc_id": ids.slice(row, n), "base": pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in x] for x in base], schema["base"]),
+                    "found": pa.array(found, schema["found"]), "pattern": pa.nulls(n, pa.int64()), "n": pa.nulls(n, pa.int64()),
                 })
+        if held:
+            seen, count = counted(held)
+            m = len(seen)
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array(np.ones(m, np.int32)), "doc_id": pa.nulls(m, pa.int64()), "base": pa.nulls(m, schema["base"]), "found": pa.nulls(m, schema["found"]),
+                "pattern": pa.array(seen.view(np.int64)), "n": pa.array(count),
+            })
 
     return run
 
