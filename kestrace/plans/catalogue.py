@@ -452,11 +452,11 @@ def decide_replay(spark, d):
     return D.replay(_spans(spark, d), _timed_rewards(spark, d)).select("span_id", "method", *_r("score"))
 
 
-@query(f"""WITH {", ".join([*CTE, *_replay])} SELECT sidecar, min(CASE WHEN n >= 10 THEN nth END) AS first_learned, count(*) AS decisions FROM (SELECT *, row_number() OVER (PARTITION BY sidecar ORDER BY seq) AS nth FROM replayed) GROUP BY sidecar""")
+@query(f"""WITH {", ".join([*CTE, *_replay])} SELECT sidecar, coalesce(min(CASE WHEN n >= 10 THEN nth END), -1) AS first_learned, count(*) AS decisions FROM (SELECT *, row_number() OVER (PARTITION BY sidecar ORDER BY seq) AS nth FROM replayed) GROUP BY sidecar""")
 def cold_start_transition(spark, d):
     rows = D.replay_states(X.features(D.first_spans(_spans(spark, d))), _timed_rewards(spark, d))
     numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy("sidecar").orderBy("seq")))
-    return numbered.groupBy("sidecar").agg(F.min(F.when(F.col("n") >= 10, F.col("place"))).cast("long").alias("first_learned"), F.count(F.lit(1)).alias("decisions"))
+    return numbered.groupBy("sidecar").agg(F.coalesce(F.min(F.when(F.col("n") >= 10, F.col("place"))), F.lit(-1)).cast("long").alias("first_learned"), F.count(F.lit(1)).alias("decisions"))
 
 
 @query(f"WITH {', '.join([*CTE, _cold])} SELECT seq, sidecar, substr(trace_id, 1, 16) AS trace_id, arm_index, packed_key, method, sampled FROM cold ORDER BY seq DESC LIMIT 50")

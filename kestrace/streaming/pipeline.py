@@ -27,6 +27,9 @@ CELLS = "sidecar string, row int, col int, cnt long, epoch long"
 VERDICT = "sidecar string, trace_id string, span_id string, seq long, sampled boolean, first boolean, method string, score double, packed_key long"
 
 
+VERDICT_COLUMNS = [c.split()[0] for c in VERDICT.split(", ")]
+
+
 def scored_spans(spans: DataFrame, state: DataFrame, cells: DataFrame, config: EngineConfig) -> DataFrame:
     """Every span with the verdict that it would give as its trace's first, against one state."""
     rows = X.estimate(X.features(spans), cells).withColumn("novelty", S.novelty(F.col("estimate")))
@@ -46,18 +49,21 @@ def _first_wins(ttl_ms: int):
         verdict = state.get[0] if known else bool(rows["sampled"].iloc[0])
         if not known:
             state.update((verdict,))
-        state.setTimeoutDuration(ttl_ms)
+        latest = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + ttl_ms)
         first = [not known and i == 0 for i in range(len(rows))]
-        yield rows.assign(sampled=verdict, first=first)
+        yield rows.assign(sampled=verdict, first=first)[VERDICT_COLUMNS]
 
     return step
 
 
-def verdict_stream(scored: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
-    """One verdict for all spans of a trace at a sidecar, kept for ttl after its last span."""
-    names = [c.split()[0] for c in VERDICT.split(", ")]
-    rows = scored.withColumn("first", F.lit(False)).select(*names)
-    return rows.groupBy("sidecar", "trace_id").applyInPandasWithState(_first_wins(ttl_ms), VERDICT, "verdict boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def verdict_stream(scored: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+    """One verdict for all spans of a trace at a sidecar, kept in event time for ttl after its last span.
+
+    scored has ts with a watermark.
+    """
+    rows = scored.withColumn("first", F.lit(False)).select(*VERDICT_COLUMNS, "ts")
+    return rows.groupBy("sidecar", "trace_id").applyInPandasWithState(_first_wins(ttl_ms), VERDICT, "verdict boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def renest(spans: DataFrame) -> DataFrame:
