@@ -41,12 +41,12 @@ def seeds(n: int, seed: int) -> np.ndarray:
 
 
 _BYTE = seeds(256, 11)
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
+P = 0x9E3779B97F4A7C15 | 1
+P_INV = pow(P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         x = np.full(max(n, BLOCK_BYTES + 4096), base, np.uint64)
@@ -81,13 +81,13 @@ class Block:
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_P, len(data)), out=out[1:])
+    np.cumsum(_BYTE[data] * power(P, len(data)), out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of data[start:end], the same wherever the bytes stand."""
-    return mix64((prefix[end] - prefix[start]) * _power(_P_INV, len(prefix))[start])
+    return mix64((prefix[end] - prefix[start]) * power(P_INV, len(prefix))[start])
 
 
 def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
