@@ -24,48 +24,49 @@ from .automaton import Automaton, compile_rules, scan
 from .text import Block, per_document
 
 # The rules of the contract, then those added.
-ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_HEAD = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+ASSIGN_VALUE = r"[A-Za-z0-9+/_.=-]+"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: what matches; fold: letters in either case.
+    """head and tail: what matches, one after the other; fold: letters in either case.
 
-    tail and least: the longest run of these bytes that ends a match has so many at least.
+    least: bytes that what follows the longest head must have.
     """
 
     kind: str
-    pattern: str
+    head: str
+    tail: str
     fold: bool = False
-    tail: bytes = b""
-    least: int = 0
+    least: int = 1
+
+    @property
+    def pattern(self) -> str:
+        return self.head + self.tail
 
 
-_WORD = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 RULES = (
-    Rule("assign", ASSIGN, True, _WORD + b"+/_.=-", 8),
-    Rule("access", ACCESS, False, _WORD[:26] + _WORD[52:], 16),
-    Rule("hex", HEX),
-    Rule("key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]+", False, _WORD, 30),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", False, _WORD + b"-", 10),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("bearer", r"bearer [A-Za-z0-9._~+/=-]+", True, _WORD + b"._~+/=-", 20),
+    Rule("assign", ASSIGN_HEAD, ASSIGN_VALUE, True, 8),
+    Rule("access", "", ACCESS, False, 16),
+    Rule("hex", "", HEX),
+    Rule("key", "", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_", r"[A-Za-z0-9]+", False, 30),
+    Rule("slack", r"xox[abprs]-", r"[A-Za-z0-9-]+", False, 10),
+    Rule("jwt", "", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("bearer", r"bearer ", r"[A-Za-z0-9._~+/=-]+", True, 20),
 )
 BASE = ("assign", "access", "hex")
 
 
 @cache
-def _compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[Automaton], list[Automaton], list[np.ndarray]]:
+def _compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[Automaton], list[Automaton], list[Automaton | None]]:
+    """For all rules together, and for each one forwards, backwards, and its head."""
     pairs = [(r.pattern, r.fold) for r in rules]
-    tails = []
-    for r in rules:
-        tail = np.zeros(256, bool)
-        tail[list(r.tail)] = True
-        tails.append(tail)
-    return compile_rules(pairs, True), [compile_rules([p], False) for p in pairs], [compile_rules([p], False, True) for p in pairs], tails
+    heads = [compile_rules([(r.head, r.fold)], False) if r.head else None for r in rules]
+    return compile_rules(pairs, True), [compile_rules([p], False) for p in pairs], [compile_rules([p], False, True) for p in pairs], heads
 
 
 def _longest(auto: Automaton, data: bytes, at: int, stop: int, way: int) -> int:
@@ -83,7 +84,7 @@ def _longest(auto: Automaton, data: bytes, at: int, stop: int, way: int) -> int:
 
 def find_spans(texts: list[bytes], rules: tuple[Rule, ...] = RULES, automata=None) -> list[list[tuple[int, int, str]]]:
     """For each text its (start, end, kind), in byte offsets, by start, then by the rules' order."""
-    union, forward, backward, tails = automata or _compiled(rules)
+    union, forward, backward, heads = automata or _compiled(rules)
     block = Block(texts, sep=0xFF)  # no text has this byte, so no match crosses it
     hits = scan(union, block.data)
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -101,10 +102,9 @@ def find_spans(texts: list[bytes], rules: tuple[Rule, ...] = RULES, automata=Non
             if start < 0:
                 continue
             last = _longest(forward[r], block.data, start, int(block.end[doc]), 1)
-            if rule.least:
-                body = tails[r][block.data[start:last]][::-1]
-                if (len(body) if body.all() else int(np.argmin(body))) < rule.least:
-                    continue
+            body = _longest(heads[r], block.data, start, last, 1) if heads[r] else start
+            if last - body < rule.least:
+                continue
             found[doc].append((start - int(block.start[doc]), last - int(block.start[doc]), r))
     return [[(s, e, rules[r].kind) for s, e, r in sorted(x, key=lambda y: (y[0], y[2]))] for x in found]
 
