@@ -41,6 +41,9 @@ SHARED = 20
 HELD = 2_000_000
 BROADCAST_NODES = 1_000_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Slots of the filter of wanted lines; an exact join follows it.
+SLOTS = 1 << 20
+_CODE = mix64(np.arange(1 << 14, dtype=np.uint64) + np.uint64(77))
 
 
 class Lines:
@@ -49,39 +52,48 @@ class Lines:
     def __init__(self, texts: list[bytes]):
         joined = b"\n".join(texts) + b"\n"
         code = np.frombuffer(joined.decode(errors="replace").encode("utf-32-le"), np.uint32)
-        self.code = np.where((code >= 65) & (code <= 90), code + 32, code)
         stop = np.flatnonzero(code == 10)
         begin = np.concatenate([[0], stop[:-1] + 1])
         breaks = np.array([t.count(b"\n") + 1 for t in texts])
+        ink = code > 32
+        ink |= (code < 9) | ((code > 13) & (code < 32))
+        real = np.logical_or.reduceat(ink, begin)
         doc = np.repeat(np.arange(len(texts)), breaks)
         number = np.arange(len(stop)) - np.repeat(np.cumsum(breaks) - breaks, breaks)
-        ink = np.concatenate([[0], np.cumsum((code != 32) & ((code < 9) | (code > 13)))])
-        real = ink[stop] > ink[begin]
         self.start, self.end, self.doc, self.number = begin[real], stop[real], doc[real], number[real]
-        total = np.zeros(len(code) + 1, np.uint64)
-        np.cumsum(mix64(self.code.astype(np.uint64) + np.uint64(77)) * power(P, len(code)), out=total[1:])
-        inverse = power(P_INV, len(code) + 1)
-        self.node = (mix64((total[self.end] - total[self.start]) * inverse[self.start]) >> np.uint64(1)).astype(np.int64)
+        self.code = code + ((code - np.uint32(65)) < 26) * np.uint32(32)
+        # One prefix sum gives the hash of any run of characters.
+        self.total = np.zeros(len(code) + 1, np.uint64)
+        value = _CODE[np.minimum(self.code, len(_CODE) - 1)]
+        if (rare := np.flatnonzero(self.code >= len(_CODE) - 1)).size:
+            value[rare] = mix64(self.code[rare].astype(np.uint64) + np.uint64(77))
+        value *= power(P, len(code))
+        np.cumsum(value, out=self.total[1:])
+        self.inverse = power(P_INV, len(code) + 1)
+        self.node = (mix64(self.run(self.start, self.end)) >> np.uint64(1)).astype(np.int64)
+
+    def run(self, start, end) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * self.inverse[start]
 
     def bands(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(BANDS, picked lines) bucket keys, and the lines' sketches."""
-        c = np.append(self.code, np.zeros(SHINGLE, np.uint32)).astype(np.uint64)
         n = len(self.code)
         gram = np.zeros(n, np.uint64)
-        for i in range(SHINGLE):
-            gram = gram * _MUL + c[i : i + n]
+        if n > SHINGLE:
+            np.subtract(self.total[SHINGLE:], self.total[:-SHINGLE], out=gram[: n - SHINGLE + 1])
+            gram[: n - SHINGLE + 1] *= self.inverse[: n - SHINGLE + 1]
         start, end = self.start[pick], self.end[pick]
-        short = np.flatnonzero(end - start < SHINGLE)
-        for i in range(SHINGLE):
-            x = np.where(start[short] + i < end[short], c[start[short] + i], 0)
-            gram[start[short]] = x if i == 0 else gram[start[short]] * _MUL + x
-        gram = mix64(gram)
+        short = end - start < SHINGLE
+        gram[start[short]] = self.run(start[short], end[short])
+        gram ^= gram >> np.uint64(29)
+        gram *= np.uint64(0xBF58476D1CE4E5B9)
+        half = (gram >> np.uint64(32)).astype(np.uint32)
         # Alternate ranges: shingles of a line, then what lies up to the next line.
         until = np.maximum(start + 1, end - SHINGLE + 1)
         cuts = np.stack([start, np.minimum(until, n)], 1).ravel()
         cuts[-1] = min(cuts[-1], n - 1)
-        flip, mul = seeds(BANDS * ROWS, 5), seeds(BANDS * ROWS, 6)
-        low = [np.minimum.reduceat((gram ^ f) * m, cuts)[0::2] for f, m in zip(flip, mul, strict=True)]
+        flip, mul = (seeds(BANDS * ROWS, k).astype(np.uint32) | np.uint32(1) for k in (5, 6))
+        low = [np.minimum.reduceat((half ^ f) * m, cuts)[0::2].astype(np.uint64) for f, m in zip(flip, mul, strict=True)]
         out = []
         for b in range(BANDS):
             key = np.full(len(pick), b + 1, np.uint64)
@@ -204,14 +216,19 @@ def _similar(least: float):
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) of a task's distinct lines, block by block."""
-    for b in batches:
-        for _, texts in blocks(b):
-            lines = Lines(texts)
-            node, pick = np.unique(lines.node, return_index=True)
-            code = lines.code.astype("<u4")
-            yield pa.RecordBatch.from_pydict({"node": pa.array(node), "text": pa.array([code[s:e].tobytes().decode("utf-32-le") for s, e in zip(lines.start[pick], lines.end[pick], strict=True)], pa.string())})
+def _texts(slots: np.ndarray):
+    """(node, text) of a task's distinct lines in the slots, block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in blocks(b):
+                lines = Lines(texts)
+                node, pick = np.unique(lines.node, return_index=True)
+                some = slots[node & (SLOTS - 1)]
+                node, pick, code = node[some], pick[some], lines.code.astype("<u4")
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node), "text": pa.array([code[s:e].tobytes().decode("utf-32-le") for s, e in zip(lines.start[pick], lines.end[pick], strict=True)], pa.string())})
+
+    return run
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +246,11 @@ def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "node")
     pairs = materialise(dealt.mapInArrow(_stars, "a long, b long").distinct())
     wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    # At most SLOTS numbers reach the driver.
+    slots = np.zeros(SLOTS, bool)
+    slots[wanted.select(F.col("node").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    texts = materialise(rows.select("text").mapInArrow(_texts, "node long, text string").join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    texts = materialise(rows.select("text").mapInArrow(_texts(slots), "node long, text string").join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     edges = with_texts(pairs, texts).mapInArrow(_similar(least), "a long, b long")
     label = materialise(components(edges))
 
