@@ -142,7 +142,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     verified = verified.select(F.unhex(F.sha2(F.col("bytes").cast("binary"), 256)).alias("digest")).distinct()
 
     best = suspects.groupBy("digest").agg(F.max(F.struct("doc_id", "pid", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    best = best.join(verified, "digest")
+    best = materialise(best.join(verified, "digest"))  # written out, so that the join below can split a hot group
     grouped = suspects.join(best, "digest").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", ((F.col("best.pid") == F.col("pid")) & (F.col("best.row") == F.col("row"))).alias("kept"), "digest"
     )
