@@ -115,7 +115,7 @@ def resemble(a: int, b: int) -> bool:
 
 
 def _leaders(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of rows sorted by key and node: which lead their bucket, and pairs (node, leader) of the others.
+    """Of rows sorted by key: which lead their bucket, and pairs (node, leader) of the others.
 
     A row that resembles an earlier leader of its bucket is paired with it; any other row is
     a leader, the same node twice only once.
@@ -152,7 +152,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         key, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((node, key))
+        order = np.argsort(key, kind="stable")
         key, node, sketch = key[order], node[order], sketch[order]
         lead, pairs = _leaders(key, node, sketch)
         both = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
@@ -196,19 +196,25 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def shingle_set(line: str) -> set[str]:
-    line = "".join(c.lower() if "A" <= c <= "Z" else c for c in line) if not line.isascii() else line.lower()
+def grams(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def shingle_set(line: str) -> set[str]:
+    return grams(line.translate(_LOWER))
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, cached = [], {}
             for other, x, y in zip(b.column("b").to_pylist(), b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
                 if other not in cached:
-                    cached = {other: shingle_set(y)}
-                one, two = shingle_set(x), cached[other]
+                    cached = {other: grams(y)}
+                one, two = grams(x), cached[other]
                 both = len(one & two)
                 ok.append(both >= least * (len(one) + len(two) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -217,7 +223,7 @@ def _similar(least: float):
 
 
 def _texts(slots: np.ndarray):
-    """(node, text) of a task's distinct lines in the slots, block by block."""
+    """(node, lower-cased text) of a task's distinct lines in the slots, block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
