@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BANDIT_BYTES, SKETCH_BYTES, THOMPSON_BYTES
-from ..functions.spans import seeded_uniform
+from ..functions.spans import seeded_uniform, span_uptime, text_bar
 
 
 def ratio(a, b):
@@ -158,3 +158,12 @@ def report(metrics: DataFrame, distribution: DataFrame, comparison: DataFrame) -
         return rows.select(F.lit(section).alias("section"), F.inline(pairs))
 
     return long(metrics, "cluster").unionByName(long(distribution, "classes", "class")).unionByName(long(comparison, "comparison"))
+
+
+def dashboard(snapshots: DataFrame, width: int = 30) -> DataFrame:
+    """(sidecar, line): a line of text for each sidecar, with its spans as a bar against the busiest one's."""
+    most = snapshots.agg(F.max("total_spans").alias("most"))
+    bar = text_bar(F.col("total_spans"), F.col("most"), width)
+    rate = F.format_string("%5.1f%%", 100 * ratio(F.col("sampled_spans"), F.col("total_spans")))
+    up = span_uptime(F.col("uptime_seconds"))
+    return snapshots.crossJoin(most).select("sidecar", F.concat_ws(" ", F.rpad("sidecar", 24, " "), bar, F.lpad(F.col("total_spans").cast("string"), 9, " "), rate, up).alias("line")).orderBy("sidecar")

@@ -186,3 +186,14 @@ def test_config(monkeypatch):
     monkeypatch.setenv("FORCE_ERRORS", "false")
     c = EngineConfig.from_environment()
     assert (c.threshold, c.force_errors, c.alpha) == (0.2, False, 1.0)
+
+
+def test_snapshots_and_dashboard(spark, tmp_path):
+    from kestrace.sources.metrics import as_json, read_metrics, write_report
+
+    (tmp_path / "m.json").write_text('{"sidecar": "a", "total_spans": 10, "sampled_spans": 5, "uptime_seconds": 61}\n{broken\n{"sidecar": "b", "total_spans": 5, "sampled_spans": 0, "uptime_seconds": 1}\n')
+    rows = read_metrics(spark, str(tmp_path / "m.json"))
+    lines = [r.line for r in E.dashboard(rows, 4).collect()]
+    assert len(lines) == 2 and "████" in lines[0] and " 50.0% 1m 1s" in lines[0] and "██░░" in lines[1]
+    write_report(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2 and '"sidecar":"a"' in as_json(rows).orderBy("body").first().body
