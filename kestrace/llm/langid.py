@@ -254,8 +254,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return per_document(docs, "lang_pred string, score double", score).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, all columns, without texts that have no language or none with a score of at least least."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """docs, all columns, without texts that have no language.
+
+    least: also without those whose language scores less; clean texts that mix languages can score low.
+    """
     model = fit(docs)
     columns = docs.columns
     ours = "text" if "text" in columns else next(c for c in columns if c.lower() == "text")
