@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +59,71 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(pairs.join(load, "b"), "a")
     left = left.withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
     return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b")
+
+
+def units_apart(members: DataFrame, label: DataFrame, block: int, least: int = 2) -> DataFrame:
+    """Rows (unit, node, class, whole, side, and members' other columns) in which nodes of different classes meet.
+
+    members: distinct (bucket, node). Any two nodes of one bucket and different classes share
+    a unit, where they are to be compared if whole or if their sides differ. Buckets of one
+    class or under least nodes are left out, and of buckets with the same nodes one is taken.
+    A unit has about two blocks of nodes at most: those outside a bucket's largest class meet
+    block by block, and that class only meets them, so it is copied once for each of their blocks.
+    """
+    known = materialise(members.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
+    by = known.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("print"))
+    sizes = by.groupBy("bucket").agg(F.sum("n").alias("total"), F.max("n").alias("big"), F.max_by("class", "n").alias("major"), F.count(F.lit(1)).alias("classes"), F.expr("bit_xor(print)").alias("print"))
+    same = sizes.where((F.col("classes") > 1) & (F.col("total") >= least)).groupBy("print", "total").agg(F.min(F.struct("bucket", "big", "major")).alias("x"))
+    some = materialise(same.select("x.bucket", "total", "x.big", "x.major"))
+    one, major = F.col("total") <= block, F.col("class") == F.col("major")
+    h, q, p = F.xxhash64(F.lit(block), "node"), F.col("q"), F.col("p")
+    rows = known.join(some, "bucket").withColumn("q", F.when(one, 1).otherwise(F.ceil((F.col("total") - F.col("big")) / block)).cast("int"))
+    rows = rows.withColumn("p", F.when(one, 0).otherwise(F.ceil(F.col("big") / block)).cast("int"))
+    part = F.when(one, 0).when(major, q + F.pmod(h, F.greatest(p, F.lit(1)))).otherwise(F.pmod(h, q)).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major & ~one, q - 1).otherwise(q + p - 1))))
+    unit = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+    rows = rows.withColumn("unit", unit).withColumn("whole", F.col("part") == F.col("other")).withColumn("side", F.col("part") < F.col("other"))
+    return rows.drop("bucket", "total", "big", "major", "q", "p", "part", "other")
+
+
+def dealt_units(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """units with the text of each node, those of a unit one after the other in one task."""
+    return units.join(texts, "node").repartition("unit").sortWithinPartitions("unit")
+
+
+def each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one unit at a time."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if rest is None else pa.concat_batches([rest, b])
+        key = b.column("unit").to_numpy()
+        at = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+        for s, e in zip(at, at[1:]):
+            yield b.slice(s, e - s)
+        rest = b.slice(at[-1])
+    if rest is not None:
+        yield rest
+
+
+class Classes:
+    """Classes of a unit, joined as links are found."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.parent.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.find(a)] = self.find(b)
+
+
+def across(unit: pa.RecordBatch) -> np.ndarray:
+    """Which pairs (i, j) of a unit's rows are to be compared."""
+    kind, side, whole = (unit.column(c).to_numpy(zero_copy_only=False) for c in ("class", "side", "whole"))
+    apart = kind[:, None] != kind[None, :]
+    return np.triu(apart, 1) if whole[0] else apart & side[:, None] & ~side[None, :]

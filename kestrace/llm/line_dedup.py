@@ -2,14 +2,16 @@
 
 A line's shingles are its runs of five characters, A-Z in lower case. Lines that agree on
 all four minima of one of BANDS bands share a bucket: at a Jaccard similarity of 0.8 all
-but 0.5 % of pairs do. In a bucket each line is a candidate with the first line whose
+but 0.5 % of pairs do. In a bucket each line is first a candidate with the first line whose
 sketch resembles its own, or else stands for those to come. A candidate pair stands when
-the exact Jaccard similarity of the two shingle sets is at least 0.8. Classes are connected components, by distributed
-union-find; of each class the first line, by document and place, stays.
+the exact Jaccard similarity of the two shingle sets is at least 0.8. Where a bucket with
+such pairs still holds several classes, all its resembling lines of different classes are
+then compared, in blocks. Classes are connected components, by distributed union-find; of
+each class the first line, by document and place, stays.
 
-Each map task pairs its own resembling lines of a bucket and sends only their first, so a
-bucket of near copies that holds a third of all lines costs the shuffle one row a task.
-Texts are read again only for candidates.
+Each map task pairs its own resembling lines of a bucket, so a bucket of near copies that
+holds a third of all lines costs its task one row a map task; the others are dealt by line.
+Texts are read again only for candidates and what shares a bucket with them.
 
 Defined results: lines end at \\n; blank lines (white space alone) are no lines. A line of
 fewer than five characters is one shingle. Null text has no lines. Lines are told apart
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, with_texts
+from .graph import Classes, across, components, dealt_units, each_unit, units_apart, with_texts
 from .shared import materialise
 from .text import P_INV, P, blocks, id_text, mix64, power, seeds
 
@@ -40,6 +42,10 @@ SHARED = 20
 #: Bucket entries that a task holds before it sends them.
 HELD = 2_000_000
 BROADCAST_NODES = 1_000_000
+#: Lines of a block of those still apart in a bucket.
+BLOCK = 512
+#: Kinds of rows: leaders, leaders of a bucket that has others, these others, and pairs.
+LEAD, LED, OTHER, PAIR = range(4)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Slots of the filter of wanted lines; an exact join follows it.
 SLOTS = 1 << 20
@@ -114,15 +120,16 @@ def resemble(a: int, b: int) -> bool:
     return SKETCH - ((x | x >> 1) & _ODD).bit_count() >= SHARED
 
 
-def _leaders(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of rows sorted by key: which lead their bucket, and pairs (node, leader) of the others.
+def _leaders(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key: which lead their bucket, the others' places, and their leaders' nodes.
 
     A row that resembles an earlier leader of its bucket is paired with it; any other row is
     a leader, the same node twice only once.
     """
     lead = np.ones(len(key), bool)
     same = np.flatnonzero(key[1:] == key[:-1]) + 1
-    pairs: list[tuple[int, int]] = []
+    other: list[int] = []
+    of: list[int] = []
     held: list[tuple[int, int]] = []
     last = -2
     for i in same.tolist():
@@ -136,15 +143,28 @@ def _leaders(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.
                 break
             if resemble(s, t):
                 lead[i] = False
-                pairs.append((n, m))
+                other.append(i)
+                of.append(m)
                 break
         else:
             held.append((n, s))
-    return lead, pairs
+    return lead, np.array(other, np.int64), np.array(of, np.int64)
+
+
+def _rows(*parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | int]) -> pa.RecordBatch:
+    """bucket, node, sketch, kind; of a pair, bucket and node are its nodes."""
+    kind = [np.full(len(p[0]), p[3], np.int32) if isinstance(p[3], int) else p[3] for p in parts]
+    bucket, node, sketch = (np.concatenate([p[i].view(np.int64) for p in parts]) for i in range(3))
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "node": pa.array(node), "sketch": pa.array(sketch), "kind": pa.array(np.concatenate(kind))})
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], 1), axis=0)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.zeros(len(both), np.int64), PAIR
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, node, sketch): a task's leaders of each bucket, and each of its pairs as a bucket of two."""
+    """A task's leaders of each bucket, its other lines there, and their pairs."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -154,14 +174,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         order = np.argsort(key, kind="stable")
         key, node, sketch = key[order], node[order], sketch[order]
-        lead, pairs = _leaders(key, node, sketch)
-        both = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
-        own = mix64(both[:, 0].view(np.uint64) * _MUL + both[:, 1].view(np.uint64))
-        none = np.zeros(2 * len(both), np.uint64)  # two equal sketches
-        yield pa.RecordBatch.from_pydict({
-            "bucket": pa.array(np.concatenate([key[lead], own, own]).view(np.int64)), "node": pa.array(np.concatenate([node[lead], both[:, 0], both[:, 1]])),
-            "sketch": pa.array(np.concatenate([sketch[lead], none]).view(np.int64)),
-        })
+        lead, other, of = _leaders(key, node, sketch)
+        kind = np.where(np.isin(key[lead], key[other]), LED, LEAD).astype(np.int32)
+        _, once = np.unique(mix64(key[other]) ^ node[other].view(np.uint64), return_index=True)
+        some = other[once]
+        yield _rows((key[lead], node[lead], sketch[lead], kind), (key[some], node[some], sketch[some], OTHER), _pair_rows(node[other], of))
 
     for b in batches:
         for _, texts in blocks(b):
@@ -177,23 +194,25 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by bucket and node; a bucket may go on in the next batch."""
-    rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def pairs_of(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
-        lead, pairs = _leaders(key, node, sketch)
-        both = np.array(pairs, np.int64).reshape(-1, 2)
-        return lead, pa.RecordBatch.from_pydict({"a": pa.array(both.max(1) if len(both) else both[:, 0]), "b": pa.array(both.min(1) if len(both) else both[:, 0])})
-
+    """Of rows sorted by bucket and node: pairs, and all lines of buckets that have pairs. A bucket may go on in the next batch."""
+    rest: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
     for b in batches:
-        new = [b.column("bucket").to_numpy(), b.column("node").to_numpy(), b.column("sketch").to_numpy().view(np.uint64)]
-        key, node, sketch = (np.concatenate(x) for x in zip(rest, new, strict=True)) if rest else new
+        new = [b.column(c).to_numpy() for c in ("bucket", "node", "sketch", "kind")]
+        ready = new[3] >= OTHER
+        done = tuple(x[ready] for x in new)
+        key, node, sketch, kind = (np.concatenate(x) for x in zip(rest, [x[~ready] for x in new], strict=True)) if rest else (x[~ready] for x in new)
         if not len(key):
+            yield _rows(done)
             continue
-        lead, out = pairs_of(key, node, sketch)
-        keep = lead & (key == key[-1])  # the last bucket's leaders go on
-        rest = key[keep], node[keep], sketch[keep]
-        yield out
+        lead, other, of = _leaders(key, node, sketch.view(np.uint64))
+        paired = np.isin(key, np.concatenate([key[other], key[kind == LED]]))
+        on = key == key[-1]  # the last bucket's leaders go on
+        out = np.flatnonzero(lead & paired & ~on)
+        yield _rows(done, _pair_rows(node[other], of), (key[other], node[other], sketch[other], OTHER), (key[out], node[out], sketch[out], OTHER))
+        keep = lead & on
+        rest = key[keep], node[keep], sketch[keep], np.full(int(keep.sum()), LED if paired[-1] else LEAD, np.int32)
+    if rest and rest[3][0] == LED:
+        yield _rows((*rest[:3], OTHER))
 
 
 def grams(line: str) -> set[str]:
@@ -222,6 +241,37 @@ def _similar(least: float):
     return run
 
 
+def _meet(least: float):
+    """Links between resembling lines of different classes in each unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in each_unit(batches):
+            node, kind = u.column("node").to_pylist(), u.column("class").to_pylist()
+            sketch = u.column("sketch").to_numpy().view(np.uint64)
+            x = sketch[:, None] ^ sketch[None, :]
+            unlike = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_ODD))
+            i, j = np.nonzero(across(u) & (unlike <= SKETCH - SHARED))
+            order = np.argsort(unlike[i, j], kind="stable")
+            texts, held, classes = u.column("text"), {}, Classes()
+            a, b = [], []
+            for m, n in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                if classes.find(kind[m]) == classes.find(kind[n]):
+                    continue
+                for k in (m, n):
+                    if k not in held:
+                        held[k] = grams(texts[k].as_py())
+                one, two = held[m], held[n]
+                both = len(one & two)
+                if both >= least * (len(one) + len(two) - both) - 1e-9:
+                    classes.join(kind[m], kind[n])
+                    a.append(max(node[m], node[n]))
+                    b.append(min(node[m], node[n]))
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _texts(slots: np.ndarray):
     """(node, lower-cased text) of a task's distinct lines in the slots, block by block."""
 
@@ -248,17 +298,25 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no (from 0), keep_doc_id, keep_line_no, class_size, kept for each line that is not blank."""
     rows = id_text(docs)
-    sent = rows.select("text").mapInArrow(_buckets, "bucket long, node long, sketch long")
-    dealt = sent.repartition("bucket").sortWithinPartitions("bucket", "node")
-    pairs = materialise(dealt.mapInArrow(_stars, "a long, b long").distinct())
-    wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    schema = "bucket long, node long, sketch long, kind int"
+    sent = rows.select("text").mapInArrow(_buckets, schema)
+    dealt = sent.repartition(F.when(F.col("kind") < OTHER, F.col("bucket")).otherwise(F.col("node"))).sortWithinPartitions("bucket", "node")
+    met = materialise(dealt.mapInArrow(_stars, schema))
+    pairs = materialise(met.where(F.col("kind") == PAIR).select(F.col("bucket").alias("a"), F.col("node").alias("b")).distinct())
+    members = met.where(F.col("kind") == OTHER).select("bucket", "node", "sketch").distinct()
+    wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
     # At most SLOTS numbers reach the driver.
     slots = np.zeros(SLOTS, bool)
     slots[wanted.select(F.col("node").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     texts = materialise(rows.select("text").mapInArrow(_texts(slots), "node long, text string").join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    edges = with_texts(pairs, texts).mapInArrow(_similar(least), "a long, b long")
+    edges = materialise(with_texts(pairs, texts).mapInArrow(_similar(least), "a long, b long"))
     label = materialise(components(edges))
+    # A bucket of two lines has been compared; in larger ones a line has met one leader only.
+    units = dealt_units(units_apart(members, label, BLOCK, 3), texts)
+    found = materialise(units.mapInArrow(_meet(least), "a long, b long"))
+    if found.limit(1).count():
+        label = materialise(components(edges.unionByName(found)))
 
     places = rows.mapInArrow(_places, "doc_id long, line_no long, node long").join(label, "node", "left")
     places = materialise(places.select("doc_id", "line_no", F.coalesce("component", "node").alias("class")).withColumn("row", F.monotonically_increasing_id()))

@@ -124,6 +124,28 @@ def test_lines_against_all_pairs(make, words):
         assert (got[d, n].keep_doc_id, got[d, n].keep_line_no) == first[:2] and got[d, n].kept == (first[:2] == (d, n))
 
 
+def test_lines_of_templates_against_all_pairs(make, words, monkeypatch):
+    """Families whose lines resemble a leader without being its copies, over several partitions and blocks."""
+    rng = random.Random(21)
+    lines = set()
+    for g in range(8):
+        frame = [rng.choice(words) for _ in range(12)]
+        for _ in range(60):
+            w = list(frame)
+            for k in rng.sample(range(12), rng.randint(1, 3)):
+                w[k] = rng.choice(words[g * 6 : g * 6 + 6])
+            lines.add(" ".join(w))
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    sets = [shingle_set(x) for x in lines]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    want = union(len(lines), pairs)
+    for block, parts in ((512, 5), (8, 3)):
+        monkeypatch.setattr("kestrace.llm.line_dedup.BLOCK", block, raising=False)
+        got = {r.doc_id: r.keep_doc_id for r in line_classes(make(*enumerate(lines)).repartition(parts)).collect()}
+        assert [got[i] for i in range(len(lines))] == want
+
+
 def test_lines_odd(odd, empty):
     got = line_classes(odd).collect()
     assert {r.doc_id for r in got} == {4, 5, 6, 7, None, 10} and len(got) == 7 and sum(r.kept for r in got) == 6
