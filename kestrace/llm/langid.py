@@ -2,12 +2,17 @@
 
 The network is trained here, in numpy, by backpropagation through time on windows of a
 bounded sample of labelled documents. It gives every byte of every text a distribution
-over the languages; a document's probabilities pool those of all its bytes (normalised
-geometric mean). Texts are read whole, as windows that run side by side.
+over the languages and one more label, no language, that it learns from the same windows
+with their bytes shuffled and from windows of random signs. A document's probabilities pool
+those of all its bytes (normalised geometric mean over the languages). The pipeline's stage
+rejects a document whose bytes speak for no language by EVIDENCE more, summed, than for the
+best language. Texts are read whole, as windows that run side by side.
 
 Defined results: `und` with score 0 for a null text, one without a letter, or when there
-is nothing to learn from; every other text gets a learned language. Null ids count as the
-empty string for the split. Rows are independent: repeats repeat, an empty table gives none.
+is nothing to learn from; every other text gets a learned language. Where languages tie,
+the first by name. Null ids count as the empty string for the split. Rows are independent:
+repeats repeat, an empty table gives none. Only the LANGUAGES most frequent values of lang
+are learned. A very long text is read as the many windows that it has.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import per_document
+from .text import blocks, per_document
 
 WINDOW = 64
 HIDDEN = 8
@@ -30,12 +35,18 @@ SAMPLE = 700
 WINDOWS_A_DOC = 12
 EPOCHS = 6
 RATE = 0.02
-LANES = 4096
+LANES = 2048
+#: Values of lang that are learned, the most frequent ones.
+LANGUAGES = 64
+#: Windows of no language for each window of a language.
+CONTRAST = 0.3
+#: Natural log units by which no language must lead for the stage to reject a text; a few bytes can't reach it.
+EVIDENCE = 30.0
 
 
 @dataclass
 class Model:
-    """embed: (2, 3H, 256); recur: (2, 3H, H); bias: (2, H); out: (K, 2H); shift: (K)."""
+    """embed: (2, 3H, 256); recur: (2, 3H, H); bias: (2, H); out: (K, 2H); shift: (K). Without contrast, K is the number of langs; else the last label is no language."""
 
     langs: list[str]
     embed: np.ndarray
@@ -85,7 +96,7 @@ def _direction(model: Model, d: int, windows: np.ndarray, keep: bool):
 def log_probabilities(model: Model, windows: np.ndarray) -> np.ndarray:
     """(K, T, B): natural log of the language distribution at every byte of windows (T, B)."""
     hid, (steps, lanes) = model.bias.shape[1], windows.shape
-    logits = np.empty((steps, len(model.langs), lanes), np.float32)
+    logits = np.empty((steps, len(model.out), lanes), np.float32)
     np.matmul(model.out[:, :hid], _direction(model, 0, windows, False)[0], out=logits)
     logits += np.matmul(model.out[:, hid:], _direction(model, 1, windows, False)[0])
     logits += model.shift[:, None]
@@ -97,7 +108,7 @@ def log_probabilities(model: Model, windows: np.ndarray) -> np.ndarray:
 def gradients(model: Model, windows: np.ndarray, valid: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean cross entropy over all valid positions of windows (T, B), and its gradients."""
     steps, lanes = windows.shape
-    hid, k = model.bias.shape[1], len(model.langs)
+    hid, k = model.bias.shape[1], len(model.out)
     both = [_direction(model, d, windows, True) for d in (0, 1)]
     logits = np.matmul(model.out[:, :hid], both[0][0]) + np.matmul(model.out[:, hid:], both[1][0]) + model.shift[:, None]
     logits -= logits.max(1, keepdims=True)
@@ -134,14 +145,28 @@ def gradients(model: Model, windows: np.ndarray, valid: np.ndarray, label: np.nd
     return loss, grads
 
 
+def contrast(windows: np.ndarray, size: np.ndarray, share: float = CONTRAST, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of no language and their sizes: some of windows with their bytes in another order, half of them of random signs instead."""
+    rng = np.random.default_rng(seed)
+    pick = np.flatnonzero(size >= 16)
+    pick = np.sort(rng.choice(pick, int(share * len(pick)), replace=False))
+    out, n = windows[pick].copy(), size[pick]
+    signs = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-", np.uint8)
+    for i, k in enumerate(n.tolist()):
+        out[i, :k] = rng.permutation(out[i, :k]) if i % 2 else signs[rng.integers(0, len(signs), k)]
+    return out, n
+
+
 def train(windows: np.ndarray, size: np.ndarray, label: np.ndarray, langs: list[str], hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 5) -> Model:
-    """Adam on shuffled batches; windows (N, T) bytes, size: their valid bytes, label: index in langs."""
+    """Adam on shuffled batches; windows (N, T) bytes, size: their valid bytes, label: index in langs, or len(langs) for no language."""
+    labels = max(len(langs), int(label.max()) + 1)
     rng = np.random.default_rng(seed)
     normal = lambda scale, *shape: (rng.standard_normal(shape) * scale).astype(np.float32)
-    model = Model(langs, normal(0.3, 2, 3 * hidden, 256), normal(0.3, 2, 3 * hidden, hidden), np.zeros((2, hidden), np.float32), normal(0.2, len(langs), 2 * hidden), np.zeros(len(langs), np.float32))
+    model = Model(langs, normal(0.3, 2, 3 * hidden, 256), normal(0.3, 2, 3 * hidden, hidden), np.zeros((2, hidden), np.float32), normal(0.2, labels, 2 * hidden), np.zeros(labels, np.float32))
     mean = [np.zeros_like(x) for x in model.parameters()]
     square = [np.zeros_like(x) for x in model.parameters()]
-    weight = np.bincount(label, minlength=len(langs)).max() / np.maximum(1, np.bincount(label, minlength=len(langs)))
+    seen = np.bincount(label, minlength=labels)
+    weight = np.where(np.arange(labels) < len(langs), seen[: len(langs)].max() / np.maximum(1, seen), 1.0)
     step, batch, total = 0, 256, epochs * (-(-len(windows) // 256))
     for _ in range(epochs):
         order = rng.permutation(len(windows))
@@ -175,31 +200,40 @@ def has_letter(text: bytes) -> bool:
     return bool(_ASCII_LETTER.search(text)) or (not text.isascii() and any(c.isalpha() for c in text.decode(errors="replace")))
 
 
-def classify(model: Model | None, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    take = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
-    if not take:
-        return langs, scores
-    rows = [cut(texts[i]) for i in take]
+def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
+    """(texts, labels): the natural log of the labels' probabilities, summed over all bytes of each text, which has some."""
+    rows = [cut(t) for t in texts]
     count = np.array([len(r) for r in rows])
-    size = np.array([len(texts[i]) for i in take])
-    owner = np.repeat(np.arange(len(take)), count)
+    size = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), count)
     left = size[owner] - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
     windows = np.concatenate(rows)
-    total = np.zeros((len(take), len(model.langs)))
+    total = np.zeros((len(texts), len(model.out)))
     for at in range(0, len(windows), LANES):
         part = np.ascontiguousarray(windows[at : at + LANES].T)
         logp = log_probabilities(model, part)
         logp *= np.arange(WINDOW)[:, None] < left[at : at + LANES][None, :]
         for k, x in enumerate(logp.sum(1)):
-            total[:, k] += np.bincount(owner[at : at + LANES], x, minlength=len(take))
-    mean = total / size[:, None]
+            total[:, k] += np.bincount(owner[at : at + LANES], x, minlength=len(texts))
+    return total
+
+
+def classify(model: Model | None, texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+    """Language, its score, and by how much the bytes, summed, speak for no language instead (natural log)."""
+    langs, scores, none = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    take = [i for i, t in enumerate(texts) if model is not None and has_letter(t)]
+    if not take:
+        return langs, scores, none
+    total = pooled(model, [texts[i] for i in take])
+    known = total[:, : len(model.langs)]
+    mean = known / np.array([[len(texts[i])] for i in take])
     p = np.exp(mean - mean.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    best = total.argmax(1)
+    best = known.argmax(1)
     for j, i in enumerate(take):
         langs[i], scores[i] = model.langs[best[j]], float(min(1.0, p[j, best[j]]))
-    return langs, scores
+        none[i] = float(total[j, -1] - known[j, best[j]]) if total.shape[1] > known.shape[1] else 0.0
+    return langs, scores, none
 
 
 def held_out(column: Column, modulus: int, remainder: int) -> Column:
@@ -211,8 +245,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from documents that are not held out: about sample of each language, picked by a hash of the id."""
     known = docs.where(~held_out(F.col("doc_id"), 3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # Languages are few: one row each comes to the driver.
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # LANGUAGES rows come to the driver at most.
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     # Drawn by a hash: about 1.0 x sample rows a language, whatever the table's size.
@@ -240,7 +274,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     data = np.frombuffer(b"".join(got.column("bytes").to_pylist()), np.uint8).reshape(-1, WINDOW)
     label = np.searchsorted(np.array(langs), np.array(got.column("lang").to_pylist()))
-    return train(data, got.column("size").to_numpy(), label, langs)
+    size = got.column("size").to_numpy()
+    more, its = contrast(data, size)
+    return train(np.concatenate([data, more]), np.concatenate([size, its]), np.concatenate([label, np.full(len(more), len(langs))]), langs)
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -248,28 +284,28 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
 
     def score(texts: list[bytes]) -> dict:
-        langs, scores = classify(model, texts)
+        langs, scores, _ = classify(model, texts)
         return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
 
     return per_document(docs, "lang_pred string, score double", score).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """docs, all columns, without texts that have no language.
+def keep_identified(docs: DataFrame, evidence: float = EVIDENCE, model: Model | None = None) -> DataFrame:
+    """docs, all columns, without the texts that have no language: null, without a letter, or by the network's labels.
 
-    least: also without those whose language scores less; clean texts that mix languages can score low.
+    A text goes when its bytes, summed, speak for no language by evidence more than for the
+    best language; short or mixed texts of known languages stay. Where there is nothing to
+    learn from, every text with a letter stays. An empty table gives none.
     """
-    model = fit(docs)
+    model = model or fit(docs)
     columns = docs.columns
     ours = "text" if "text" in columns else next(c for c in columns if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .text import blocks
-
         for b in batches:
             for first, texts in blocks(b, ours):
-                langs, scores = classify(model, texts)
-                ok = pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
+                _, _, none = classify(model, texts)
+                ok = pa.array([has_letter(t) and x < evidence for t, x in zip(texts, none, strict=True)], pa.bool_())
                 yield b.slice(first, len(texts)).filter(ok)
 
     return docs.mapInArrow(run, docs.schema)
