@@ -2,20 +2,23 @@
 
 A line's shingles are its runs of five characters, A-Z in lower case. Lines that agree on
 all four minima of one of BANDS bands share a bucket: at a Jaccard similarity of 0.8 all
-but 0.5 % of pairs do. In a bucket each line is first a candidate with the first line whose
-sketch resembles its own, or else stands for those to come. A candidate pair stands when
-the exact Jaccard similarity of the two shingle sets is at least 0.8. Where a bucket with
-such pairs still holds several classes, all its resembling lines of different classes are
-then compared, in blocks. Classes are connected components, by distributed union-find; of
-each class the first line, by document and place, stays.
-
-Each map task pairs its own resembling lines of a bucket, so a bucket of near copies that
-holds a third of all lines costs its task one row a map task; the others are dealt by line.
-Texts are read again only for candidates and what shares a bucket with them.
+but 0.5 % of pairs do. Pairs of a bucket whose sketches resemble each other are candidates:
+all of them in buckets of at most SMALL lines. In larger buckets each line is first a
+candidate with one of a few leaders that it resembles; where the bucket then still holds
+several classes, all its resembling lines of different classes are compared, in blocks. A
+candidate pair stands when the exact Jaccard similarity of the two shingle sets is at
+least 0.8. Classes are connected components, by distributed union-find; of each class the
+first line, by document and place, stays.
+
+Each map task pairs its own resembling lines of a large bucket with leaders, so a bucket
+of near copies that holds a third of all lines costs its task a few rows a map task; the
+others are dealt by line. Texts are read again only for candidates and the lines of large
+buckets.
 
 Defined results: lines end at \\n; blank lines (white space alone) are no lines. A line of
-fewer than five characters is one shingle. Null text has no lines. Lines are told apart
-by 64-bit hashes. Null ids come first. An empty table gives no rows.
+fewer than five characters is one shingle; a very long line has all its shingles. Null text
+has no lines. Lines are told apart by 64-bit hashes. Null ids come first. Lines that tie by
+document and place are repeated rows: one of them stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Classes, across, components, dealt_units, each_unit, units_apart, with_texts
-from .shared import materialise
+from .shared import matching, materialise, slot_words
 from .text import P_INV, P, blocks, id_text, mix64, power, seeds
 
 SHINGLE = 5
@@ -39,16 +42,19 @@ ROWS = 4
 #: At a similarity of 0.8 a sketch shares 27.2 of 32 on average, with a deviation of 2.
 SKETCH = 32
 SHARED = 20
-#: Bucket entries that a task holds before it sends them.
-HELD = 2_000_000
-BROADCAST_NODES = 1_000_000
+#: Lines of a task whose bands are held before they are sent.
+HELD = 100_000
+#: Buckets of at most so many lines are compared at once.
+SMALL = 12
+#: Leaders of a larger bucket that a line is compared with at first.
+LEADERS = 24
 #: Lines of a block of those still apart in a bucket.
 BLOCK = 512
-#: Kinds of rows: leaders, leaders of a bucket that has others, these others, and pairs.
-LEAD, LED, OTHER, PAIR = range(4)
+#: Labels of lines are broadcast up to this many (24 bytes each), else joined by a shuffle.
+BROADCAST_LABELS = 500_000
+#: Kinds of rows: lines of a bucket, leaders of a large one, those already sent as its members, members, and pairs.
+LINE, LEAD, SENT, OTHER, PAIR = range(5)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-#: Slots of the filter of wanted lines; an exact join follows it.
-SLOTS = 1 << 20
 _CODE = mix64(np.arange(1 << 14, dtype=np.uint64) + np.uint64(77))
 
 
@@ -98,8 +104,11 @@ class Lines:
         until = np.maximum(start + 1, end - SHINGLE + 1)
         cuts = np.stack([start, np.minimum(until, n)], 1).ravel()
         cuts[-1] = min(cuts[-1], n - 1)
-        flip, mul = (seeds(BANDS * ROWS, k).astype(np.uint32) | np.uint32(1) for k in (5, 6))
-        low = [np.minimum.reduceat((half ^ f) * m, cuts)[0::2].astype(np.uint64) for f, m in zip(flip, mul, strict=True)]
+        buffer, low = np.empty(n, np.uint32), []
+        for f, m in zip(*(seeds(BANDS * ROWS, k).astype(np.uint32) | np.uint32(1) for k in (5, 6)), strict=True):
+            np.bitwise_xor(half, f, out=buffer)
+            np.multiply(buffer, m, out=buffer)
+            low.append(np.minimum.reduceat(buffer, cuts)[0::2].astype(np.uint64))
         out = []
         for b in range(BANDS):
             key = np.full(len(pick), b + 1, np.uint64)
@@ -112,50 +121,49 @@ class Lines:
         return np.stack(out), sketch
 
 
-_ODD = 0x5555555555555555
+_ODD = np.uint64(0x5555555555555555)
 
 
-def resemble(a: int, b: int) -> bool:
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the sketches that differ."""
     x = a ^ b
-    return SKETCH - ((x | x >> 1) & _ODD).bit_count() >= SHARED
+    return np.bitwise_count((x | x >> np.uint64(1)) & _ODD)
+
+
+def resemble(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return unlike(a, b) <= SKETCH - SHARED
+
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal keys."""
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    return cut[:-1], cut[1:]
 
-def _leaders(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by key: which lead their bucket, the others' places, and their leaders' nodes.
 
-    A row that resembles an earlier leader of its bucket is paired with it; any other row is
-    a leader, the same node twice only once.
+def _star(node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a bucket's leaders, and pairs of other lines with the first of LEADERS leaders that they resemble.
+
+    Lines that resemble none of these lead, too.
     """
-    lead = np.ones(len(key), bool)
-    same = np.flatnonzero(key[1:] == key[:-1]) + 1
-    other: list[int] = []
-    of: list[int] = []
-    held: list[tuple[int, int]] = []
-    last = -2
-    for i in same.tolist():
-        if i != last + 1:
-            held = [(int(node[i - 1]), int(sketch[i - 1]))]
-        last = i
-        n, s = int(node[i]), int(sketch[i])
-        for m, t in held:
-            if m == n:
-                lead[i] = False
-                break
-            if resemble(s, t):
-                lead[i] = False
-                other.append(i)
-                of.append(m)
-                break
-        else:
-            held.append((n, s))
-    return lead, np.array(other, np.int64), np.array(of, np.int64)
-
-
-def _rows(*parts: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | int]) -> pa.RecordBatch:
+    rest, lead, a, b = np.arange(len(node)), [], [], []
+    for _ in range(LEADERS):
+        if not len(rest):
+            break
+        i, rest = rest[0], rest[1:]
+        near = resemble(sketch[rest], sketch[i])
+        a.append(node[rest[near]])
+        b.append(np.full(int(near.sum()), node[i]))
+        lead.append(i)
+        rest = rest[~near]
+    none = np.empty(0, node.dtype)
+    return np.concatenate([np.array(lead, np.int64), rest]), np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def _rows(*parts: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> pa.RecordBatch:
     """bucket, node, sketch, kind; of a pair, bucket and node are its nodes."""
-    kind = [np.full(len(p[0]), p[3], np.int32) if isinstance(p[3], int) else p[3] for p in parts]
+    kind = np.concatenate([np.full(len(p[0]), p[3], np.int32) for p in parts])
     bucket, node, sketch = (np.concatenate([p[i].view(np.int64) for p in parts]) for i in range(3))
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "node": pa.array(node), "sketch": pa.array(sketch), "kind": pa.array(np.concatenate(kind))})
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket), "node": pa.array(node), "sketch": pa.array(sketch), "kind": pa.array(kind)})
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -163,56 +171,97 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.zeros(len(both), np.int64), PAIR
 
 
+def _close(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All resembling pairs inside the runs of equal keys, each of at most SMALL rows."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for d in range(1, SMALL):
+        at = np.flatnonzero(key[d:] == key[:-d])
+        if not len(at):
+            break
+        at = at[resemble(sketch[at], sketch[at + d]) & (node[at] != node[at + d])]
+        a.append(node[at])
+        b.append(node[at + d])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's leaders of each bucket, its other lines there, and their pairs."""
+    """A task's lines in all their buckets; of a bucket with many of them leaders, the others, and pairs."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        key, node, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, once = np.unique(np.concatenate([x[0] for x in held]), return_index=True)
+        keys, sketch = np.concatenate([x[1] for x in held], 1)[:, once].ravel(), np.concatenate([x[2] for x in held])[once]
         held.clear()
-        order = np.argsort(key, kind="stable")
-        key, node, sketch = key[order], node[order], sketch[order]
-        lead, other, of = _leaders(key, node, sketch)
-        kind = np.where(np.isin(key[lead], key[other]), LED, LEAD).astype(np.int32)
-        _, once = np.unique(mix64(key[other]) ^ node[other].view(np.uint64), return_index=True)
-        some = other[once]
-        yield _rows((key[lead], node[lead], sketch[lead], kind), (key[some], node[some], sketch[some], OTHER), _pair_rows(node[other], of))
+        order = np.argsort(keys, kind="stable")
+        key, line = keys[order], order % len(node)
+        start, end = _runs(key)
+        large = end - start > SMALL
+        plain = np.repeat(~large, end - start)
+        out = [(key[plain], node[line[plain]], sketch[line[plain]], LINE)]
+        for s, e in zip(start[large].tolist(), end[large].tolist(), strict=True):
+            who = line[s:e]
+            lead, a, b = _star(node[who], sketch[who])
+            rest = np.setdiff1d(np.arange(e - s), lead)
+            out += [(key[s:e][x], node[who[x]], sketch[who[x]], kind) for x, kind in ((lead, LEAD), (rest, OTHER))]
+            out.append(_pair_rows(a, b))
+        for at in range(0, len(out), 500):
+            yield _rows(*out[at : at + 500])
 
     for b in batches:
-        for _, texts in blocks(b):
+        for _, texts in blocks(b, limit=1 << 18):
             lines = Lines(texts)
             node, pick = np.unique(lines.node, return_index=True)
             if len(pick):
                 order = np.argsort(pick)
-                keys, sketch = lines.bands(pick[order])
-                held.append((keys.ravel(), np.tile(node[order], BANDS), np.tile(sketch, BANDS)))
+                held.append((node[order], *lines.bands(pick[order])))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from flush()
     yield from flush()
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket and node: pairs, and all lines of buckets that have pairs. A bucket may go on in the next batch."""
-    rest: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and node: pairs, and all lines of large buckets. A bucket may go on in the next batch."""
+    none = np.empty(0, np.int64)
+    rest = (none, none, none, np.empty(0, np.int32))
+
+    def done(rows: tuple, final: bool) -> tuple[list, tuple]:
+        key, node, sketch, kind = rows
+        if not len(key):
+            return [], rows
+        start, end = _runs(key)
+        large = (end - start > SMALL) | (np.maximum.reduceat(kind, start) > LINE)
+        small = ~large & (end - start > 1)
+        if not final:
+            small[-1] = False
+        pick = np.repeat(small, end - start)
+        out = [_pair_rows(*_close(key[pick], node[pick], sketch[pick].view(np.uint64)))]
+        left = slice(start[-1], end[-1])
+        kept = (key[left], node[left], sketch[left], kind[left])
+        for i in np.flatnonzero(large).tolist():
+            s, e = start[i], end[i]
+            once = np.unique(node[s:e], return_index=True)[1] + s
+            lead, a, b = _star(node[once], sketch[once].view(np.uint64))
+            new = np.arange(s, e)[kind[s:e] != SENT]
+            out += [(key[new], node[new], sketch[new], OTHER), _pair_rows(a, b)]
+            if i == len(start) - 1:
+                on = once[lead[:LEADERS]]
+                kept = (key[on], node[on], sketch[on], np.full(len(on), SENT, np.int32))
+        return out, kept
+
     for b in batches:
-        new = [b.column(c).to_numpy() for c in ("bucket", "node", "sketch", "kind")]
+        new = tuple(b.column(c).to_numpy() for c in ("bucket", "node", "sketch", "kind"))
         ready = new[3] >= OTHER
-        done = tuple(x[ready] for x in new)
-        key, node, sketch, kind = (np.concatenate(x) for x in zip(rest, [x[~ready] for x in new], strict=True)) if rest else (x[~ready] for x in new)
-        if not len(key):
-            yield _rows(done)
-            continue
-        lead, other, of = _leaders(key, node, sketch.view(np.uint64))
-        paired = np.isin(key, np.concatenate([key[other], key[kind == LED]]))
-        on = key == key[-1]  # the last bucket's leaders go on
-        out = np.flatnonzero(lead & paired & ~on)
-        yield _rows(done, _pair_rows(node[other], of), (key[other], node[other], sketch[other], OTHER), (key[out], node[out], sketch[out], OTHER))
-        keep = lead & on
-        rest = key[keep], node[keep], sketch[keep], np.full(int(keep.sum()), LED if paired[-1] else LEAD, np.int32)
-    if rest and rest[3][0] == LED:
-        yield _rows((*rest[:3], OTHER))
+        for kind in (OTHER, PAIR):
+            if (some := new[3] == kind).any():
+                yield _rows((*(x[some] for x in new[:3]), kind))
+        out, rest = done(tuple(np.concatenate([x, y[~ready]]) for x, y in zip(rest, new, strict=True)), False)
+        if out:
+            yield _rows(*out)
+    out, _ = done(rest, True)
+    if out:
+        yield _rows(*out)
 
 
 def grams(line: str) -> set[str]:
@@ -226,43 +275,101 @@ def shingle_set(line: str) -> set[str]:
     return grams(line.translate(_LOWER))
 
 
+#: Bits of a sign: each batch numbers the signs that it has, from 1, and packs five numbers into one.
+_BITS = 12
+
+
+class Grams:
+    """Distinct shingles of lower-cased lines as ascending numbers, which agree inside one batch of lines."""
+
+    def __init__(self, lines: list[str]):
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.lines, self.end = lines, np.cumsum(size)
+        self.start = self.end - size
+        code = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        seen = np.zeros(int(code.max(initial=0)) + 1, bool)
+        seen[code] = True
+        self.known: dict[str, int] | None = None
+        if np.count_nonzero(seen) >= 1 << _BITS:  # too many signs to pack
+            self.known = {}
+            return
+        number = np.cumsum(seen)[code]
+        self.packed = number.copy()
+        for k in range(1, SHINGLE):
+            self.packed[: len(code) - k] |= number[k:] << (_BITS * k)
+
+    def of(self, i: int) -> np.ndarray:
+        if self.known is not None:
+            return np.array(sorted(self.known.setdefault(g, len(self.known)) for g in grams(self.lines[i])), np.int64)
+        start, n = self.start[i], self.end[i] - self.start[i]
+        if n < SHINGLE:  # one shingle, padded by nothing
+            return self.packed[start : start + 1] & np.int64((1 << _BITS * int(n)) - 1)
+        out = np.sort(self.packed[start : start + n - SHINGLE + 1])
+        new = np.empty(len(out), bool)
+        new[0] = True
+        np.not_equal(out[1:], out[:-1], out=new[1:])
+        return out[new]
+
+
+def jaccard_reaches(one: np.ndarray, two: np.ndarray, least: float) -> bool:
+    if min(len(one), len(two)) < least * max(len(one), len(two)) - 1e-9:
+        return False
+    merged = np.concatenate([one, two])
+    merged.sort()
+    both = np.count_nonzero(merged[1:] == merged[:-1])
+    return both >= least * (len(merged) - both) - 1e-9
+
+
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, cached = [], {}
-            for other, x, y in zip(b.column("b").to_pylist(), b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-                if other not in cached:
-                    cached = {other: grams(y)}
-                one, two = grams(x), cached[other]
-                both = len(one & two)
-                ok.append(both >= least * (len(one) + len(two) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                n = part.num_rows
+                shingles = Grams(part.column("text_a").to_pylist() + part.column("text_b").to_pylist())
+                ok, last, held = [], None, None
+                for i, other in enumerate(part.column("b").to_pylist()):
+                    if other != last:  # pairs of one line stand together
+                        last, held = other, shingles.of(n + i)
+                    ok.append(bool(jaccard_reaches(shingles.of(i), held, least)))
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _across(u: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit's rows that are to be compared and resemble each other, the most alike first."""
+    sketch = u.column("sketch").to_numpy().view(np.uint64)
+    differ = unlike(sketch[:, None], sketch[None, :])
+    i, j = np.nonzero(across(u) & (differ <= SKETCH - SHARED))
+    order = np.argsort(differ[i, j], kind="stable")
+    return i[order], j[order]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit that resemble one of another class there."""
+    for u in each_unit(batches):
+        i, j = _across(u)
+        if len(i):
+            yield u.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
 def _meet(least: float):
     """Links between resembling lines of different classes in each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in each_unit(batches):
             node, kind = u.column("node").to_pylist(), u.column("class").to_pylist()
-            sketch = u.column("sketch").to_numpy().view(np.uint64)
-            x = sketch[:, None] ^ sketch[None, :]
-            unlike = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(_ODD))
-            i, j = np.nonzero(across(u) & (unlike <= SKETCH - SHARED))
-            order = np.argsort(unlike[i, j], kind="stable")
-            texts, held, classes = u.column("text"), {}, Classes()
+            text, held, classes = Grams(u.column("text").to_pylist()), {}, Classes()
             a, b = [], []
-            for m, n in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            i, j = _across(u)
+            for m, n in zip(i.tolist(), j.tolist(), strict=True):
                 if classes.find(kind[m]) == classes.find(kind[n]):
                     continue
                 for k in (m, n):
                     if k not in held:
-                        held[k] = grams(texts[k].as_py())
-                one, two = held[m], held[n]
-                both = len(one & two)
-                if both >= least * (len(one) + len(two) - both) - 1e-9:
+                        held[k] = text.of(k)
+                if jaccard_reaches(held[m], held[n], least):
                     classes.join(kind[m], kind[n])
                     a.append(max(node[m], node[n]))
                     b.append(min(node[m], node[n]))
@@ -272,54 +379,52 @@ def _meet(least: float):
     return run
 
 
-def _texts(slots: np.ndarray):
-    """(node, lower-cased text) of a task's distinct lines in the slots, block by block."""
+def _read(words: np.ndarray):
+    """Each line's place and node, and the lower-cased text of a block's distinct lines in the slots."""
+    slots = np.uint64(64 * len(words) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in blocks(b):
+            for row, texts in blocks(b, limit=1 << 18):
                 lines = Lines(texts)
-                node, pick = np.unique(lines.node, return_index=True)
-                some = slots[node & (SLOTS - 1)]
-                node, pick, code = node[some], pick[some], lines.code.astype("<u4")
-                yield pa.RecordBatch.from_pydict({"node": pa.array(node), "text": pa.array([code[s:e].tobytes().decode("utf-32-le") for s, e in zip(lines.start[pick], lines.end[pick], strict=True)], pa.string())})
+                slot = lines.node.view(np.uint64) & slots
+                want = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                some = np.flatnonzero(want)
+                pick = some[np.unique(lines.node[some], return_index=True)[1]]
+                text, code = np.full(len(want), None, object), lines.code.astype("<u4")
+                for i in pick.tolist():
+                    text[i] = code[lines.start[i] : lines.end[i]].tobytes().decode("utf-32-le")
+                ids = b.column("doc_id").slice(row, len(texts)).take(pa.array(lines.doc))
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(lines.number.astype(np.int64)), "node": pa.array(lines.node), "text": pa.array(text, pa.string())})
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for row, texts in blocks(b):
-            lines = Lines(texts)
-            ids = b.column("doc_id").slice(row, len(texts)).take(pa.array(lines.doc))
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(lines.number.astype(np.int64)), "node": pa.array(lines.node)})
-
-
 def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no (from 0), keep_doc_id, keep_line_no, class_size, kept for each line that is not blank."""
     rows = id_text(docs)
     schema = "bucket long, node long, sketch long, kind int"
     sent = rows.select("text").mapInArrow(_buckets, schema)
     dealt = sent.repartition(F.when(F.col("kind") < OTHER, F.col("bucket")).otherwise(F.col("node"))).sortWithinPartitions("bucket", "node")
-    met = materialise(dealt.mapInArrow(_stars, schema))
+    met = materialise(dealt.mapInArrow(_candidates, schema))
     pairs = materialise(met.where(F.col("kind") == PAIR).select(F.col("bucket").alias("a"), F.col("node").alias("b")).distinct())
-    members = met.where(F.col("kind") == OTHER).select("bucket", "node", "sketch").distinct()
+    members = materialise(met.where(F.col("kind") == OTHER).select("bucket", "node", "sketch").distinct())
     wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
-    # At most SLOTS numbers reach the driver.
-    slots = np.zeros(SLOTS, bool)
-    slots[wanted.select(F.col("node").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    texts = materialise(rows.select("text").mapInArrow(_texts(slots), "node long, text string").join(few, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    read = materialise(rows.mapInArrow(_read(slot_words(wanted)), "doc_id long, line_no long, node long, text string").withColumn("row", F.monotonically_increasing_id()))
+    texts = matching(read.where("text is not null").select("node", "text"), wanted, "node")
+    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")))
     edges = materialise(with_texts(pairs, texts).mapInArrow(_similar(least), "a long, b long"))
     label = materialise(components(edges))
-    # A bucket of two lines has been compared; in larger ones a line has met one leader only.
-    units = dealt_units(units_apart(members, label, BLOCK, 3), texts)
-    found = materialise(units.mapInArrow(_meet(least), "a long, b long"))
+    # In a large bucket a line has met one leader only.
+    apart = units_apart(members, label, BLOCK)
+    met = materialise(apart.repartition("unit").sortWithinPartitions("unit").mapInArrow(_needed, apart.schema))
+    found = materialise(dealt_units(met, texts).mapInArrow(_meet(least), "a long, b long"))
     if found.limit(1).count():
         label = materialise(components(edges.unionByName(found)))
 
-    places = rows.mapInArrow(_places, "doc_id long, line_no long, node long").join(label, "node", "left")
-    places = materialise(places.select("doc_id", "line_no", F.coalesce("component", "node").alias("class")).withColumn("row", F.monotonically_increasing_id()))
+    few = F.broadcast(label) if label.count() <= BROADCAST_LABELS else label
+    places = read.select("doc_id", "line_no", "row", "node").join(few, "node", "left")
+    places = materialise(places.select("doc_id", "line_no", "row", F.coalesce("component", "node").alias("class")))
     first = F.min(F.struct("doc_id", "line_no", "row")).alias("first")
     best = materialise(places.groupBy("class").agg(first, F.count(F.lit(1)).alias("class_size")))
     return places.join(best, "class").select("doc_id", "line_no", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), "class_size", (F.col("first.row") == F.col("row")).alias("kept"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,46 @@ def forget(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+#: Wanted keys are broadcast up to this many, about 16 bytes each.
+BROADCAST_KEYS = 500_000
+#: Slots of a filter at most, one bit each.
+SLOTS = 1 << 26
+
+
+def _slots(wanted: DataFrame) -> int:
+    """A power of 2, at least 16 for each of wanted's rows as long as that is at most SLOTS."""
+    return min(SLOTS, 1 << max(16, (16 * max(1, wanted.count())).bit_length()))
+
+
+def slot_words(wanted: DataFrame) -> np.ndarray:
+    """A bit for each of 2 ** k slots, which the lowest k bits of wanted's only column, a long, set: in all 8 MB at most."""
+    slots, key = _slots(wanted), F.col(wanted.columns[0])
+    slot = key.bitwiseAND(F.lit(slots - 1))
+    got = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(slots // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def matching(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is one of wanted's only column, distinct and written out.
+
+    A few keys are broadcast. More are told by a broadcast filter of slots first, so that
+    the shuffle that then decides carries little else than the rows asked for.
+    """
+    n = wanted.count()
+    other = fresh(rows, "wanted_key")
+    wanted = wanted.toDF(other)
+    if n <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(wanted), F.col(key).eqNullSafe(F.col(other)), "left_semi")
+    slots, word = _slots(wanted), fresh(rows, "slot_word")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{c}`), {slots}) & 63 as int))")
+    words = wanted.groupBy(F.shiftright(slot(other), 6).alias(word)).agg(F.bit_or(bit(other)).alias(f"{word}_bits"))  # SLOTS / 64 rows at most
+    near = rows.join(F.broadcast(words), (F.shiftright(slot(key), 6) == F.col(word)) & (F.col(f"{word}_bits").bitwiseAND(bit(key)) != 0), "left_semi")
+    return near.join(wanted, F.col(key).eqNullSafe(F.col(other)), "left_semi")
+
+
 #: Dropped rows are broadcast up to this many (about 40 bytes each), else joined by a shuffle.
 BROADCAST_DROPPED = 250_000
 
