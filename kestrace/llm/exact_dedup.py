@@ -4,12 +4,15 @@ Each partition hashes its texts, drops what repeats inside it and sends every ow
 message: the sorted distinct fingerprints of the owner's range, Golomb-Rice coded. An
 owner answers each message with a bitmap of the fingerprints that other partitions also
 sent. Rows marked by a bitmap, or repeated inside their partition, are suspects; only
-their texts are shuffled, and grouped by their bytes. A group's key travels once for each
-map task, however many copies a partition holds, so one text may be a third of the rows.
+their texts are shuffled, and their bytes make the groups. A text travels once for each map
+task, however many copies a partition holds, so one text may be a third of the rows. Rows
+find their group by a key, the first KEY_BYTES of the digest; where texts of one key differ,
+their rows are matched by the bytes themselves.
 
 Defined results: null text counts as empty; texts are equal when they are identical after
-lower-casing A-Z; the row with the largest doc_id stays (null ids are smallest); among
-repeated rows of that id one stays. An empty table gives no rows. Other columns are not read.
+lower-casing A-Z, very long ones too, byte by byte; the row with the largest doc_id stays
+(null ids are smallest); among repeated rows of that id one stays. An empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep_rows, materialise
+from .shared import keep_rows, matching, materialise
 from .text import blocks, id_text
 
 FINGERPRINT_BITS = 40
 #: Rows that a partition holds before it sends its messages.
 ROWS_A_SENDER = 1_000_000
-#: Suspect ids are broadcast up to this many (16 bytes each), else joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Fingerprints, about, that an owner receives.
+ROWS_AN_OWNER = 2_000_000
+KEY_BYTES = 16
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -119,11 +123,12 @@ def normalised(column):
     return F.translate(F.coalesce(column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs."""
     spark = docs.sparkSession
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = id_text(docs)
+    # As many owners as the fingerprints need, and no fewer than a shuffle has tasks.
+    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_AN_OWNER))
     schema = "kind int, pid long, owner int, rank long, row long, doc_id long, digest binary, again boolean, message binary"
     sent = materialise(rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(_senders(owners), schema), by="kind")
     messages = sent.where("kind = 1").select("pid", "owner", "message")
@@ -131,23 +136,37 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     bitmaps = messages.groupBy("owner").applyInPandas(_answer, "pid long, owner int, bitmap binary")
     marks = bitmaps.mapInArrow(_marked, "pid long, owner int, rank long").withColumn("hit", F.lit(True))
     seen = hashed.join(marks, ["pid", "owner", "rank"], "left")
-    seen = materialise(seen.select("pid", "row", "doc_id", "digest", (F.col("again") | F.col("hit").isNotNull()).alias("suspect")).fillna(False, ["suspect"]))
+    key = F.substring("digest", 1, key_bytes).alias("key")
+    seen = materialise(seen.select("pid", "row", "doc_id", key, "digest", (F.col("again") | F.col("hit").isNotNull()).alias("suspect")).fillna(False, ["suspect"]))
     suspects = seen.where("suspect")
 
     # The suspects' texts, grouped by their bytes.
-    ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
-    verified = texts.groupBy(normalised(F.col("text")).alias("bytes")).agg(F.count(F.lit(1)).alias("copies"))
-    verified = verified.select(F.unhex(F.sha2(F.col("bytes").cast("binary"), 256)).alias("digest")).distinct()
-
-    best = suspects.groupBy("digest").agg(F.max(F.struct("doc_id", "pid", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    best = materialise(best.join(verified, "digest"))  # written out, so that the join below can split a hot group
-    grouped = suspects.join(best, "digest").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", ((F.col("best.pid") == F.col("pid")) & (F.col("best.row") == F.col("row"))).alias("kept"), "digest"
-    )
+    ids = materialise(suspects.select("doc_id").distinct())
+    texts = matching(rows, ids, "doc_id").select("doc_id", normalised(F.col("text")).alias("bytes"))
+    by_bytes = texts.groupBy("bytes").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    digest = F.unhex(F.sha2(F.col("bytes").cast("binary"), 256))
+    groups = by_bytes.select(F.substring(digest, 1, key_bytes).alias("key"), digest.alias("its"), "keep_id", "group_size")
+    groups = materialise(groups.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
+    one = groups.where("texts = 1").drop("texts")
+    last = suspects.groupBy("key").agg(F.max(F.struct("doc_id", "pid", "row")).alias("last"))
+    one = materialise(one.join(last, "key"))  # written out, so that the join below can split a hot group
+    columns = ["doc_id", "keep_id", "group_size", "kept", "digest"]
+    kept = (F.col("last.pid") == F.col("pid")) & (F.col("last.row") == F.col("row"))
+    out = suspects.join(one, "key").withColumn("kept", kept).select(columns)
     alone = seen.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
-    return grouped.unionByName(alone).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    out = out.unionByName(alone)
+
+    clashes = materialise(groups.where("texts > 1").select("key"))
+    if clashes.limit(1).count():
+        # Texts that differ share a key: their rows carry the bytes.
+        whole = rows.select("doc_id", normalised(F.col("text")).alias("bytes")).withColumn("digest", digest).withColumn("key", F.substring("digest", 1, key_bytes))
+        whole = materialise(matching(whole, clashes, "key").withColumn("row", F.monotonically_increasing_id()))
+        best = materialise(whole.groupBy("bytes").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("group_size")))
+        apart = whole.join(best, "bytes").select("doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("last.row") == F.col("row")).alias("kept"), "digest", "key")
+        # Rows of such a key that were no suspects stand alone already.
+        apart = apart.join(seen.where("not suspect").select(F.col("doc_id").alias("lone"), F.col("digest").alias("its")).join(clashes, F.substring("its", 1, key_bytes) == F.col("key"), "left_semi"), F.col("doc_id").eqNullSafe(F.col("lone")) & (F.col("digest") == F.col("its")), "left_anti")
+        out = out.unionByName(apart.select(columns))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:

@@ -17,16 +17,54 @@ def _lowest(directed: DataFrame) -> DataFrame:
     return materialise(directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
 
 
+#: Nodes that a task joins before it sends what it found, and edges for each such task.
+LOCAL = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's edges: each node with the lowest one that it reaches there."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    def found() -> pa.RecordBatch:
+        some = [x for x in parent if parent[x] != x]
+        root = [find(x) for x in some]
+        parent.clear()
+        return pa.RecordBatch.from_pydict({"u": pa.array(some, pa.int64()), "v": pa.array(root, pa.int64())})
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) > LOCAL:
+            yield found()
+    yield found()
+
+
+def _stars(now: DataFrame) -> bool:
+    """Whether every node points at one node that points nowhere."""
+    ends = now.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    by = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return not by.where("out > 1 or out + into > 1").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node in edges (a, b); component is the lowest node.
 
-    Alternates large-star and small-star steps until nothing changes: distributed
-    union-find with path compression, in a number of rounds logarithmic in the longest
-    path. Self-loops, repeats and nulls are ignored; an empty table gives no rows.
+    Distributed union-find with path compression: each task joins its own edges, LOCAL
+    nodes at a time; then large-star and small-star steps alternate until every node points
+    at its component's lowest, in a number of rounds logarithmic in the longest path left.
+    Self-loops, repeats and nulls are ignored; an empty table gives no rows.
     """
-    now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
-    while True:
+    some = materialise(edges.where("a <> b").select("a", "b"))
+    tasks = -(-some.count() // LOCAL)
+    now = materialise(some.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long").distinct())
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both)
         large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -36,13 +74,18 @@ def components(edges: DataFrame) -> DataFrame:
         for x in (low, large, low2, now):
             forget(x)
         now = after
-        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if seen == mark:
-            break
-        mark = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, component) after links (a, b) between components, or nodes that are their own."""
+    more = materialise(components(links))
+    named = label.join(more.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    known = named.select("node", F.coalesce("into", "component").alias("component"))
+    alone = more.join(label.select("node"), "node", "left_anti")
+    return known.unionByName(alone)
+
+
 #: Pairs of one representative that share a copy of its text.
 PAIRS_A_COPY = 256
 
@@ -61,20 +104,21 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b")
 
 
-def units_apart(members: DataFrame, label: DataFrame, block: int, least: int = 2) -> DataFrame:
+def units_apart(members: DataFrame, label: DataFrame, block: int, once: bool = True) -> DataFrame:
     """Rows (unit, node, class, whole, side, and members' other columns) in which nodes of different classes meet.
 
     members: distinct (bucket, node). Any two nodes of one bucket and different classes share
     a unit, where they are to be compared if whole or if their sides differ. Buckets of one
-    class or under least nodes are left out, and of buckets with the same nodes one is taken.
+    class are left out; once: of buckets with the same nodes one is taken, and rows don't name it.
     A unit has about two blocks of nodes at most: those outside a bucket's largest class meet
     block by block, and that class only meets them, so it is copied once for each of their blocks.
     """
     known = materialise(members.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
     by = known.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("print"))
     sizes = by.groupBy("bucket").agg(F.sum("n").alias("total"), F.max("n").alias("big"), F.max_by("class", "n").alias("major"), F.count(F.lit(1)).alias("classes"), F.expr("bit_xor(print)").alias("print"))
-    same = sizes.where((F.col("classes") > 1) & (F.col("total") >= least)).groupBy("print", "total").agg(F.min(F.struct("bucket", "big", "major")).alias("x"))
-    some = materialise(same.select("x.bucket", "total", "x.big", "x.major"))
+    mixed = sizes.where("classes > 1")
+    same = mixed.groupBy("print", "total").agg(F.min(F.struct("bucket", "big", "major")).alias("x")).select("x.bucket", "total", "x.big", "x.major")
+    some = materialise(same if once else mixed.select("bucket", "total", "big", "major"))
     one, major = F.col("total") <= block, F.col("class") == F.col("major")
     h, q, p = F.xxhash64(F.lit(block), "node"), F.col("q"), F.col("p")
     rows = known.join(some, "bucket").withColumn("q", F.when(one, 1).otherwise(F.ceil((F.col("total") - F.col("big")) / block)).cast("int"))
@@ -83,7 +127,7 @@ def units_apart(members: DataFrame, label: DataFrame, block: int, least: int = 2
     rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major & ~one, q - 1).otherwise(q + p - 1))))
     unit = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
     rows = rows.withColumn("unit", unit).withColumn("whole", F.col("part") == F.col("other")).withColumn("side", F.col("part") < F.col("other"))
-    return rows.drop("bucket", "total", "big", "major", "q", "p", "part", "other")
+    return rows.drop(*(["bucket"] if once else []), "total", "big", "major", "q", "p", "part", "other")
 
 
 def dealt_units(units: DataFrame, texts: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Classes, across, components, dealt_units, each_unit, units_apart, with_texts
-from .shared import matching, materialise, slot_words
+from .graph import Classes, across, components, dealt_units, each_unit, joined, units_apart, with_texts
+from .shared import materialise, slot_words
 from .text import P_INV, P, blocks, id_text, mix64, power, seeds
 
 SHINGLE = 5
@@ -222,31 +222,38 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket and node: pairs, and all lines of large buckets. A bucket may go on in the next batch."""
+    """Of rows sorted by bucket: pairs, and all lines of large buckets. A bucket may go on in the next batch."""
     none = np.empty(0, np.int64)
     rest = (none, none, none, np.empty(0, np.int32))
 
     def done(rows: tuple, final: bool) -> tuple[list, tuple]:
-        key, node, sketch, kind = rows
-        if not len(key):
+        if not len(rows[0]):
             return [], rows
+        start, end = _runs(rows[0])
+        several = end - start > 1
+        several[-1] = True
+        pick = np.flatnonzero(np.repeat(several, end - start))
+        # Lines that several tasks sent are one; a line sent as a leader stands for its kind.
+        pick = pick[np.lexsort((-rows[3][pick], rows[1][pick], rows[0][pick]))]
+        key, node = rows[0][pick], rows[1][pick]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+        key, node, sketch, kind = (x[pick][once] for x in rows)
         start, end = _runs(key)
         large = (end - start > SMALL) | (np.maximum.reduceat(kind, start) > LINE)
         small = ~large & (end - start > 1)
         if not final:
             small[-1] = False
-        pick = np.repeat(small, end - start)
-        out = [_pair_rows(*_close(key[pick], node[pick], sketch[pick].view(np.uint64)))]
+        near = np.repeat(small, end - start)
+        out = [_pair_rows(*_close(key[near], node[near], sketch[near].view(np.uint64)))]
         left = slice(start[-1], end[-1])
         kept = (key[left], node[left], sketch[left], kind[left])
         for i in np.flatnonzero(large).tolist():
             s, e = start[i], end[i]
-            once = np.unique(node[s:e], return_index=True)[1] + s
-            lead, a, b = _star(node[once], sketch[once].view(np.uint64))
+            lead, a, b = _star(node[s:e], sketch[s:e].view(np.uint64))
             new = np.arange(s, e)[kind[s:e] != SENT]
             out += [(key[new], node[new], sketch[new], OTHER), _pair_rows(a, b)]
             if i == len(start) - 1:
-                on = once[lead[:LEADERS]]
+                on = s + lead[:LEADERS]
                 kept = (key[on], node[on], sketch[on], np.full(len(on), SENT, np.int32))
         return out, kept
 
@@ -355,11 +362,11 @@ def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(least: float):
-    """Links between resembling lines of different classes in each unit."""
+    """Classes of each unit that resembling lines link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in each_unit(batches):
-            node, kind = u.column("node").to_pylist(), u.column("class").to_pylist()
+            kind = u.column("class").to_pylist()
             text, held, classes = Grams(u.column("text").to_pylist()), {}, Classes()
             a, b = [], []
             i, j = _across(u)
@@ -371,8 +378,8 @@ def _meet(least: float):
                         held[k] = text.of(k)
                 if jaccard_reaches(held[m], held[n], least):
                     classes.join(kind[m], kind[n])
-                    a.append(max(node[m], node[n]))
-                    b.append(min(node[m], node[n]))
+                    a.append(kind[m])
+                    b.append(kind[n])
             if a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -405,14 +412,13 @@ def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = id_text(docs)
     schema = "bucket long, node long, sketch long, kind int"
     sent = rows.select("text").mapInArrow(_buckets, schema)
-    dealt = sent.repartition(F.when(F.col("kind") < OTHER, F.col("bucket")).otherwise(F.col("node"))).sortWithinPartitions("bucket", "node")
+    dealt = sent.repartition(F.when(F.col("kind") < OTHER, F.col("bucket")).otherwise(F.col("node"))).sortWithinPartitions("bucket")
     met = materialise(dealt.mapInArrow(_candidates, schema))
     pairs = materialise(met.where(F.col("kind") == PAIR).select(F.col("bucket").alias("a"), F.col("node").alias("b")).distinct())
     members = materialise(met.where(F.col("kind") == OTHER).select("bucket", "node", "sketch").distinct())
     wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
     read = materialise(rows.mapInArrow(_read(slot_words(wanted)), "doc_id long, line_no long, node long, text string").withColumn("row", F.monotonically_increasing_id()))
-    texts = matching(read.where("text is not null").select("node", "text"), wanted, "node")
-    texts = materialise(texts.groupBy("node").agg(F.first("text").alias("text")))
+    texts = materialise(read.where("text is not null").groupBy("node").agg(F.first("text").alias("text")))  # and a few that share a slot
     edges = materialise(with_texts(pairs, texts).mapInArrow(_similar(least), "a long, b long"))
     label = materialise(components(edges))
     # In a large bucket a line has met one leader only.
@@ -420,7 +426,7 @@ def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     met = materialise(apart.repartition("unit").sortWithinPartitions("unit").mapInArrow(_needed, apart.schema))
     found = materialise(dealt_units(met, texts).mapInArrow(_meet(least), "a long, b long"))
     if found.limit(1).count():
-        label = materialise(components(edges.unionByName(found)))
+        label = materialise(joined(label, found))
 
     few = F.broadcast(label) if label.count() <= BROADCAST_LABELS else label
     places = read.select("doc_id", "line_no", "row", "node").join(few, "node", "left")

@@ -9,14 +9,16 @@ A candidate pair is verified by banded alignment of the two k-mer sequences: wit
 k-mers aligned in order, the similarity is L / (n + m - L), and the band is as wide as
 that similarity allows, so no pair at or over the threshold is lost to it.
 
-Equal texts are one node. Within a bucket every node is paired with one member (a star),
-then nodes still apart are paired with several other members; so pairs grow with the
-rows, never with the square of a group. Classes are connected components of the verified
-pairs.
+Equal texts are one node. Every node is paired with one member of its first buckets (a
+star), which joins most of each group. Then all nodes of different classes that share a
+bucket, and agree in at least AGREE sketches, are compared: bucket by bucket, large ones in
+blocks, so that no pairs are written out, and a pair in the first bucket that it shares
+alone. Classes are connected components of the verified pairs.
 
 Defined results: words are lower-cased for A-Z; a text of one to four words is one k-mer;
-texts without words equal only identical texts; null text counts as empty. class_id is
-the smallest doc_id of the class, whose first row stays. An empty table gives no rows.
+texts without words equal only identical texts; null text counts as empty. A very long text
+has all its k-mers, and is compared whole. class_id is the smallest doc_id of the class
+(null ids last), whose first row stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, with_texts
-from .shared import keep_rows, materialise
+from .graph import Classes, across, components, dealt_units, each_unit, joined, units_apart, with_texts
+from .shared import keep_rows, matching, materialise
 from .text import LOWER, Block, blocks, id_text, mix64, prefix_hash, seeds, shingles, span_hash
 
 K = 5
@@ -37,12 +39,13 @@ SIMILARITY = 0.8
 SKETCHES = 16
 #: k-mers of a sketch.
 LENGTH = 3
-#: Bands of the first round, and rounds and drawn members for what is then still apart.
+#: Bands of the first round.
 FIRST_BANDS = 4
-ROUNDS = 2
-DRAWS = 4
-#: Up to so many keys (16 bytes each) go to every executor, more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
+#: Sketches that two texts of different classes must share to be compared. At a similarity
+#: of 0.8, where half of them agree on average, all but 0.02 % of pairs do.
+AGREE = 2
+#: Texts of a block of those still apart in a bucket.
+BLOCK = 64
 
 
 def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -169,18 +172,65 @@ def _verify(least: float):
 
 
 def text_key(column):
-    return F.unhex(F.md5(F.coalesce(column, F.lit("")).cast("binary")))
+    return F.unhex(F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256))
 
 
-def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts align."""
-    pairs = materialise(pairs)
-    wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "key"), "node"))
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-    # Copies of a text carry one key; the first will do.
-    texts = rows.select(text_key(F.col("text")).alias("key"), "text").join(few, "key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialise(texts)
-    return with_texts(pairs, texts).mapInArrow(_verify(least), "a long, b long")
+def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes; copies of a text carry one key, and the first will do."""
+    named = materialise(wanted.join(nodes.select("node", "key"), "node"))
+    keyed = matching(rows.select(text_key(F.col("text")).alias("key"), "text"), materialise(named.select("key")), "key")
+    once = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    return materialise(once.join(named, "key").select("node", "text"))
+
+
+def _agreeing(u: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a unit's rows to be compared: of different classes, with AGREE sketches in common, of which this bucket's is the first."""
+    bands = u.column("bands").flatten().to_numpy().reshape(u.num_rows, -1)
+    here = int(np.flatnonzero(bands[0] == u.column("bucket")[0].as_py())[0])
+    apart = across(u)
+    seen = np.zeros(apart.shape, np.int8)
+    for k in range(bands.shape[1]):
+        same = bands[:, k][:, None] == bands[:, k][None, :]
+        if k < here:
+            apart &= ~same
+        else:
+            seen += same
+    i, j = np.nonzero(apart & (seen >= AGREE))
+    order = np.argsort(-seen[i, j], kind="stable")
+    return i[order], j[order]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit that are to be compared with another one."""
+    for u in each_unit(batches):
+        i, j = _agreeing(u)
+        if len(i):
+            yield u.take(pa.array(np.unique(np.concatenate([i, j]))))
+
+
+def _meet(least: float):
+    """Classes of each unit that texts link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in each_unit(batches):
+            kind = u.column("class").to_pylist()
+            held: dict[int, np.ndarray] = {}
+            classes, a, b = Classes(), [], []
+            i, j = _agreeing(u)
+            for m, n in zip(i.tolist(), j.tolist(), strict=True):
+                if classes.find(kind[m]) == classes.find(kind[n]):
+                    continue
+                for k in (m, n):
+                    if k not in held:
+                        held[k] = kmers([(u.column("text")[k].as_py() or "").encode()])[0]
+                if aligned(held[m], held[n], least) > 0:
+                    classes.join(kind[m], kind[n])
+                    a.append(kind[m])
+                    b.append(kind[n])
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -197,26 +247,18 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bands = nodes.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"))
     buckets = materialise(bands.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b"))
     star = materialise(bands.join(buckets, "bucket").groupBy("node").agg(F.min("b").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b"))
-    edges = materialise(_verified(rows, names, star, least))
+    wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    edges = materialise(with_texts(star, _texts(rows, names, wanted)).mapInArrow(_verify(least), "a long, b long"))
     label = materialise(components(edges))
 
-    # Then all bands: in buckets that hold several classes, the nodes outside the lowest
-    # one are paired with its leader and with members drawn in several hash orders.
-    done = star
-    for again in range(ROUNDS):
-        known = nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.explode("bands").alias("bucket"))
-        draws = [F.min(F.struct(F.xxhash64(F.lit(again * DRAWS + d), "node").alias("h"), "node", "class")).alias(f"d{d}") for d in range(DRAWS)]
-        mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min_by(F.struct(F.lit(0).cast("long").alias("h"), "node", "class"), "class").alias("lead"), *draws)
-        mixed = materialise(mixed.where("low <> high").select("bucket", "low", F.array("lead", *[f"d{d}" for d in range(DRAWS)]).alias("with")))
-        outside = known.join(mixed.withColumnRenamed("bucket", "in"), (F.col("bucket") == F.col("in")) & (F.col("class") != F.col("low")))
-        pairs = outside.select("node", "class", F.explode(F.array_distinct(F.transform("with", lambda x: F.struct(x["node"].alias("b"), x["class"].alias("other"))))).alias("x"))
-        pairs = pairs.where("class <> x.other").select(F.greatest("node", "x.b").alias("a"), F.least("node", "x.b").alias("b")).distinct()
-        pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"))
-        found = materialise(_verified(rows, names, pairs, least))
-        if not found.limit(1).count():
-            break
-        done, edges = done.unionByName(pairs), edges.unionByName(found)
-        label = materialise(components(edges))
+    # Then all bands: nodes of different classes in one bucket.
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    apart = units_apart(members, label, BLOCK, once=False).join(nodes.select("node", "bands"), "node")
+    met = materialise(apart.repartition("unit").sortWithinPartitions("unit").mapInArrow(_needed, apart.schema))
+    texts = _texts(rows, names, met.select("node").distinct())
+    found = materialise(dealt_units(met, texts).mapInArrow(_meet(least), "a long, b long"))
+    if found.limit(1).count():
+        label = materialise(joined(label, found))
 
     of_key = materialise(firsts.join(label, "node", "left").select("key", F.coalesce("component", "node").alias("class")))
     named = materialise(read.select("doc_id", "row", "key").join(of_key, "key"))
