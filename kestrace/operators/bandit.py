@@ -9,8 +9,10 @@ state as of any moment is a running sum.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.spans import seeded_uniform
 
@@ -100,12 +102,16 @@ def arm_stats(state: DataFrame, confidence: int = 10) -> DataFrame:
     return state.select(*keep, "n", (F.col("n") >= confidence).alias("confident"), norm.alias("b_norm"), "alpha", "beta", mean.alias("thompson_mean"), F.floor(F.col("alpha") + F.col("beta") - 2).cast("long").alias("observations"))
 
 
-def beta_quantiles(alpha: float, beta: float, points: int = 129) -> list[float]:
-    """Quantiles of Beta(alpha, beta) at points equal steps, by summing its density on a fine grid."""
-    x = (np.arange(20000) + 0.5) / 20000
+#: Cells of the grid on which a Beta density is summed.
+BETA_GRID = 2048
+
+
+def beta_quantile(alpha: float, beta: float, u: np.ndarray, grid: int = BETA_GRID) -> np.ndarray:
+    """Quantiles of Beta(alpha, beta) at u: the density summed over the middles of equal cells, and interpolated."""
+    x = (np.arange(grid) + 0.5) / grid
     log = (alpha - 1) * np.log(x) + (beta - 1) * np.log1p(-x)
     mass = np.cumsum(np.exp(log - log.max()))
-    return np.interp(np.linspace(0, 1, points) * mass[-1], np.concatenate([[0], mass]), np.concatenate([[0], x])).tolist()
+    return np.interp(u * mass[-1], np.concatenate([[0], mass]), np.concatenate([[0], x]))
 
 
 def thompson_draws(rows: DataFrame, seed: str, *keys: str) -> DataFrame:
@@ -119,19 +125,24 @@ def thompson_draws(rows: DataFrame, seed: str, *keys: str) -> DataFrame:
     return out.withColumn("draw", F.when((F.col("alpha") == 1) & (F.col("beta") == 1), F.col("u")).otherwise(draw))
 
 
-def general_draws(spark: SparkSession, rows: DataFrame, state: DataFrame, seed: str, *keys: str, by: str = "sidecar") -> DataFrame:
-    """thompson_draws for any priors: each arm's quantiles are tabled once and interpolated.
+@F.pandas_udf(DoubleType())
+def _quantiles(alpha: pd.Series, beta: pd.Series, u: pd.Series) -> pd.Series:
+    """Of a batch's rows with a u; each pair of priors is summed once."""
+    out = pd.Series(np.nan, u.index)
+    asked = pd.DataFrame({"alpha": alpha, "beta": beta, "u": u}).dropna()
+    for (a, b), part in asked.groupby(["alpha", "beta"]):
+        out[part.index] = beta_quantile(a, b, part["u"].to_numpy())
+    return out
 
-    The table is made by a pandas function over the state (256 arms a sidecar), not on the rows.
-    """
 
-    def table(batches):
-        for b in batches:
-            yield b.assign(grid=[beta_quantiles(a, z) for a, z in zip(b["alpha"], b["beta"], strict=True)])[[by, "arm_index", "grid"]]
+def general_draws(rows: DataFrame, seed: str, *keys: str, confidence: int | None = None) -> DataFrame:
+    """thompson_draws for any priors.
 
-    grids = state.select(by, "arm_index", "alpha", "beta").mapInPandas(table, f"{by} string, arm_index int, grid array<double>")
-    out = thompson_draws(rows, seed, *keys).join(grids, [by, "arm_index"], "left")
-    at = F.col("u") * (F.size("grid") - 1)
-    low = F.least(F.floor(at), F.size("grid") - 2).cast("int")
-    between = F.get("grid", low) + (at - low) * (F.get("grid", low + 1) - F.get("grid", low))
-    return out.withColumn("draw", F.coalesce("draw", between)).drop("grid")
+    Arrow batches of three numbers go to Python, for the rows whose priors have no closed
+    form. confidence: only rows of arms with fewer observations (n) need a draw; so an
+    arm has at most that many different priors. Others have none.
+    """
+    out = thompson_draws(rows, seed, *keys)
+    open_ = F.col("draw").isNull() if confidence is None else F.col("draw").isNull() & (F.col("n") < confidence)
+    found = _quantiles(F.when(open_, F.col("alpha")), F.when(open_, F.col("beta")), F.when(open_, F.col("u")))
+    return out.withColumn("found", found).withColumn("draw", F.coalesce("draw", F.when(open_, F.col("found")))).drop("found")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import BANDIT_BYTES, SKETCH_BYTES, THOMPSON_BYTES
-from ..functions.spans import seeded_uniform, span_uptime, text_bar
+from ..functions.spans import span_uptime, text_bar
 
 
 def ratio(a, b):
@@ -52,15 +53,25 @@ def cluster_metrics(snapshots: DataFrame, sidecars: DataFrame | None = None) ->
     return out.withColumn("sample_rate", ratio(F.col("sampled_spans"), F.col("total_spans"))).withColumn("avg_reward", ratio(F.col("reward_sum"), F.col("rewards_received"))).drop("reward_sum")
 
 
-def random_sampling(classes: DataFrame, rate: float, repeats: int = 100, seed: str = "0") -> DataFrame:
+#: Draws that one md5 gives: its 128 bits are four numbers of 32.
+DRAWS_A_HASH = 4
+
+
+def random_sampling(classes: DataFrame, rate: float | DataFrame, repeats: int = 200, seed: str = "0") -> DataFrame:
     """What sampling traces at rate would capture, averaged over seeded repeats.
 
-    Each trace is drawn once for each repeat; totals are summed before the rates, and rates
-    without anything to capture are 1 (errors, slow traces) or 0 (value).
+    rate: a number, or one row with sample_rate, such as a policy's totals. Each trace is
+    drawn once for each repeat; totals are summed before the rates, and rates without
+    anything to capture are 1 (errors, slow traces) or 0 (value).
     """
     slow = F.col("class").isin("very_slow", "slow")
-    sims = F.sequence(F.lit(0), F.lit(repeats - 1))
-    drawn = classes.select("trace_id", "class", "value", F.explode(sims).alias("sim")).withColumn("hit", seeded_uniform(F.col("trace_id"), F.col("sim"), F.lit(seed)) < rate)
+    rows = classes.select("trace_id", "class", "value")
+    rows = rows.withColumn("rate", F.lit(float(rate))) if not isinstance(rate, DataFrame) else rows.crossJoin(F.broadcast(rate.select(F.col("sample_rate").alias("rate"))))
+    block = F.explode(F.sequence(F.lit(0), F.lit(-(-repeats // DRAWS_A_HASH) - 1))).alias("block")
+    hashed = rows.select("*", block).withColumn("h", F.md5(F.concat_ws("|", "trace_id", F.col("block").cast("string"), F.lit(seed)).cast("binary")))
+    draw = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long") / 4294967296.0
+    sims = F.array(*[F.struct((F.col("block") * DRAWS_A_HASH + i).alias("sim"), (draw(i) < F.col("rate")).alias("hit")) for i in range(DRAWS_A_HASH)])
+    drawn = hashed.select("class", "value", F.inline(sims)).where(F.col("sim") < repeats)
     part = lambda c: F.sum(F.when(F.col("hit"), c).otherwise(0.0))
     error = (F.col("class") == "error").cast("double")
     by = drawn.groupBy("sim").agg(
@@ -121,8 +132,6 @@ def latency_stats(rows: DataFrame, value: str, by: str) -> DataFrame:
     Ranks come from a window over counts of equal values, so equal values travel once and no
     list of all values is built.
     """
-    from pyspark.sql.window import Window
-
     counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy(by).orderBy(value)
     ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
@@ -142,22 +151,45 @@ def active_arms(stats: DataFrame, limit: int = 50) -> DataFrame:
     return stats.where("n > 0").withColumn("interpretation", interpretation(F.col("thompson_mean"))).orderBy(F.desc("n"), "arm_index").limit(limit)
 
 
+def busiest_arms(stats: DataFrame, limit: int = 50) -> DataFrame:
+    """Of each sidecar, its arms with most observations, ties by arm."""
+    rank = Window.partitionBy("sidecar").orderBy(F.desc("n"), "arm_index")
+    return stats.where("n > 0").withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit).drop("place").withColumn("interpretation", interpretation(F.col("thompson_mean")))
+
+
 def merged_arms(state: DataFrame, limit: int = 6) -> DataFrame:
     """The cluster's arms: observations added, the mean of the added priors, confident from 10 on."""
     by = state.groupBy("arm_index").agg(F.sum("n").alias("n"), (F.sum("alpha") / (F.sum("alpha") + F.sum("beta"))).alias("thompson_mean"))
     return by.where("n > 0").withColumn("confident", F.col("n") >= 10).orderBy(F.desc("n"), "arm_index").limit(limit)
 
 
-def report(metrics: DataFrame, distribution: DataFrame, comparison: DataFrame) -> DataFrame:
-    """All figures as (section, metric, value), ready to be written as JSON or printed."""
+def arm_listing(state: DataFrame) -> DataFrame:
+    """All arms that learned, sidecar by sidecar and arm by arm."""
+    return state.where("n > 0").orderBy("sidecar", "arm_index")
+
+
+#: Arms that the report names.
+REPORT_ARMS = 8
+
+
+def report(metrics: DataFrame, distribution: DataFrame, comparison: DataFrame, state: DataFrame | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """All figures as (section, metric, value), ready to be written as JSON or printed; truth is 1 or 0.
+
+    state adds the REPORT_ARMS busiest arms of the cluster and the convergence of its
+    sidecars; snapshots adds each sidecar's own metrics.
+    """
 
     def long(rows: DataFrame, section: str, *key: str) -> DataFrame:
-        names = [c for c in rows.columns if c not in key]
-        name = lambda c: F.concat_ws(".", *[F.col(k) for k in key], F.lit(c))
-        pairs = F.array(*[F.struct(name(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in names])
+        names = [c for c, kind in rows.dtypes if c not in key and kind != "string"]
+        name = lambda c: F.concat_ws(".", *[F.col(k).cast("string") for k in key], F.lit(c))
+        pairs = F.array(*[F.struct(name(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])
         return rows.select(F.lit(section).alias("section"), F.inline(pairs))
 
-    return long(metrics, "cluster").unionByName(long(distribution, "classes", "class")).unionByName(long(comparison, "comparison"))
+    out = long(metrics, "cluster").unionByName(long(distribution, "classes", "class")).unionByName(long(comparison, "comparison"))
+    if state is not None:
+        means = state.withColumn("thompson_mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
+        out = out.unionByName(long(merged_arms(state, REPORT_ARMS), "arms", "arm_index")).unionByName(long(convergence_verdict(arm_convergence(means)), "convergence"))
+    return out if snapshots is None else out.unionByName(long(snapshots, "sidecars", "sidecar"))
 
 
 def dashboard(snapshots: DataFrame, width: int = 30) -> DataFrame:

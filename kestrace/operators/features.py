@@ -61,18 +61,53 @@ def decay(cells: DataFrame, factor: float) -> DataFrame:
     return cells.withColumn("cnt", F.floor(F.col("cnt") * factor).cast("long")).where("cnt > 0")
 
 
+def folded(history: str, first: str, last: str, factor: float) -> Column:
+    """A cell's count in epoch last, which is still open, from a map of its counts by epoch.
+
+    At the end of each epoch before it the count is cut down to a whole number of count
+    times factor, also where no key came.
+    """
+    step = lambda a, e: F.floor(a * F.when(e > F.col(first), factor).otherwise(1.0)).cast("long") + F.coalesce(F.try_element_at(history, e), F.lit(0).cast("long"))
+    return F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), step)
+
+
+def closed(count: Column, epochs: Column, factor: float) -> Column:
+    """A count after so many more ends of epochs without keys."""
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), epochs), count, lambda a, i: F.floor(a * F.when(i > 0, factor).otherwise(1.0)).cast("long"))
+
+
 def decayed_sketch(keys: DataFrame, factor: float, by: str = "sidecar", epoch: str = "epoch") -> DataFrame:
-    """Cells after all epochs, decayed once at the end of each epoch that has keys or lies between two."""
+    """(by, row, col, cnt) after the last epoch that has keys: decayed at its end and at that of each epoch before.
+
+    The streaming fold leaves its last epoch open; closed at its end it is the same table.
+    """
     once = keys.groupBy(by, epoch, "packed_key").agg(F.count(F.lit(1)).alias("n"))
     cells = once.select(by, epoch, "n", F.inline(S.sketch_cells(F.col("packed_key")))).groupBy(by, "row", "col", epoch).agg(F.sum("n").alias("n"))
     last = keys.groupBy(by).agg(F.max(epoch).alias("last"))
     history = cells.groupBy(by, "row", "col").agg(F.map_from_entries(F.collect_list(F.struct(epoch, "n"))).alias("h"), F.min(epoch).alias("first")).join(last, by)
-    total = F.aggregate(F.sequence("first", "last"), F.lit(0).cast("long"), lambda a, e: F.floor((a + F.coalesce(F.try_element_at("h", e), F.lit(0))) * factor).cast("long"))
-    return history.select(by, "row", "col", total.alias("cnt"))
+    return history.select(by, "row", "col", closed(folded("h", "first", "last", factor), F.lit(1).cast("long"), factor).alias("cnt"))
 
 
 def replay_estimates(keys: DataFrame, by: str = "sidecar", seq: str = "seq") -> DataFrame:
     """(by, seq, estimate): for each key in order, the estimate from all keys before it."""
-    exploded = keys.select(by, seq, F.inline(S.sketch_cells(F.col("packed_key"))))
-    before = Window.partitionBy(by, "row", "col").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return exploded.withColumn("n", F.count(F.lit(1)).over(before)).groupBy(by, seq).agg(F.min("n").alias("estimate"))
+    return replayed_novelty(keys.select(by, seq, "packed_key"), by, seq).select(by, seq, "estimate")
+
+
+def replayed_novelty(rows: DataFrame, by: str = "sidecar", seq: str = "seq", span: int | None = None) -> DataFrame:
+    """rows (packed_key) with estimate: what a sketch of all rows before each one gives for it.
+
+    A row travels once for each cell of its key; the first copy carries it whole, so that
+    no join is needed. span: as in replay_states, histories are cut and carried on.
+    """
+    whole = F.struct(*[F.col(c) for c in rows.columns if c not in (by, seq)])
+    cells = rows.select(by, seq, F.inline(S.sketch_cells(F.col("packed_key"))), whole.alias("whole"))
+    cells = cells.withColumn("whole", F.when(F.col("row") == 0, F.col("whole"))).withColumn("part", F.lit(0) if span is None else F.floor(F.col(seq) / span))
+    before = Window.partitionBy(by, "row", "col", "part").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumn("n", F.count(F.lit(1)).over(before))
+    if span is not None:
+        past = Window.partitionBy(by, "row", "col").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        totals = cells.groupBy(by, "row", "col", "part").agg(F.count(F.lit(1)).alias("all"))
+        carried = totals.select(by, "row", "col", "part", F.coalesce(F.sum("all").over(past), F.lit(0)).alias("before"))
+        counted = counted.join(carried, [by, "row", "col", "part"]).withColumn("n", F.col("n") + F.col("before"))
+    once = counted.groupBy(by, seq).agg(F.min("n").alias("estimate"), F.max_by("whole", -F.col("row")).alias("whole"))
+    return once.select(by, seq, "estimate", "whole.*")

@@ -93,7 +93,19 @@ def decode_checkpoint(blob: bytes, magic: bytes = MAGIC) -> tuple[list[tuple[int
 
 
 def checkpoint_stats(spark: SparkSession, path: str) -> DataFrame:
-    """How many complete versions there are, the newest, and its age."""
-    found = versions(spark, path)
-    rows = spark.createDataFrame([(len(found), found[-1] if found else None)], "saves int, newest long")
-    return rows.withColumn("age_seconds", F.unix_timestamp() - F.col("newest"))
+    """saves, failed (versions begun and never finished), newest, its bytes, when it was finished and its age in seconds.
+
+    The moment is that of the newest version's commit marker, whatever its number.
+    """
+    done = versions(spark, path)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    begun = sum(s.getPath().getName().startswith("version=") for s in store.listStatus(jvm.Path(path))) if store.exists(jvm.Path(path)) else 0
+    row: tuple = (len(done), begun - len(done), None, None, None)
+    if done:
+        folder = f"{path}/version={done[-1]:010d}"
+        size = int(store.getContentSummary(jvm.Path(folder)).getLength())
+        row = (len(done), begun - len(done), done[-1], size, int(store.getFileStatus(jvm.Path(folder, "_SUCCESS")).getModificationTime()))
+    rows = spark.createDataFrame([row], "saves int, failed int, newest long, bytes long, ms long")
+    saved = F.timestamp_millis("ms")
+    return rows.select("saves", "failed", "newest", "bytes", saved.alias("saved_at"), (F.unix_millis(F.current_timestamp()) - F.col("ms")).alias("age_ms")).withColumn("age_seconds", F.greatest(F.col("age_ms") / 1000, F.lit(0.0))).drop("age_ms")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..constants import COMPLEX_SERVICES, REWARDS, SERVICE_IDS, SLOW_MS, VALUES
 from ..functions import spans as S
@@ -90,7 +91,10 @@ def routed(entries: DataFrame, routes: DataFrame | None = None) -> DataFrame:
 
 
 def broadcast_to_all(entries: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Every entry at every sidecar; the list of sidecars is the few that are configured."""
+    """Every entry at every sidecar; the list of sidecars is the few that are configured.
+
+    Where only sums are asked for, sum first and give them to all.
+    """
     return entries.crossJoin(sidecars.select("sidecar"))
 
 
@@ -101,7 +105,7 @@ def not_processed(traces: DataFrame, processed: DataFrame) -> DataFrame:
 def class_distribution(classes: DataFrame) -> DataFrame:
     """Count, value and share of each class."""
     by = classes.groupBy("class").agg(F.count(F.lit(1)).alias("traces"), F.sum("value").alias("total_value"))
-    return by.crossJoin(by.agg(F.sum("traces").alias("all"))).select("class", "traces", "total_value", (F.col("traces") / F.col("all")).alias("share"))
+    return by.withColumn("share", F.col("traces") / F.sum("traces").over(Window.partitionBy()))  # a row a class
 
 
 def baseline_summary(classes: DataFrame) -> DataFrame:

@@ -283,8 +283,9 @@ def reward_routing_selective(spark, d):
 
 @query("SELECT s.sidecar, count(*) AS rewards, round(sum(e.reward), 6)::DOUBLE AS reward FROM entered e CROSS JOIN (SELECT DISTINCT service_name AS sidecar FROM keyed) s GROUP BY s.sidecar")
 def reward_broadcast_all(spark, d):
-    sidecars = _spans(spark, d).select("sidecar").distinct()
-    return T.broadcast_to_all(_entries(spark, d), sidecars).groupBy("sidecar").agg(F.count(F.lit(1)).alias("rewards"), F.round(F.sum("reward"), 6).alias("reward"))
+    # Summed first: every sidecar gets the same entries.
+    total = _entries(spark, d).agg(F.count(F.lit(1)).alias("rewards"), F.round(F.sum("reward"), 6).alias("reward"))
+    return T.broadcast_to_all(total, _spans(spark, d).select("sidecar").distinct())
 
 
 @query("""SELECT CASE WHEN event_id % 7 = 0 THEN 'reward outside 0 to 1' WHEN event_id % 11 = 0 THEN 'context is not of 4 numbers' WHEN event_id % 13 = 0 THEN 'missing or not a number' WHEN event_id % 17 = 0 THEN 'not JSON' ELSE 'valid' END AS verdict, count(*) AS n FROM events GROUP BY ALL""")
@@ -382,46 +383,57 @@ def first_span_verdict(spark, d):
     return X.features(D.first_spans(_spans(spark, d))).select("sidecar", "trace_id", "seq", "arm_index")
 
 
+_u0 = _u("trace_id, CAST(arm_index AS VARCHAR), '0'")
+
+
+def _drawn(rows: str, name: str) -> str:
+    """rows (alpha, beta, trace_id, arm_index) with u and draw, as a chain of tables ending in name."""
+    grid = B.BETA_GRID
+    return f"""{name}_u AS (SELECT *, {_u0} AS u FROM {rows}),
+    {name}_l AS (SELECT a, b, i, (i + 0.5::DOUBLE) / {grid} AS x, (a - 1) * ln((i + 0.5::DOUBLE) / {grid}) + (b - 1) * ln(1 - (i + 0.5::DOUBLE) / {grid}) AS l FROM (SELECT DISTINCT alpha AS a, beta AS b FROM {name}_u WHERE alpha <> 1 AND beta <> 1), range({grid}) t(i)),
+    {name}_m AS (SELECT a, b, i, x, sum(exp(l - top)) OVER (PARTITION BY a, b ORDER BY i) AS mass FROM (SELECT *, max(l) OVER (PARTITION BY a, b) AS top FROM {name}_l)),
+    {name}_g AS (SELECT a, b, x AS x1, mass AS m1, coalesce(lag(x) OVER w, 0) AS x0, coalesce(lag(mass) OVER w, 0) AS m0, max(mass) OVER (PARTITION BY a, b) AS whole FROM {name}_m WINDOW w AS (PARTITION BY a, b ORDER BY i)),
+    {name}_q AS (SELECT r.sidecar, r.seq, g.x0 + (r.u * g.whole - g.m0) / (g.m1 - g.m0) * (g.x1 - g.x0) AS q FROM {name}_u r JOIN {name}_g g ON r.alpha = g.a AND r.beta = g.b AND r.u * g.whole >= g.m0 AND r.u * g.whole < g.m1),
+    {name} AS (SELECT r.*, CASE WHEN alpha = 1 AND beta = 1 THEN u WHEN beta = 1 THEN pow(u, 1 / alpha) WHEN alpha = 1 THEN 1 - pow(1 - u, 1 / beta) ELSE q END AS draw FROM {name}_u r LEFT JOIN {name}_q USING (sidecar, seq))"""
+
+
+_judged = "*, CASE WHEN is_error OR has_error = 1 THEN 'forced' WHEN n >= 10 THEN 'linucb' ELSE 'thompson' END AS method, CASE WHEN is_error OR has_error = 1 THEN 1.0 WHEN n >= 10 THEN ucb ELSE draw END::DOUBLE AS score"
 _frozen = f"""novel AS (SELECT k.sidecar, k.seq, min(c.cnt) AS est FROM firsts k JOIN cellmap m USING (sidecar, seq) JOIN cells c ON c.sidecar = m.sidecar AND c."row" = m."row" AND c.col = m.col GROUP BY ALL),
-    ready AS (SELECT k.*, {_prior}, coalesce(p.n, 0) AS n FROM (SELECT f.*, latency_bucket / 7.0::DOUBLE AS x0, CAST(has_error AS DOUBLE) AS x1, svc_id / 255.0::DOUBLE AS x2, 1 / (1 + ln(v.est + 1)) AS x3 FROM firsts f JOIN novel v USING (sidecar, seq)) k LEFT JOIN policy p ON k.sidecar = p.sidecar AND k.arm_index = p.arm_index),
-    frozen AS (SELECT *, CASE WHEN is_error OR has_error = 1 THEN 'forced' WHEN n >= 10 THEN 'linucb' ELSE 'thompson' END AS method FROM {_ucb("ready")})"""
+    ready AS (SELECT k.*, {_prior}, coalesce(p.n, 0) AS n, coalesce(p.alpha, 1)::DOUBLE AS alpha, coalesce(p.beta, 1)::DOUBLE AS beta FROM (SELECT f.*, latency_bucket / 7.0::DOUBLE AS x0, CAST(has_error AS DOUBLE) AS x1, svc_id / 255.0::DOUBLE AS x2, 1 / (1 + ln(v.est + 1)) AS x3 FROM firsts f JOIN novel v USING (sidecar, seq)) k LEFT JOIN policy p ON k.sidecar = p.sidecar AND k.arm_index = p.arm_index),
+    {_drawn("ready", "drawn")},
+    frozen AS (SELECT *, score >= 0.5 AS sampled FROM (SELECT {_judged} FROM {_ucb("drawn")}))"""
 
 
 def _decided(spark, d, config=None):
+    """What the trained sampler decides: arms and sketch of the whole table, for each trace's first span."""
     keyed = _keyed(spark, d)
     return D.decide(_spans(spark, d), _arms(spark, d), X.build_sketch(keyed), config)
 
 
-@query(f"WITH {', '.join([*CTE, _frozen])} SELECT span_id, arm_index, method, CASE method WHEN 'forced' THEN 1.0 WHEN 'linucb' THEN round(ucb, 6) END::DOUBLE AS score, method = 'forced' OR ucb >= 0.5 AS sampled FROM frozen WHERE method <> 'thompson'")
+@query(f"WITH {', '.join([*CTE, _frozen])} SELECT span_id, arm_index, method, round(score, 6) AS score, sampled FROM frozen")
 def decide_frozen(spark, d):
-    return _decided(spark, d).where("method <> 'thompson'").select("span_id", "arm_index", "method", *_r("score"), "sampled")
+    return _decided(spark, d).select("span_id", "arm_index", "method", *_r("score"), "sampled")
 
 
 @query(f"WITH {', '.join([*CTE, _frozen])} SELECT method, count(*) AS decisions, count(*) / sum(count(*)) OVER () AS share FROM frozen GROUP BY method")
 def method_mix(spark, d):
     by = _decided(spark, d).groupBy("method").agg(F.count(F.lit(1)).alias("decisions"))
-    return by.crossJoin(by.agg(F.sum("decisions").alias("all"))).select("method", "decisions", (F.col("decisions") / F.col("all")).alias("share"))
+    return by.withColumn("share", F.col("decisions") / F.sum("decisions").over(Window.partitionBy()))  # a row a method
 
 
-def _forced_only(spark, d):
-    """Decisions that SQL can follow to the last: forced ones and cold starts."""
-    rows = X.features(D.first_spans(_spans(spark, d))).withColumns({"alpha": F.lit(1.0), "beta": F.lit(1.0), "n": F.lit(0), "ucb": F.lit(0.0)})
-    return D.judged(B.thompson_draws(rows, "0", "trace_id", "arm_index"), EngineConfig())
-
-
-_u0 = _u("trace_id, CAST(arm_index AS VARCHAR), '0'")
-_cold = f"cold AS (SELECT *, CASE WHEN is_error OR has_error = 1 THEN 'forced' ELSE 'thompson' END AS method, is_error OR has_error = 1 OR {_u0} >= 0.5 AS sampled FROM firsts)"
-
-
-@query(f"WITH {', '.join([*CTE, _cold])} SELECT k.span_id, k.seq = c.seq AS first, c.sampled FROM keyed k JOIN cold c USING (sidecar, trace_id)")
+@query(f"WITH {', '.join([*CTE, _frozen])} SELECT k.span_id, k.seq = c.seq AS first, c.sampled FROM keyed k JOIN frozen c USING (sidecar, trace_id)")
 def verdict_propagation(spark, d):
-    return D.verdicts(_spans(spark, d), _forced_only(spark, d)).select("span_id", "first", "sampled")
+    return D.verdicts(_spans(spark, d), _decided(spark, d)).select("span_id", "first", "sampled")
 
 
 @query("SELECT f.span_id, a.est AS estimate, round(1 / (1 + ln(a.est + 1)), 9) AS novelty FROM firsts f JOIN sofar a USING (sidecar, seq)")
 def novelty_replay(spark, d):
     rows = X.features(D.first_spans(_spans(spark, d)))
-    return rows.join(X.replay_estimates(rows), ["sidecar", "seq"]).select("span_id", "estimate", F.round(S.novelty(F.col("estimate")), 9).alias("novelty"))
+    return X.replayed_novelty(rows, span=SPAN).select("span_id", "estimate", F.round(S.novelty(F.col("estimate")), 9).alias("novelty"))
+
+
+#: Events of a part of a history in the replays that are cut.
+SPAN = 1 << 16
 
 
 def _timed_rewards(spark, d):
@@ -440,16 +452,16 @@ _line = f"""timed AS (SELECT r.*, m.seq FROM routedx r JOIN (SELECT trace_id, ma
 @query(f"WITH {', '.join([*CTE, _line])} SELECT sidecar, arm_index, seq, n, {_rs(*_numbers)}, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM moment")
 def bandit_state_replay(spark, d):
     rows = X.features(D.first_spans(_spans(spark, d)))
-    return D.replay_states(rows, _timed_rewards(spark, d)).select("sidecar", "arm_index", "seq", "n", *_r(*_numbers, "alpha", "beta"))
+    # Histories are cut every SPAN events and carried on, as for a period that no task could hold.
+    return D.replay_states(rows, _timed_rewards(spark, d), SPAN).select("sidecar", "arm_index", "seq", "n", *_r(*_numbers, "alpha", "beta"))
 
 
 _replay = [_line, _solve("moment", "asfactors", f"sidecar, arm_index, seq, n, alpha, beta, {_factors}"), "lined AS (SELECT f.*, latency_bucket / 7.0::DOUBLE AS x0, CAST(has_error AS DOUBLE) AS x1, svc_id / 255.0::DOUBLE AS x2, 1 / (1 + ln(a.est + 1)) AS x3 FROM firsts f JOIN sofar a USING (sidecar, seq))", f"replayed AS (SELECT l.*, g.n, g.alpha, g.beta, {', '.join('g.' + f for f in B.FACTORS)} FROM lined l JOIN asfactors g USING (sidecar, arm_index, seq))"]
 
 
-@query(f"""WITH {", ".join([*CTE, *_replay])} SELECT span_id, method, round(CASE method WHEN 'forced' THEN 1.0 WHEN 'linucb' THEN ucb ELSE CASE WHEN alpha = 1 AND beta = 1 THEN u WHEN beta = 1 THEN pow(u, 1 / alpha) WHEN alpha = 1 THEN 1 - pow(1 - u, 1 / beta) ELSE alpha / (alpha + beta) END END, 6) AS score
-    FROM (SELECT *, {_u0} AS u, CASE WHEN is_error OR has_error = 1 THEN 'forced' WHEN n >= 10 THEN 'linucb' ELSE 'thompson' END AS method FROM {_ucb("replayed")})""")
+@query(f"""WITH {", ".join([*CTE, *_replay, "early AS (SELECT * FROM replayed WHERE n < 10)", _drawn("early", "redrawn")])} SELECT span_id, method, round(score, 6) AS score, score >= 0.5 AS sampled FROM (SELECT {_judged} FROM (SELECT r.*, w.draw FROM {_ucb("replayed")} r LEFT JOIN redrawn w USING (sidecar, seq)))""")
 def decide_replay(spark, d):
-    return D.replay(_spans(spark, d), _timed_rewards(spark, d)).select("span_id", "method", *_r("score"))
+    return D.replay(_spans(spark, d), _timed_rewards(spark, d)).select("span_id", "method", *_r("score"), "sampled")
 
 
 @query(f"""WITH {", ".join([*CTE, *_replay])} SELECT sidecar, coalesce(min(CASE WHEN n >= 10 THEN nth END), -1) AS first_learned, count(*) AS decisions FROM (SELECT *, row_number() OVER (PARTITION BY sidecar ORDER BY seq) AS nth FROM replayed) GROUP BY sidecar""")
@@ -459,9 +471,13 @@ def cold_start_transition(spark, d):
     return numbered.groupBy("sidecar").agg(F.coalesce(F.min(F.when(F.col("n") >= 10, F.col("place"))), F.lit(-1)).cast("long").alias("first_learned"), F.count(F.lit(1)).alias("decisions"))
 
 
-@query(f"WITH {', '.join([*CTE, _cold])} SELECT seq, sidecar, substr(trace_id, 1, 16) AS trace_id, arm_index, packed_key, method, sampled FROM cold ORDER BY seq DESC LIMIT 50")
+# CRC-32 (polynomial 3988292384, reflected) of an ASCII text, byte by byte and bit by bit.
+_crc = lambda c: f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({c}) + 1), lambda i: ascii(substr({c}, i, 1))::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"
+
+
+@query(f"WITH {', '.join([*CTE, _frozen])} SELECT seq, sidecar, substr(trace_id, 1, 16) AS trace_id, {_crc('trace_id')} AS trace_hash, arm_index, packed_key, method, round(score, 6) AS score, sampled FROM (SELECT * FROM frozen ORDER BY seq DESC LIMIT 50)")
 def recent_decisions(spark, d):
-    return D.recent(_forced_only(spark, d), 50).select("seq", "sidecar", "trace_id", "arm_index", "packed_key", "method", "sampled")
+    return D.recent(_decided(spark, d), 50).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT sidecar, seq, greatest(pushed - 100, 0) AS dropped FROM (SELECT sidecar, seq, row_number() OVER (PARTITION BY sidecar ORDER BY seq DESC) AS p, count(*) OVER (PARTITION BY sidecar) AS pushed FROM keyed) WHERE p <= 100")
@@ -470,32 +486,46 @@ def bounded_queue_survivors(spark, d):
 
 
 # ---- Metrics ----
-_m = "metrics AS (SELECT sidecar, count(*) AS total_spans, CAST(sum(CAST(sampled AS INT)) AS BIGINT) AS sampled_spans, CAST(sum(CAST(NOT sampled AS INT)) AS BIGINT) AS dropped_spans, CAST(sum(CAST(method = 'thompson' AS INT)) AS BIGINT) AS thompson_decisions, CAST(0 AS BIGINT) AS linucb_decisions, CAST(sum(CAST(method = 'forced' AS INT)) AS BIGINT) AS forced_samples FROM cold GROUP BY sidecar), rw AS (SELECT sidecar, count(*) AS rewards_received, avg(reward)::DOUBLE AS avg_reward FROM routedx GROUP BY sidecar), full_metrics AS (SELECT m.*, sampled_spans / total_spans AS sample_rate, coalesce(rewards_received, 0) AS rewards_received, coalesce(avg_reward, 0) AS avg_reward FROM metrics m LEFT JOIN rw USING (sidecar))"
+_m = "metrics AS (SELECT sidecar, count(*) AS total_spans, CAST(sum(CAST(sampled AS INT)) AS BIGINT) AS sampled_spans, CAST(sum(CAST(NOT sampled AS INT)) AS BIGINT) AS dropped_spans, CAST(sum(CAST(method = 'thompson' AS INT)) AS BIGINT) AS thompson_decisions, CAST(sum(CAST(method = 'linucb' AS INT)) AS BIGINT) AS linucb_decisions, CAST(sum(CAST(method = 'forced' AS INT)) AS BIGINT) AS forced_samples FROM frozen GROUP BY sidecar), rw AS (SELECT sidecar, count(*) AS rewards_received, avg(reward)::DOUBLE AS avg_reward FROM routedx GROUP BY sidecar), full_metrics AS (SELECT m.*, sampled_spans / total_spans AS sample_rate, coalesce(rewards_received, 0) AS rewards_received, coalesce(avg_reward, 0) AS avg_reward FROM metrics m LEFT JOIN rw USING (sidecar))"
 
 
 def _metrics(spark, d):
-    return E.sampler_metrics(_forced_only(spark, d), _arms(spark, d), _rewards(spark, d))
+    return E.sampler_metrics(_decided(spark, d), _arms(spark, d), _rewards(spark, d))
 
 
-@query(f"WITH {', '.join([*CTE, _cold, _m])} SELECT f.sidecar, total_spans, sampled_spans, dropped_spans, thompson_decisions, linucb_decisions, forced_samples, sample_rate, rewards_received, round(avg_reward, 6) AS avg_reward, coalesce(a.active_arms, 0) AS active_arms, coalesce(a.confident_arms, 0) AS confident_arms FROM full_metrics f LEFT JOIN (SELECT sidecar, count(*) AS active_arms, CAST(sum(CAST(n >= 10 AS INT)) AS BIGINT) AS confident_arms FROM state GROUP BY sidecar) a USING (sidecar)")
+@query(f"WITH {', '.join([*CTE, _frozen, _m])} SELECT f.sidecar, total_spans, sampled_spans, dropped_spans, thompson_decisions, linucb_decisions, forced_samples, sample_rate, rewards_received, round(avg_reward, 6) AS avg_reward, coalesce(a.active_arms, 0) AS active_arms, coalesce(a.confident_arms, 0) AS confident_arms, 8192 AS sketch_memory_bytes, 38912 AS bandit_memory_bytes, 4096 AS thompson_memory_bytes FROM full_metrics f LEFT JOIN (SELECT sidecar, count(*) AS active_arms, CAST(sum(CAST(n >= 10 AS INT)) AS BIGINT) AS confident_arms FROM state GROUP BY sidecar) a USING (sidecar)")
 def sampler_metrics(spark, d):
     cols = ["sidecar", "total_spans", "sampled_spans", "dropped_spans", "thompson_decisions", "linucb_decisions", "forced_samples", "sample_rate", "rewards_received"]
-    return _metrics(spark, d).select(*cols, *_r("avg_reward"), "active_arms", "confident_arms")
+    return _metrics(spark, d).select(*cols, *_r("avg_reward"), "active_arms", "confident_arms", "sketch_memory_bytes", "bandit_memory_bytes", "thompson_memory_bytes")
 
 
-@query(f"WITH {', '.join([*CTE, _cold])} SELECT k.sidecar, count(*) AS total_spans_in, CAST(sum(CAST(c.sampled AS INT)) AS BIGINT) AS total_spans_out, CAST(sum(CAST(NOT c.sampled AS INT)) AS BIGINT) AS spans_dropped, CAST(sum(CAST(k.seq = c.seq AS INT)) AS BIGINT) AS cache_misses, CAST(sum(CAST(k.seq <> c.seq AS INT)) AS BIGINT) AS cache_hits FROM keyed k JOIN cold c USING (sidecar, trace_id) GROUP BY k.sidecar")
+@query(f"WITH {', '.join([*CTE, _frozen])} SELECT k.sidecar, count(*) AS total_spans_in, CAST(sum(CAST(c.sampled AS INT)) AS BIGINT) AS total_spans_out, CAST(sum(CAST(NOT c.sampled AS INT)) AS BIGINT) AS spans_dropped, CAST(sum(CAST(k.seq = c.seq AS INT)) AS BIGINT) AS cache_misses, CAST(sum(CAST(k.seq <> c.seq AS INT)) AS BIGINT) AS cache_hits FROM keyed k JOIN frozen c USING (sidecar, trace_id) GROUP BY k.sidecar")
 def service_stats(spark, d):
-    return E.service_stats(D.verdicts(_spans(spark, d), _forced_only(spark, d)))
+    return E.service_stats(D.verdicts(_spans(spark, d), _decided(spark, d)))
 
 
-@query(f"WITH {', '.join([*CTE, _cold, _m])} SELECT count(*) AS sidecars, count(*) AS alive, CAST(sum(total_spans) AS BIGINT) AS total_spans, CAST(sum(sampled_spans) AS BIGINT) AS sampled_spans, CAST(sum(forced_samples) AS BIGINT) AS forced_samples, CAST(sum(rewards_received) AS BIGINT) AS rewards_received, round(sum(sampled_spans) / sum(total_spans), 9) AS sample_rate, round(sum(rewards_received * avg_reward) / sum(rewards_received), 6) AS avg_reward FROM full_metrics")
+@query(f"WITH {', '.join([*CTE, _frozen, _m])} SELECT count(*) AS sidecars, count(*) AS alive, CAST(sum(total_spans) AS BIGINT) AS total_spans, CAST(sum(sampled_spans) AS BIGINT) AS sampled_spans, CAST(sum(forced_samples) AS BIGINT) AS forced_samples, CAST(sum(rewards_received) AS BIGINT) AS rewards_received, round(sum(sampled_spans) / sum(total_spans), 9) AS sample_rate, round(sum(rewards_received * avg_reward) / sum(rewards_received), 6) AS avg_reward FROM full_metrics")
 def cluster_metrics(spark, d):
     return E.cluster_metrics(_metrics(spark, d)).select("sidecars", "alive", "total_spans", "sampled_spans", "forced_samples", "rewards_received", F.round("sample_rate", 9).alias("sample_rate"), *_r("avg_reward"))
 
 
-@query("SELECT sidecar, arm_index, n, n >= 10 AS confident FROM state WHERE sidecar = 'frontend' AND n > 0 ORDER BY n DESC, arm_index LIMIT 50")
+_worth = "CASE WHEN alpha / (alpha + beta) > 0.6 THEN 'high value' WHEN alpha / (alpha + beta) > 0.3 THEN 'moderate value' ELSE 'low value' END"
+
+
+@query(f"SELECT sidecar, arm_index, n, n >= 10 AS confident, {_worth} AS interpretation FROM state WHERE sidecar = 'frontend' AND n > 0 ORDER BY n DESC, arm_index LIMIT 50")
 def active_arms_topk(spark, d):
-    return E.active_arms(B.arm_stats(_arms(spark, d).where("sidecar = 'frontend'"))).select("sidecar", "arm_index", "n", "confident")
+    return E.active_arms(B.arm_stats(_arms(spark, d).where("sidecar = 'frontend'"))).select("sidecar", "arm_index", "n", "confident", "interpretation")
+
+
+@query(f"SELECT * EXCLUDE (place) FROM (SELECT sidecar, arm_index, n, n >= 10 AS confident, {_worth} AS interpretation, row_number() OVER (PARTITION BY sidecar ORDER BY n DESC, arm_index) AS place FROM state) WHERE place <= 50")
+def arms_by_sidecar(spark, d):
+    """The busiest 50 arms of every sidecar."""
+    return E.busiest_arms(B.arm_stats(_arms(spark, d))).select("sidecar", "arm_index", "n", "confident", "interpretation")
+
+
+@query("SELECT sidecar, arm_index, n FROM state")
+def arm_listing(spark, d):
+    return E.arm_listing(_arms(spark, d)).select("sidecar", "arm_index", "n")
 
 
 @query("SELECT arm_index, CAST(sum(n) AS BIGINT) AS n, round(sum(alpha) / (sum(alpha) + sum(beta)), 6)::DOUBLE AS thompson_mean, sum(n) >= 10 AS confident FROM state GROUP BY arm_index ORDER BY n DESC, arm_index LIMIT 6")
@@ -508,40 +538,62 @@ def federated_arm_merge(spark, d):
     return B.merge_states(_arms(spark, d), ["arm_index"]).select("arm_index", "n", *_r("a00", "a12", "b0", "alpha"))
 
 
-_random = f"""sim AS (SELECT c.*, s.sim, {_u("trace_id, CAST(s.sim AS VARCHAR), '0'")} < 0.2 AS hit FROM classes c CROSS JOIN (SELECT unnest(range(20)) AS sim) s),
+_random = f"""own AS (SELECT sum(sampled_spans) / sum(total_spans) AS r FROM metrics),
+    sim AS (SELECT c.*, 4 * c.block + k.k AS sim, CAST(('0x' || substr(h, 1 + 8 * k.k, 8)) AS BIGINT) / 4294967296.0::DOUBLE < own.r AS hit FROM (SELECT c.trace_id, c.class, c.value, s.block, md5(concat_ws('|', c.trace_id, CAST(s.block AS VARCHAR), '0')) AS h FROM classes c CROSS JOIN (SELECT unnest(range(50)) AS block) s) c, own, (SELECT unnest(range(4)) AS k) k),
     per AS (SELECT sim, sum(CAST(hit AS INT)) AS n, count(*) AS c, sum(CASE WHEN hit AND class = 'error' THEN 1 ELSE 0 END) / sum(CASE WHEN class = 'error' THEN 1 ELSE 0 END) AS e, sum(CASE WHEN hit AND class IN ('very_slow', 'slow') THEN 1 ELSE 0 END) / sum(CASE WHEN class IN ('very_slow', 'slow') THEN 1 ELSE 0 END) AS s, sum(CASE WHEN hit THEN value ELSE 0 END) / sum(value) AS v FROM sim GROUP BY sim),
     rnd AS (SELECT avg(n) AS avg_sample_count, avg(n / c) AS avg_actual_rate, avg(e) AS avg_error_capture, avg(s) AS avg_slow_capture, avg(v)::DOUBLE AS avg_value_capture FROM per)"""
 _rnames = ["avg_sample_count", "avg_actual_rate", "avg_error_capture", "avg_slow_capture", "avg_value_capture"]
 
 
-@query(f"WITH {', '.join([*CTE, _random])} SELECT {_rs(*_rnames)} FROM rnd")
+def _own_random(spark, d, classes):
+    """Random sampling of traces at the sampler's own rate."""
+    return E.random_sampling(classes, E.cluster_metrics(_metrics(spark, d)))
+
+
+@query(f"WITH {', '.join([*CTE, _frozen, _m, _random])} SELECT {_rs(*_rnames)} FROM rnd")
 def random_sampling_sim(spark, d):
-    return E.random_sampling(_classes(spark, d), 0.2, 20).select(*_r(*_rnames))
+    return _own_random(spark, d, _classes(spark, d)).select(*_r(*_rnames))
+
+
+_compared = """kept AS (SELECT * FROM classes WHERE trace_id IN (SELECT trace_id FROM frozen WHERE sampled)), one AS (SELECT avg(CAST(class IN ('very_slow', 'slow') AS INT)) AS slow_rate, avg(value)::DOUBLE AS value_per_trace FROM kept),
+    compared AS (SELECT 1.0::DOUBLE AS error_rate, avg_error_capture AS random_error_rate, slow_rate, avg_slow_capture AS random_slow_rate, value_per_trace, avg_value_capture AS random_value_rate, 1 - t.r AS volume_reduction,
+    1 + CAST(slow_rate >= avg_slow_capture AS INT) + CAST(value_per_trace >= avg_value_capture AS INT) AS wins FROM one, rnd, own t)"""
+_cnames = ["error_rate", "random_error_rate", "slow_rate", "random_slow_rate", "value_per_trace", "random_value_rate", "volume_reduction"]
+
+
+def _kept_classes(spark, d, classes):
+    return classes.join(_decided(spark, d).where("sampled").select("trace_id").distinct(), "trace_id", "left_semi")
 
 
-@query(f"""WITH {", ".join([*CTE, _cold, _m, _random])}, kept AS (SELECT * FROM classes WHERE trace_id IN (SELECT trace_id FROM cold WHERE sampled)), one AS (SELECT avg(CAST(class IN ('very_slow', 'slow') AS INT)) AS slow_rate, avg(value)::DOUBLE AS value_per_trace FROM kept)
-    SELECT 1.0::DOUBLE AS error_rate, round(avg_error_capture, 6) AS random_error_rate, round(slow_rate, 6) AS slow_rate, round(avg_slow_capture, 6) AS random_slow_rate, round(value_per_trace, 6) AS value_per_trace, round(avg_value_capture, 6) AS random_value_rate, round(1 - t.r, 6) AS volume_reduction,
-    1 + CAST(slow_rate >= avg_slow_capture AS INT) + CAST(value_per_trace >= avg_value_capture AS INT) AS wins FROM one, rnd, (SELECT sum(sampled_spans) / sum(total_spans) AS r FROM metrics) t""")
+@query(f"""WITH {", ".join([*CTE, _frozen, _m, _random, _compared])} SELECT {_rs(*_cnames)}, wins FROM compared""")
 def policy_comparison(spark, d):
-    classes, kept = _classes(spark, d), _forced_only(spark, d).where("sampled").select("trace_id").distinct()
-    row = E.compare_policies(classes.join(kept, "trace_id", "left_semi"), E.cluster_metrics(_metrics(spark, d)), E.random_sampling(classes, 0.2, 20))
-    return row.select(*_r("error_rate", "random_error_rate", "slow_rate", "random_slow_rate", "value_per_trace", "random_value_rate", "volume_reduction"), "wins")
+    classes = _classes(spark, d)
+    row = E.compare_policies(_kept_classes(spark, d, classes), E.cluster_metrics(_metrics(spark, d)), _own_random(spark, d, classes))
+    return row.select(*_r(*_cnames), "wins")
 
 
-@query(f"""WITH {", ".join([*CTE, _cold])}, kept AS (SELECT DISTINCT trace_id, true AS hit FROM cold WHERE sampled), j AS (SELECT c.*, coalesce(hit, false)::INT AS h FROM classes c LEFT JOIN kept USING (trace_id))
+@query(f"""WITH {", ".join([*CTE, _frozen])}, kept AS (SELECT DISTINCT trace_id, true AS hit FROM frozen WHERE sampled), j AS (SELECT c.*, coalesce(hit, false)::INT AS h FROM classes c LEFT JOIN kept USING (trace_id))
     SELECT round(avg(h), 6) AS trace_rate, round(sum(h * CAST(class = 'error' AS INT)) / sum(CAST(class = 'error' AS INT)), 6) AS error_capture, round(sum(h * CAST(class IN ('slow', 'very_slow') AS INT)) / sum(CAST(class IN ('slow', 'very_slow') AS INT)), 6) AS slow_capture, round(sum(h * value) / sum(value), 6)::DOUBLE AS value_capture FROM j""")
 def capture_rates(spark, d):
-    return E.capture_rates(_classes(spark, d), _forced_only(spark, d).where("sampled")).select(*_r("trace_rate", "error_capture", "slow_capture", "value_capture"))
+    return E.capture_rates(_classes(spark, d), _decided(spark, d).where("sampled")).select(*_r("trace_rate", "error_capture", "slow_capture", "value_capture"))
 
 
-@query("""SELECT arm_index, count(*) AS sidecars, round(avg(m), 6)::DOUBLE AS mean, round(stddev_pop(m), 6) AS spread FROM (SELECT arm_index, (alpha / (alpha + beta))::DOUBLE AS m FROM state) GROUP BY arm_index HAVING count(*) > 1""")
+@query("""SELECT arm_index, count(*) AS sidecars, round(avg(m), 6)::DOUBLE AS mean, round(stddev_pop(m), 6) AS spread, stddev_pop(m) < 0.05 AS similar, avg(m) <> 0 AND greatest(max(m) - avg(m), avg(m) - min(m)) < 0.05 AS converged FROM (SELECT arm_index, (alpha / (alpha + beta))::DOUBLE AS m FROM state) GROUP BY arm_index HAVING count(*) > 1""")
 def arm_convergence(spark, d):
-    return E.arm_convergence(B.arm_stats(_arms(spark, d))).select("arm_index", "sidecars", *_r("mean", "spread"))
+    return E.arm_convergence(B.arm_stats(_arms(spark, d))).select("arm_index", "sidecars", *_r("mean", "spread"), "similar", "converged")
 
 
-@query("""SELECT service_name, count(*) AS n, round(avg(duration_us), 6) AS mean, min(duration_us) AS min, max(duration_us) AS max, list_sort(list(duration_us))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS p50, list_sort(list(duration_us))[CAST(floor(count(*) * 0.95::DOUBLE) AS INT) + 1] AS p95, list_sort(list(duration_us))[CAST(floor(count(*) * 0.99::DOUBLE) AS INT) + 1] AS p99 FROM spans GROUP BY service_name""")
+_agreed = """agreed AS (SELECT count(*) AS shared, CAST(coalesce(sum(CAST(ok AS INT)), 0) AS BIGINT) AS converged FROM (SELECT avg(m) <> 0 AND greatest(max(m) - avg(m), avg(m) - min(m)) < 0.05 AS ok FROM (SELECT arm_index, (alpha / (alpha + beta))::DOUBLE AS m FROM state) GROUP BY arm_index HAVING count(*) > 1))"""
+
+
+@query(f"WITH {', '.join([*CTE, _agreed])} SELECT shared, converged, CASE WHEN converged = shared THEN 'all' WHEN converged > shared * 0.7 THEN 'most' ELSE 'few' END AS verdict FROM agreed")
+def convergence_verdict(spark, d):
+    return E.convergence_verdict(E.arm_convergence(B.arm_stats(_arms(spark, d))))
+
+
+@query("""SELECT service_name, count(*) AS n, round(avg(duration_us), 6) AS mean, min(duration_us) AS min, max(duration_us) AS max, list_sort(list(duration_us))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS p50, list_sort(list(duration_us))[CAST(floor(count(*) * 0.95::DOUBLE) AS INT) + 1] AS p95, list_sort(list(duration_us))[CAST(floor(count(*) * 0.99::DOUBLE) AS INT) + 1] AS p99, CASE WHEN p50 < 5000 THEN 'excellent' WHEN p50 < 10000 THEN 'good' ELSE 'high' END AS grade FROM spans GROUP BY service_name""")
 def latency_percentiles(spark, d):
-    return E.latency_stats(_spans(spark, d), "duration_us", "service_name").select("service_name", "n", *_r("mean"), "min", "max", "p50", "p95", "p99")
+    return E.latency_stats(_spans(spark, d), "duration_us", "service_name").select("service_name", "n", *_r("mean"), "min", "max", "p50", "p95", "p99", "grade")
 
 
 # ---- Windows of event time ----
@@ -560,18 +612,35 @@ def span_sessions(spark, d):
     return W.sessions(_spans(spark, d), "30 minutes").select("trace_id", F.col("start").cast("timestamp_ntz").alias("start"), "spans")
 
 
-# ---- Rows only: draws from general priors, the binary format, the report ----
-@query()
+# ---- Draws from general priors, the report ----
+_given = f"given AS (SELECT k.*, coalesce(p.alpha, 1)::DOUBLE AS alpha, coalesce(p.beta, 1)::DOUBLE AS beta FROM firsts k LEFT JOIN policy p ON k.sidecar = p.sidecar AND k.arm_index = p.arm_index)"
+
+
+@query(f"WITH {', '.join([*CTE, _given, _drawn('given', 'thrown')])} SELECT span_id, round(alpha, 6) AS alpha, round(beta, 6) AS beta, u, round(draw, 6) AS draw FROM thrown")
 def thompson_general(spark, d):
     arms = _arms(spark, d)
     rows = B.with_policy(X.with_context(X.features(D.first_spans(_spans(spark, d)))), arms)
-    return B.general_draws(spark, rows, arms, "0", "trace_id", "arm_index").select("span_id", "alpha", "beta", "u", "draw")
+    return B.general_draws(rows, "0", "trace_id", "arm_index").select("span_id", *_r("alpha", "beta"), "u", *_r("draw"))
+
+
+_long = lambda section, table, names, key=None: " UNION ALL ".join(f"SELECT '{section}' AS section, {f'concat({key}, {chr(39)}.{n}{chr(39)})' if key else chr(39) + n + chr(39)} AS metric, round(CAST({n} AS DOUBLE), 6) AS value FROM {table}" for n in names)
+_counts = ["total_spans", "sampled_spans", "dropped_spans", "thompson_decisions", "linucb_decisions", "forced_samples", "rewards_received"]
+_whole = f"""whole AS (SELECT *, sampled_spans / total_spans AS sample_rate, reward_sum / rewards_received AS avg_reward FROM (SELECT count(*) AS sidecars, count(*) AS alive, {", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _counts)}, sum(rewards_received * avg_reward) AS reward_sum FROM full_metrics)),
+    spread AS (SELECT class, count(*) AS traces, sum(value) AS total_value, count(*) / sum(count(*)) OVER () AS share FROM classes GROUP BY class),
+    busy AS (SELECT arm_index, CAST(sum(n) AS BIGINT) AS n, sum(alpha) / (sum(alpha) + sum(beta)) AS thompson_mean, sum(n) >= 10 AS confident FROM state GROUP BY arm_index ORDER BY n DESC, arm_index LIMIT {E.REPORT_ARMS}),
+    shown AS (SELECT f.*, coalesce(a.active_arms, 0) AS active_arms, coalesce(a.confident_arms, 0) AS confident_arms, 8192 AS sketch_memory_bytes, 38912 AS bandit_memory_bytes, 4096 AS thompson_memory_bytes FROM full_metrics f LEFT JOIN (SELECT sidecar, count(*) AS active_arms, sum(CAST(n >= 10 AS INT)) AS confident_arms FROM state GROUP BY sidecar) a USING (sidecar))"""
+_reported = " UNION ALL ".join([
+    _long("cluster", "whole", ["sidecars", "alive", *_counts, "sample_rate", "avg_reward"]), _long("classes", "spread", ["traces", "total_value", "share"], "class"), _long("comparison", "(SELECT *, wins >= 2 AS outperforms FROM compared)", [*_cnames, "wins", "outperforms"]),
+    _long("arms", "busy", ["n", "thompson_mean", "confident"], "arm_index"), _long("convergence", "agreed", ["shared", "converged"]), _long("sidecars", "shown", ["total_spans", "sampled_spans", "dropped_spans", "thompson_decisions", "linucb_decisions", "forced_samples", "sample_rate", "rewards_received", "avg_reward", "active_arms", "confident_arms", "sketch_memory_bytes", "bandit_memory_bytes", "thompson_memory_bytes"], "sidecar"),
+])
 
 
-@query()
+@query(f"WITH {', '.join([*CTE, _frozen, _m, _random, _compared, _agreed, _whole])} {_reported}")
 def evaluation_report(spark, d):
-    classes, metrics = _classes(spark, d), E.cluster_metrics(_metrics(spark, d))
-    return E.report(metrics, T.class_distribution(classes), E.compare_policies(classes, metrics, E.random_sampling(classes, 0.2, 20)))
+    classes, snapshots = _classes(spark, d), _metrics(spark, d)
+    metrics = E.cluster_metrics(snapshots)
+    compared = E.compare_policies(_kept_classes(spark, d, classes), metrics, E.random_sampling(classes, metrics))
+    return E.report(metrics, T.class_distribution(classes), compared, _arms(spark, d), snapshots).withColumn("value", F.round("value", 6))
 
 
 # ---- Volume ----

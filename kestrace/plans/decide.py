@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..constants import EngineConfig
 from ..functions import spans as S
 from ..operators import bandit as B
-from ..operators.features import estimate, features, replay_estimates, with_context
+from ..operators.features import estimate, features, replayed_novelty, with_context
 
 
 def by_sidecar(spans: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def by_sidecar(spans: DataFrame) -> DataFrame:
 
 def first_spans(spans: DataFrame) -> DataFrame:
     """The span that decides for its trace at its sidecar: the first in order. Traces without id share one verdict."""
-    order = Window.partitionBy("sidecar", "trace_id").orderBy("seq")
-    return spans.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    whole = F.struct(*[F.col(c) for c in spans.columns])
+    # Each map task keeps one span of a trace, so a group as large as that of the empty id is one row a task.
+    return spans.groupBy("sidecar", "trace_id").agg(F.min_by(whole, "seq").alias("one")).select("one.*")
 
 
 def judged(rows: DataFrame, config: EngineConfig) -> DataFrame:
@@ -42,7 +43,7 @@ def decide(spans: DataFrame, state: DataFrame, cells: DataFrame, config: EngineC
     rows = features(first_spans(spans))
     rows = estimate(rows, cells).withColumn("novelty", S.novelty(F.col("estimate")))
     rows = B.ucb_scores(B.with_policy(with_context(rows, F.col("novelty")), state), config.alpha)
-    rows = B.general_draws(spans.sparkSession, rows, state, config.seed, "trace_id", "arm_index")
+    rows = B.general_draws(rows, config.seed, "trace_id", "arm_index", confidence=config.confidence)
     return judged(rows, config)
 
 
@@ -57,33 +58,39 @@ def verdicts(spans: DataFrame, decisions: DataFrame, error_override: bool = Fals
     return out.withColumn("first", F.col("seq") == F.col("decided_at")).withColumn("sampled", sampled).drop("verdict", "decided_at")
 
 
-def replay_states(decisions: DataFrame, rewards: DataFrame) -> DataFrame:
+def replay_states(decisions: DataFrame, rewards: DataFrame, span: int | None = None) -> DataFrame:
     """decisions with the arm state that all earlier rewards give (n, a.., b.., alpha, beta).
 
     rewards: sidecar, arm_index, x0..x3, reward and seq, the moment they arrive; one that
     arrives with a decision's number counts after it. One running sum replaces a loop.
+    span: histories are cut at every so many numbers, summed apart and carried on, so that
+    no task holds the whole history of an arm that dominates.
     """
     parts = B.sums(F.col("reward"))
-    events = rewards.select("sidecar", "arm_index", "seq", F.lit(1).alias("kind"), *[c.cast("double").alias(k) for k, c in parts.items()])
-    asked = decisions.select("sidecar", "arm_index", "seq", F.lit(0).alias("kind"), *[F.lit(0.0).alias(k) for k in parts])
-    before = Window.partitionBy("sidecar", "arm_index").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = events.unionByName(asked)
-    line = line.select("sidecar", "arm_index", "seq", "kind", *[F.sum(k).over(before).alias(k) for k in parts]).where("kind = 0")
-    return decisions.join(B.as_state(line, ["sidecar", "arm_index", "seq"]), ["sidecar", "arm_index", "seq"])
-
-
-def replay(spans: DataFrame, rewards: DataFrame, config: EngineConfig | None = None) -> DataFrame:
-    """Every decision as it would have been taken at its moment: novelty and arms as of then, no decay."""
+    key = ["sidecar", "arm_index"]
+    whole = F.struct(*[F.col(c) for c in decisions.columns if c not in (*key, "seq")])
+    asked = decisions.select(*key, "seq", F.lit(0).alias("kind"), *[F.lit(0.0).alias(k) for k in parts], whole.alias("decision"))
+    kind = asked.schema["decision"].dataType
+    events = rewards.select(*key, "seq", F.lit(1).alias("kind"), *[c.cast("double").alias(k) for k, c in parts.items()], F.lit(None).cast(kind).alias("decision"))
+    line = events.unionByName(asked).withColumn("part", F.lit(0) if span is None else F.floor(F.col("seq") / span))
+    before = Window.partitionBy(*key, "part").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = line.select(*key, "seq", "kind", "part", "decision", *[F.sum(k).over(before).alias(k) for k in parts]).where("kind = 0")
+    if span is not None:
+        past = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        totals = line.groupBy(*key, "part").agg(*[F.sum(k).alias(k) for k in parts])
+        carried = totals.select(*key, "part", *[F.coalesce(F.sum(k).over(past), F.lit(0.0)).alias(f"{k}_before") for k in parts])
+        found = found.join(carried, [*key, "part"]).withColumns({k: F.col(k) + F.col(f"{k}_before") for k in parts})
+    return B.as_state(found, [*key, "seq", "decision"]).select("*", "decision.*").drop("decision")
+
+
+def replay(spans: DataFrame, rewards: DataFrame, config: EngineConfig | None = None, span: int | None = None) -> DataFrame:
+    """Every decision as it would have been taken at its moment: novelty and arms as of then, no decay. span as in replay_states."""
     config = config or EngineConfig()
     spans = spans if "is_error" in spans.columns else spans.withColumn("is_error", F.lit(False))
-    rows = features(first_spans(spans))
-    rows = rows.join(replay_estimates(rows), ["sidecar", "seq"]).withColumn("novelty", S.novelty(F.col("estimate")))
-    rows = replay_states(with_context(rows, F.col("novelty")), rewards)
+    rows = replayed_novelty(features(first_spans(spans)), span=span).withColumn("novelty", S.novelty(F.col("estimate")))
+    rows = replay_states(with_context(rows, F.col("novelty")), rewards, span)
     rows = B.ucb_scores(B.factorised(rows), config.alpha)
-    rows = B.thompson_draws(rows, config.seed, "trace_id", "arm_index")
-    # Priors that are no power of u: the mean stands in for the quantile, a deterministic draw.
-    rows = rows.withColumn("draw", F.coalesce("draw", F.col("alpha") / (F.col("alpha") + F.col("beta"))))
-    return judged(rows, config)
+    return judged(B.general_draws(rows, config.seed, "trace_id", "arm_index", confidence=config.confidence), config)
 
 
 def recent(decisions: DataFrame, limit: int) -> DataFrame:
@@ -96,6 +103,8 @@ def recent(decisions: DataFrame, limit: int) -> DataFrame:
 
 def queue_survivors(records: DataFrame, capacity: int, by: str = "sidecar") -> DataFrame:
     """What a full queue that evicts its oldest still holds: the last capacity records, and how many were dropped."""
+    pushed = records.groupBy(by).agg(F.count(F.lit(1)).alias("pushed"))
     newest = Window.partitionBy(by).orderBy(F.desc("seq"))
-    counted = records.withColumn("place", F.row_number().over(newest)).withColumn("pushed", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    return counted.where(F.col("place") <= capacity).withColumn("dropped", F.greatest(F.col("pushed") - capacity, F.lit(0))).drop("place", "pushed")
+    # The bound on the rank reaches the window, so each map task sends at most capacity records a queue.
+    last = records.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= capacity).drop("place")
+    return last.join(pushed, by).withColumn("dropped", F.greatest(F.col("pushed") - capacity, F.lit(0))).drop("pushed")

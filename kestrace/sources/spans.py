@@ -183,6 +183,43 @@ def synthetic_spans(spark: SparkSession, n: int, mix: dict[str, float] | None =
     )
 
 
+def make_span(spark: SparkSession, service: str, operation: str, duration_ms: float, has_error: bool = False, n: int = 1) -> DataFrame:
+    """n requests of one span each, as read_requests gives them."""
+    base = 1_700_000_000_000_000_000
+    rows = spark.range(n).select(
+        F.array(F.struct(
+            F.struct(F.expr(f"array(named_struct('key', 'service.name', 'value', named_struct('string_value', '{service}', 'int_value', cast(null as bigint), 'bool_value', cast(null as boolean), 'double_value', cast(null as double))))").alias("attributes")).alias("resource"),
+            F.array(F.struct(
+                F.struct(F.lit("maker").alias("name"), F.lit("1").alias("version")).alias("scope"),
+                F.array(F.struct(
+                    F.lower(F.lpad(F.hex("id"), 32, "0")).alias("trace_id"), F.lower(F.lpad(F.hex("id"), 16, "0")).alias("span_id"), F.lit(operation).alias("name"),
+                    F.lit(base).cast("long").alias("start_time_unix_nano"), F.lit(base + int(duration_ms * 1_000_000)).cast("long").alias("end_time_unix_nano"), F.struct(F.lit(2 if has_error else 1).alias("code")).alias("status"),
+                    F.expr(f"cast(array() as ARRAY<{KEY_VALUE}>)").alias("attributes"), F.expr("cast(array() as ARRAY<STRUCT<name: STRING>>)").alias("events"),
+                )).alias("spans"),
+            )).alias("scope_spans"),
+        )).alias("resource_spans"))
+    return rows
+
+
+#: Named mixes of traffic; an error burst and a slow spell end, so timed mixes alternate them with the normal one.
+MIXES = {
+    "normal": {"browse": 0.6, "cart": 0.2, "checkout": 0.1, "currency": 0.1},
+    "checkout": {"browse": 0.2, "cart": 0.2, "checkout": 0.6},
+    "error_burst": {"bad_checkout": 0.8, "empty": 0.2},
+    "slow": {"slow": 0.7, "browse": 0.3},
+}
+
+
+def timed_mix(spark: SparkSession, n: int, phases: list[tuple[str, int]]) -> DataFrame:
+    """n spans, ten a second, whose mix follows phases (name of MIXES, seconds) in turn, again and again; phase names each span's."""
+    total, at, out = sum(s for _, s in phases), 0, None
+    second = F.pmod(F.floor(F.col("seq") / 10), F.lit(total))
+    for name, seconds in phases:
+        part = synthetic_spans(spark, n, MIXES[name]).where((second >= at) & (second < at + seconds)).withColumn("phase", F.lit(name))
+        out, at = part if out is None else out.unionByName(part), at + seconds
+    return out
+
+
 def reward_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSON reward posts (column body) as valid rewards and rejected ones with a reason."""
     parsed = raw.withColumn("j", F.try_parse_json("body"))

@@ -58,8 +58,7 @@ def test_draws_follow_their_prior(spark):
     base = spark.range(2000).select(F.lit("s").alias("sidecar"), F.col("id").cast("string").alias("trace_id"))
     for alpha, beta, low, high in ((1.0, 1.0, 0.45, 0.55), (101.0, 1.0, 0.98, 1.0), (1.0, 101.0, 0.0, 0.02), (30.0, 10.0, 0.99, 1.0), (5.0, 5.0, 0.44, 0.56)):
         rows = base.withColumns({"arm_index": F.lit(1), "alpha": F.lit(alpha), "beta": F.lit(beta)})
-        state = spark.createDataFrame([("s", 1, alpha, beta)], "sidecar string, arm_index int, alpha double, beta double")
-        drawn = B.general_draws(spark, rows, state, "7", "trace_id", "arm_index")
+        drawn = B.general_draws(rows, "7", "trace_id", "arm_index")
         got = drawn.agg(F.avg((F.col("draw") >= 0.5).cast("int")), F.avg("draw")).first()
         assert low <= got[0] <= high and abs(got[1] - alpha / (alpha + beta)) < 0.02
 
@@ -197,3 +196,68 @@ def test_snapshots_and_dashboard(spark, tmp_path):
     assert len(lines) == 2 and "████" in lines[0] and " 50.0% 1m 1s" in lines[0] and "██░░" in lines[1]
     write_report(rows, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2 and '"sidecar":"a"' in as_json(rows).orderBy("body").first().body
+
+
+def test_draws_invert_the_beta_distribution(spark):
+    """Against the distribution function, summed on a grid a hundred times as fine."""
+    rows = spark.range(300).select(F.lit("s").alias("sidecar"), F.col("id").cast("string").alias("trace_id"), F.lit(1).alias("arm_index"), (F.lit(1.5) + F.col("id") % 5).alias("alpha"), (F.lit(1.2) + F.col("id") % 3).alias("beta"), F.lit(3).alias("n"))
+    fine = (np.arange(200_000) + 0.5) / 200_000
+    for r in B.general_draws(rows, "0", "trace_id", "arm_index").collect():
+        mass = fine ** (r.alpha - 1) * (1 - fine) ** (r.beta - 1)
+        assert abs(mass[fine <= r.draw].sum() / mass.sum() - r.u) < 2e-3
+    none = B.general_draws(rows, "0", "trace_id", "arm_index", confidence=3)
+    assert none.where("draw is not null").count() == 0  # learned arms need no draw
+
+
+def test_histories_that_are_cut_carry_on(spark):
+    many = spans(spark, *[(i, i % 7, 2 if i % 5 == 0 else 0, False) for i in range(60)])
+    events = rewards(spark, *[(i % 3 * 32, (0.1 * (i % 3), 0.0, 0.1, 0.5), (i % 10) / 10) for i in range(50)]).withColumn("sidecar", F.lit("frontend"))
+    whole = {r.seq: r for r in D.replay(many, events).collect()}
+    for span in (1, 7, 1000):
+        for r in D.replay(many, events, span=span).collect():
+            w = whole[r.seq]
+            assert (r.n, r.method, r.estimate, r.sampled) == (w.n, w.method, w.estimate, w.sampled) and abs(r.score - w.score) < 1e-9
+
+
+def test_replay_draws_from_two_sided_priors(spark):
+    many = spans(spark, *[(i, 10, 0, False) for i in range(30)])
+    arm = X.features(many).first().arm_index
+    events = rewards(spark, *[(arm, (0.0, 0.0, 0.0, 0.5), 0.5)] * 4).withColumn("sidecar", F.lit("frontend"))
+    late = [r.score for r in D.replay(many, events).where("seq > 5").collect()]
+    assert len(set(late)) == len(late) and all(0 < x < 1 for x in late)
+
+
+def test_checkpoint_age_is_a_moment(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert K.checkpoint_stats(spark, path).first().saves == 0
+    K.save_state(spark.createDataFrame([(1,)], "a int"), path, 5)
+    (tmp_path / "state" / "version=0000000009").mkdir()
+    r = K.checkpoint_stats(spark, path).first()
+    assert (r.saves, r.failed, r.newest) == (1, 1, 5) and r.bytes > 0 and 0 <= r.age_seconds < 60
+
+
+def test_report_names_everything(spark):
+    state = B.arm_state(rewards(spark, *[(i % 12, X_, 0.5) for i in range(40)]))
+    state = state.unionByName(state.withColumn("sidecar", F.lit("t")))
+    d = spark.createDataFrame([("s", "forced", True), ("t", "linucb", False)], "sidecar string, method string, sampled boolean")
+    snapshots = E.sampler_metrics(d, state, spark.createDataFrame([("s", 0.8)], "sidecar string, reward double"))
+    classes = spark.createDataFrame([("t1", "error", 1.0), ("t2", "routine", 0.1)], "trace_id string, class string, value double")
+    metrics = E.cluster_metrics(snapshots)
+    from kestrace.operators import traces as T
+
+    got = {(r.section, r.metric): r.value for r in E.report(metrics, T.class_distribution(classes), E.compare_policies(classes, metrics, E.random_sampling(classes, metrics)), state, snapshots).collect()}
+    assert got["cluster", "sample_rate"] == 0.5 and got["classes", "error.share"] == 0.5 and got["convergence", "shared"] == 12
+    assert sum(s == "arms" and m.endswith(".n") for s, m in got) == E.REPORT_ARMS and got["sidecars", "s.sampled_spans"] == 1
+
+
+def test_random_sampling_takes_the_rate_of_a_policy(spark):
+    classes = spark.createDataFrame([(f"t{i}", "routine", 0.1) for i in range(300)], "trace_id string, class string, value double")
+    row = spark.createDataFrame([(0.25,)], "sample_rate double")
+    a, b = E.random_sampling(classes, row).first(), E.random_sampling(classes, 0.25).first()
+    assert a == b and abs(a.avg_actual_rate - 0.25) < 0.01
+
+
+def test_busiest_arms_of_each_sidecar(spark):
+    stats = spark.createDataFrame([(s, i, 100 - i, 0.5) for s in "ab" for i in range(60)], "sidecar string, arm_index int, n long, thompson_mean double")
+    got = E.busiest_arms(stats).collect()
+    assert len(got) == 100 and all(r.arm_index < 50 for r in got)

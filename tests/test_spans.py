@@ -176,3 +176,16 @@ def test_sql_vocabulary(spark):
 def test_texts(spark):
     r = spark.range(1).select(S.span_uptime(F.lit(125.7)), S.text_bar(F.lit(3), F.lit(10), 10), S.text_bar(F.lit(3), F.lit(0), 4)).first()
     assert list(r) == ["2m 5s", "███░░░░░░░", "░░░░"]
+
+
+def test_one_span_requests(spark):
+    rows = I.flatten_requests(I.make_span(spark, "cartservice", "add", 12.5, True, 3)).collect()
+    assert len(rows) == 3 and len({r.trace_id for r in rows}) == 3
+    assert {(r.service_name, r.operation_name, r.duration_us, r.status_code) for r in rows} == {("cartservice", "add", 12500, 2)}
+
+
+def test_phases_of_traffic_follow_in_turn(spark):
+    rows = I.timed_mix(spark, 2000, [("normal", 30), ("error_burst", 10)])
+    got = {(r.phase, r.s // 40, r.s % 40 >= 30) for r in rows.selectExpr("phase", "cast(floor(seq / 10) as int) as s").distinct().collect()}
+    assert rows.count() == 2000 and {(p, late) for p, _, late in got} == {("normal", False), ("error_burst", True)}
+    assert rows.where("phase = 'normal' and operation_name = 'bad_checkout'").count() == 0

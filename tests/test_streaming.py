@@ -78,3 +78,69 @@ def test_windows(spark, tmp_path):
 def test_listener_keeps_the_last():
     log = P.MetricsLog(keep=2)
     assert log.lines == []
+
+
+def epochs(*rows):
+    """(epoch, key, count) as rows (sidecar, packed_key, ts, seq), in order."""
+    out = []
+    for epoch, key, n in rows:
+        out += [("a", key, epoch * 300 + i % 300, len(out) + i) for i in range(n)]
+    return out
+
+
+def as_keys(spark, rows):
+    return spark.createDataFrame(rows, "sidecar string, packed_key long, s long, seq long").select("sidecar", "packed_key", F.timestamp_seconds("s").alias("ts"), "seq")
+
+
+def test_sketch_decays_as_the_batch_does(spark, tmp_path):
+    from kestrace.operators.state import load_state
+
+    rows = as_keys(spark, epochs((0, 7, 100), (1, 7, 100), (2, 7, 100), (2, 9, 30), (5, 7, 100)))
+    path, config = str(tmp_path / "cells"), EngineConfig()
+    P.fold_sketch(stream(spark, rows, str(tmp_path / "in"), 4), path, str(tmp_path / "check"), config).awaitTermination()
+    batch = X.decayed_sketch(rows.withColumn("epoch", F.floor(F.unix_timestamp("ts") / 300)), 0.9)
+    want = {(r.row, r.col): r.cnt for r in batch.collect() if r.cnt}
+    closed = P.sketch_at(spark, path, F.timestamp_seconds(F.lit(6 * 300)), config)
+    assert {(r.row, r.col): r.cnt for r in closed.collect()} == want
+    open_ = max(r.cnt for r in load_state(spark, path, P.CELLS).collect())
+    assert open_ > max(want.values())
+    idle = P.sketch_at(spark, path, F.timestamp_seconds(F.lit(300 * 300)), config)
+    assert idle.count() == 0  # decayed away while nothing came
+
+
+def test_late_keys_count_in_the_open_epoch(spark, tmp_path):
+    path, check, src = str(tmp_path / "cells"), str(tmp_path / "check"), str(tmp_path / "in")
+    schema = "sidecar string, packed_key long, ts timestamp, seq long"
+    for batch in (epochs((3, 7, 100)), epochs((1, 7, 50))):
+        as_keys(spark, batch).coalesce(1).write.mode("append").parquet(src)
+        P.fold_sketch(spark.readStream.schema(schema).parquet(src), path, check).awaitTermination()
+    from kestrace.operators.state import load_state
+
+    assert {r.cnt for r in load_state(spark, path, P.CELLS).collect()} == {150}
+
+
+def test_a_trace_that_comes_again_counts_once(spark, tmp_path):
+    schema = "trace_id string, service_name string, duration_us long, error_tags int, seq long"
+    span = lambda t, s=1: (t, "frontend", 3_000_000, 0, s)
+    path, check, src = str(tmp_path / "arms"), str(tmp_path / "check"), str(tmp_path / "in")
+    for batch in ([span("t1"), span("t2"), span("t1")], [span("t1"), span("t3")], [span("t2"), span("t1")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        P.learn_rewards(spark.readStream.schema(schema).parquet(src), path, check).awaitTermination()
+    assert [r.n for r in P.current_arms(spark, path).collect()] == [3]
+    assert sorted(r.trace_id for r in P.marked(spark, path).collect()) == ["t1", "t2", "t3"]
+
+
+def test_bodies_are_bounded_and_keep_scopes(spark):
+    import json
+
+    rows = spark.range(400).select(F.lit("frontend").alias("service_name"), (F.col("id") / 2).cast("long").cast("string").alias("trace_id"), F.col("id").cast("string").alias("span_id"), F.struct(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("name"), F.lit("1").alias("version")).alias("scope"))
+    bodies = [json.loads(r.body) for r in P.renest(rows, 50).collect()]
+    sizes = [sum(len(s["spans"]) for s in b["scope_spans"]) for b in bodies]
+    assert sum(sizes) == 400 and len(bodies) >= 6 and max(sizes) < 120
+    assert {s["scope"]["name"] for b in bodies for s in b["scope_spans"]} == {"s0", "s1"}
+
+
+def test_health_and_end(spark, tmp_path):
+    q = spark.readStream.format("rate").load().writeStream.format("noop").queryName("pulse").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert [(r.name, r.status) for r in P.health([q]).collect()] == [("pulse", "ok")]
+    assert P.finish([q], 1.0).first().status == "stopped" and not q.isActive
