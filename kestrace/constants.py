@@ -35,11 +35,23 @@ THOMPSON_BYTES = 4096
 CHECKPOINT_BYTES = 50208
 
 
+PREFIX = "KESTRACE_"
+
+
 @dataclass(frozen=True)
 class EngineConfig:
-    """Settings of the sampler; from_environment reads them from variables of the same names in capitals."""
+    """Settings of the sampler.
+
+    from_environment reads them from variables of the same names in capitals with PREFIX,
+    else without it. Ports and the endpoint are settings that transports around the engine use.
+    """
 
     service_name: str = "unknown"
+    listen_port: int = 4317
+    http_port: int = 8081
+    forward_endpoint: str = "otel-collector:4317"
+    metrics_interval_s: float = 10.0
+    checkpoint_dir: str = ""
     alpha: float = 1.0
     threshold: float = 0.5
     confidence: int = 10
@@ -61,7 +73,7 @@ class EngineConfig:
         default = EngineConfig()
         found = {}
         for name, value in vars(default).items():
-            text = os.environ.get(name.upper())
+            text = os.environ.get(PREFIX + name.upper(), os.environ.get(name.upper()))
             if text is not None:
                 found[name] = text.strip().lower() in ("1", "true", "yes") if isinstance(value, bool) else type(value)(text)
         return EngineConfig(**found)

@@ -185,6 +185,10 @@ def test_config(monkeypatch):
     monkeypatch.setenv("FORCE_ERRORS", "false")
     c = EngineConfig.from_environment()
     assert (c.threshold, c.force_errors, c.alpha) == (0.2, False, 1.0)
+    monkeypatch.setenv("KESTRACE_THRESHOLD", "0.7")
+    monkeypatch.setenv("KESTRACE_METRICS_INTERVAL_S", "2.5")
+    c = EngineConfig.from_environment()
+    assert (c.threshold, c.metrics_interval_s, c.checkpoint_dir) == (0.7, 2.5, "")
 
 
 def test_snapshots_and_dashboard(spark, tmp_path):
