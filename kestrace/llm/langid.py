@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blocks, per_document
+from .text import blocks, bounded_batches, per_document
 
 WINDOW = 64
 HIDDEN = 8
@@ -243,7 +243,7 @@ def held_out(column: Column, modulus: int, remainder: int) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from documents that are not held out: about sample of each language, picked by a hash of the id."""
-    known = docs.where(~held_out(F.col("doc_id"), 3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = bounded_batches(docs).where(~held_out(F.col("doc_id"), 3, 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # LANGUAGES rows come to the driver at most.
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -308,4 +308,4 @@ def keep_identified(docs: DataFrame, evidence: float = EVIDENCE, model: Model |
                 ok = pa.array([has_letter(t) and x < evidence for t, x in zip(texts, none, strict=True)], pa.bool_())
                 yield b.slice(first, len(texts)).filter(ok)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

@@ -10,7 +10,9 @@ seeds stay at 1. Identifier-like tokens that confident patterns extract are adde
 `context`.
 
 Defined results: null text counts as empty; rows are independent of each other but for
-the learned patterns; an empty table gives no rows. Offsets are code points.
+the learned patterns, which are induced once, from the base kinds' seeds. Patterns and
+instances that tie at a threshold both count. Very long texts are read whole; an empty
+table gives no rows. Offsets are code points.
 """
 
 from __future__ import annotations

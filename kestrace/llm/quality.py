@@ -11,7 +11,9 @@ labelled documents; every whole text is scored.
 
 Defined results: null text counts as empty. Labels with a null grade or id are left out;
 without any usable label every document gets the middle grade's prior and is kept.
-Repeated rows repeat; an empty table gives no rows.
+Of labels that repeat an id the worst counts. Very long texts are scored whole. Equal texts
+tie in grade and probability; at SELECT exactly a document is kept. Repeated rows repeat; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ dropped, without another try inside them.
 
 Defined results: null text counts as empty; a text without secrets has no spans, counts
 of 0 and the hash of the empty string. Offsets are code points, ends exclusive. Rows are
-independent, so repeated rows repeat and an empty table gives none.
+independent, so repeated rows repeat and an empty table gives none. Very long texts are
+scanned whole.
 """
 
 from __future__ import annotations

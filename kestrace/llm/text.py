@@ -133,8 +133,25 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+#: Bytes of an Arrow batch between Spark and Python, about.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose session from now on sends Python at most ARROW_BYTES at a time (or one row); a lower setting stays.
+
+    The default is 10 000 rows or 64 MB, of which each task holds several.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
+    return docs
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone; any further columns, whatever their names, stay behind."""
+    docs = bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -117,3 +117,56 @@ def test_mix_odd_inputs(odd, empty):
     assert len(got) == 12 and all(r.taken == 0 for r in got if r.size == 0)
     assert mix(empty).count() == 0 and select_mix(empty).count() == 0
     assert set(odd.columns) <= set(select_mix(odd).columns)
+
+
+@pytest.mark.parametrize("key_bytes", [0, 1])
+def test_bytes_decide_where_keys_clash(make, key_bytes):
+    """With keys of one byte or none, different texts share them; groups are still those of the bytes."""
+    rows = [(i, f"Text {i % 40}" if i % 3 else f"own {i}") for i in range(150)] + [(500, "hot")] * 3 + [(600 + i, "HOT") for i in range(30)] + [(7, "another text of an id that repeats"), (None, None), (None, "")]
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_groups(make(*rows).repartition(4), key_bytes).collect())
+    want = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_groups(make(*rows).repartition(3)).collect())
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lower(t)].append(i)
+    assert got == want and sum(k[3] * n for k, n in got.items()) == len(groups)
+    assert Counter((i, d) for (i, _, _, _, d), n in got.items() for _ in range(n)) == Counter((i, hashlib.sha256(lower(t).encode()).hexdigest()) for i, t in rows)
+
+
+def test_mix_of_repeated_ids_meets_targets(make):
+    """Ids that repeat have repeats of their own, also where one id and text is a third of the rows."""
+    rows = [(i % 50, "w " * (5 + i % 7), "en", f"s{i % 3}") for i in range(900)] + [(77, "w w w", "en", "s2")] * 450
+    docs = make(*rows)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    got = select_mix(docs.repartition(3)).collect()
+    for r in got:
+        assert r.taken == r.repeats * len(r.text.split()) and 1 <= r.repeats <= 2
+        taken[r.source] += r.taken
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= 12, (s, taken[s], t)  # within one document
+
+
+def test_places_are_split_until_few_rows_are_left(make, monkeypatch):
+    """A digit's rows that are too many are split by the next digit; the words taken stay near the targets."""
+    monkeypatch.setattr("kestrace.llm.mixing.TRIED", 3)
+    monkeypatch.setattr("kestrace.llm.mixing.DIGIT", 2)
+    monkeypatch.setattr("kestrace.llm.mixing.LEVELS", 3)
+    monkeypatch.setattr("kestrace.llm.mixing._END", (1 << 6) - 1)
+    rows = [(i, "w " * (3 + i % 5), "en", f"s{i % 2}") for i in range(400)]
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(t.split())
+    for r in select_mix(make(*rows)).collect():
+        taken[r.source] += r.taken
+    for s, t in brute_targets(sizes).items():
+        assert abs(taken[s] - t) <= 14, (s, taken[s], t)
+
+
+def test_mix_keeps_columns_of_its_names(make):
+    from pyspark.sql import functions as F
+
+    docs = make((1, "a b c"), (2, "d e")).withColumn("repeats", F.lit("mine")).withColumn("mixed", F.lit(1))
+    got = select_mix(docs)
+    assert {r.repeats for r in got.collect()} == {"mine"} and "repeats_" in got.columns and "mixed" in got.columns

@@ -157,3 +157,74 @@ def test_grades_odd(spark, odd, empty):
 def test_features_of_tiny_texts(text):
     at, first = Q.features([text.encode(), b"next one"])
     assert first[0] == 0 and first[-1] == len(at) and len(first) == 3
+
+
+def test_stage_rejects_what_the_network_finds_no_language_in(make, empty):
+    """Letters alone would keep all of these rows."""
+    rng = random.Random(3)
+    rows = corpus(300)
+    junk = [(1000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300)), None) for i in range(20)]
+    kept = {r.doc_id for r in G.keep_identified(make(*rows, *junk)).collect()}
+    assert kept >= {i for i, _, _ in rows} and len(kept - {i for i, _, _ in rows}) <= 2
+    # Without anything to learn from, texts with a letter stay.
+    bare = make(*[(i, t, None) for i, t, _ in rows[:20]], (900, "12 !", None), (901, None, None))
+    assert {r.doc_id for r in G.keep_identified(bare).collect()} == {i for i, _, _ in rows[:20]}
+    assert G.keep_identified(empty).count() == 0
+
+
+def test_languages_against_a_plain_network(make):
+    """Labels and scores of every text against the network written as loops."""
+    rows = corpus(90)
+    model = G.fit(make(*rows))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    hid = model.bias.shape[1]
+    for _, text, _ in rows[:6]:
+        total = np.zeros(len(model.out))
+        data = text.encode()
+        for at in range(0, len(data), G.WINDOW):
+            window = data[at : at + G.WINDOW].ljust(G.WINDOW, b"\0")
+            states = np.zeros((2, G.WINDOW, hid))
+            for d, order in ((0, range(G.WINDOW)), (1, reversed(range(G.WINDOW)))):
+                h = np.zeros(hid)
+                for t in order:
+                    x, g = model.embed[d][:, window[t]], model.recur[d] @ h
+                    z, r = sig(x[:hid] + g[:hid]), sig(x[hid : 2 * hid] + g[hid : 2 * hid])
+                    n = np.tanh(x[2 * hid :] + r * (g[2 * hid :] + model.bias[d]))
+                    h = states[d, t] = z * h + (1 - z) * n
+            for t in range(min(G.WINDOW, len(data) - at)):
+                logits = model.out @ np.concatenate([states[0, t], states[1, t]]) + model.shift
+                total += logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        p = np.exp((total[: len(model.langs)] - total[: len(model.langs)].max()) / len(data))
+        lang, score, none = G.classify(model, [data])
+        assert lang[0] == model.langs[total[: len(model.langs)].argmax()] and abs(score[0] - (p / p.sum()).max()) < 1e-3
+        assert abs(none[0] - (total[-1] - total[: len(model.langs)].max())) < 1e-2 * abs(none[0]) + 0.5
+
+
+def test_counts_that_scorers_hold_are_bounded(make, monkeypatch):
+    """Whatever the counts, at most HELD words are held, and base scores stay exact."""
+    rows = [(i, "hot " * 40 + f"word{i % 7} rare{i}") for i in range(60)]
+    want = {r.doc_id: (r.base_score, r.n_known, r.score) for r in M.language_scores(make(*rows)).collect()}
+    for held in (0, 1, 4):
+        monkeypatch.setattr(M, "HELD", held)
+        for r in M.language_scores(make(*rows)).collect():
+            assert abs(r.base_score - want[r.doc_id][0]) < 1e-6 and r.n_known == want[r.doc_id][1] and abs(r.score - want[r.doc_id][2]) < 0.5
+
+
+def test_levels_of_counts(spark):
+    from pyspark.sql import functions as F
+
+    for n, level in [(r.n, r.level) for r in spark.createDataFrame([(x,) for x in [1, 7, 255, 256, 257, 511, 512, 1023, 99_999, 100_001, 10**12 + 12345]], "n long").select("n", M.count_level(F.col("n")).alias("level")).collect()]:
+        shift = max(0, n.bit_length() - 8)
+        assert level == n >> shift << shift
+
+
+def test_grades_against_a_plain_sum(spark, make, words):
+    """Probabilities of every document against the weights summed in Python."""
+    rows, labels = graded_rows(words, 200)
+    model = Q.fit(make(*rows), spark.createDataFrame(labels, LABELS))
+    got = {r.doc_id: r for r in Q.graded(make(*rows), spark.createDataFrame(labels, LABELS), model).collect()}
+    for i, text in rows[:40]:
+        at, _ = Q.features([text.encode()])
+        z = sum(float(model.weights[a]) for a in at.tolist())
+        above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert abs(got[i].expected_grade - sum(above)) < 1e-4 and abs(got[i].p_top - above[-1]) < 1e-4 and got[i].kept == (above[-1] >= Q.SELECT)

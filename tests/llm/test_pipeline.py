@@ -57,6 +57,17 @@ def test_stages(spark, make, words, tmp_path):
     assert ran == {(r.doc_id, r.repeats) for r in docs.collect()}
 
 
+def test_stages_on_empty_and_odd_tables(spark, empty, odd, tmp_path):
+    """No table, repeated rows, nulls and clashing names: no stage fails, loses a column or makes a row."""
+    spark.createDataFrame([(1, "same text here"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, empty, str(tmp_path))
+        assert got.count() == 0 and set(got.columns) >= set(empty.columns), name
+        got = stage(spark, odd, str(tmp_path))
+        assert set(got.columns) >= set(odd.columns) and got.count() <= odd.count(), name
+        assert {r.kept for r in got.select("kept").collect()} <= {"mine"} and {r.bucket for r in got.select("bucket").collect()} <= {1}, name
+
+
 def test_registered_once():
     names = __spark_entry__.queries()
     for n in range(1, 11):

@@ -210,3 +210,84 @@ def test_decontam_odd(spark, odd, empty):
     assert contaminated(empty, items).count() == 0 and contaminated(odd, spark.createDataFrame([], BENCH)).count() == 0
     out = drop_contaminated(odd, items)
     assert out.columns == odd.columns and out.count() == 10
+
+
+def test_recall_of_line_pairs(make, words):
+    """Families of template lines: the share of all pairs at the threshold that end in one class."""
+    rng = random.Random(31)
+    lines = set()
+    for g in range(5):
+        frame = [rng.choice(words) for _ in range(14)]
+        for _ in range(110):
+            w = list(frame)
+            for k in rng.sample(range(14), rng.randint(1, 4)):
+                w[k] = rng.choice(words[g * 9 : g * 9 + 9])
+            lines.add(" ".join(w))
+    lines = sorted(lines)
+    rng.shuffle(lines)
+    sets = [shingle_set(x) for x in lines]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    got = {r.doc_id: r.keep_doc_id for r in line_classes(make(*enumerate(lines)).repartition(4)).collect()}
+    assert len(pairs) > 100 and np.mean([got[i] == got[j] for i, j in pairs]) >= 0.98
+    want = union(len(lines), pairs)
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is joined that the pairs don't join
+
+
+def test_near_copies_inside_a_hot_bucket(make, words, monkeypatch):
+    """Many texts on one long passage, whose few near copies share only buckets that all of them share, over small blocks."""
+    monkeypatch.setattr("kestrace.llm.near_dedup.BLOCK", 6)
+    rng = random.Random(17)
+    shared = " ".join(rng.choice(words) for _ in range(150))
+    own = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(60)]
+    texts = [f"{shared} {x}" for x in own]
+    texts += [edited(t, rng, words, 3) for t in texts[:25]]
+    rng.shuffle(texts)
+    seqs = [kmers([t.encode()])[0] for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if aligned(seqs[i], seqs[j]) > 0]
+    got = {r.doc_id: r.class_id for r in near_classes(make(*enumerate(texts)).repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == union(len(texts), pairs) and len(pairs) > 10
+
+
+def test_components_after_local_joins(spark, monkeypatch):
+    """With tasks that join few nodes, the rounds have to do the rest."""
+    monkeypatch.setattr("kestrace.llm.graph.LOCAL", 20)
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(150)] + [(300, x) for x in range(301, 380)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)]
+    rng.shuffle(pairs)
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(9)).collect()}
+    want = union(700, pairs)
+    assert all(got[i] == want[i] for i in got)
+
+
+def test_long_and_short_items(spark, make, words):
+    """An item of 2500 words and items of one to seven words, against all documents by brute force."""
+    rng = random.Random(41)
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    long = say(2500)
+    items = [(0, " ".join(long)), (1, "Zyx"), (2, "qaa qbb"), (3, "qcc qdd qee qff qgg qhh qii"), *[(i, " ".join(say(30))) for i in range(4, 20)]]
+    reworded = [w if rng.random() < 0.72 else rng.choice(words) for w in long]
+    reworded[-40:] = long[-40:]  # the answer stays
+    docs = [say(200) + long + say(100), say(50) + reworded + say(20), say(31) + ["zyX"] + say(90), say(63) + ["qaa", "qbb"] + say(5), say(10) + ["qbb", "qaa"] + say(10), say(33) + "qcc qdd qee qff qgg qhh qii".split(), say(300), ["qcc", "qdd", "qee"], long[:900]]
+    got = {(r.doc_id, r.item_id) for r in contaminated(make(*[(i, " ".join(d)) for i, d in enumerate(docs)]), spark.createDataFrame(items, BENCH)).collect()}
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 2), (5, 3)}
+
+
+def test_best_span_that_has_the_answer():
+    words = [f"w{i}" for i in range(24)]
+    item = Item(1, words_of([" ".join(words).encode()])[0].tolist(), frozenset(words_of([b"w22 w23"])[0].tolist()))
+    part = words[:20]  # the longer copy, but without the answer
+    with_answer = [w for i, w in enumerate(words) if i not in (3, 8, 13, 17)]
+    region = words_of([" ".join(part + ["x"] * 40 + with_answer).encode()])[0].tolist()
+    got = confirm(item, region)
+    assert got and got[2] >= 20 and got[1] == 1.0
+
+
+def test_rare_signs_fall_back_to_strings(make):
+    """Lines with more different signs than can be packed."""
+    rng = random.Random(5)
+    base = ["".join(chr(0x4E00 + rng.randrange(15000)) for _ in range(200)) for _ in range(40)]
+    lines = base + [x[:190] + "ab" + x[192:] for x in base[:20]]
+    sets = [shingle_set(x) for x in lines]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.keep_doc_id for r in line_classes(make(*enumerate(lines))).collect()}
+    assert [got[i] for i in range(len(lines))] == union(len(lines), pairs) and len(pairs) == 20
