@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import LATENCY_BOUNDS_US, SERVICE_IDS, SKETCH_SEEDS, UNKNOWN_SERVICE_ID, EngineConfig
+from ..constants import LATENCY_BOUNDS_US, SERVICE_IDS, SKETCH_SEEDS, UNKNOWN_SERVICE_ID
 from ..functions import spans as S
 from ..operators import bandit as B
 from ..operators import evaluate as E
