@@ -104,6 +104,14 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b")
 
 
+def mixed_buckets(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members with their class, and the buckets of more than one class: total, big and major (the largest class), print."""
+    known = materialise(members.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
+    by = known.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("print"))
+    sizes = by.groupBy("bucket").agg(F.sum("n").alias("total"), F.max("n").alias("big"), F.max_by("class", "n").alias("major"), F.count(F.lit(1)).alias("classes"), F.expr("bit_xor(print)").alias("print"))
+    return known, sizes.where("classes > 1")
+
+
 def units_apart(members: DataFrame, label: DataFrame, block: int, once: bool = True) -> DataFrame:
     """Rows (unit, node, class, whole, side, and members' other columns) in which nodes of different classes meet.
 
@@ -113,10 +121,7 @@ def units_apart(members: DataFrame, label: DataFrame, block: int, once: bool = T
     A unit has about two blocks of nodes at most: those outside a bucket's largest class meet
     block by block, and that class only meets them, so it is copied once for each of their blocks.
     """
-    known = materialise(members.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"))
-    by = known.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(node))").alias("print"))
-    sizes = by.groupBy("bucket").agg(F.sum("n").alias("total"), F.max("n").alias("big"), F.max_by("class", "n").alias("major"), F.count(F.lit(1)).alias("classes"), F.expr("bit_xor(print)").alias("print"))
-    mixed = sizes.where("classes > 1")
+    known, mixed = mixed_buckets(members, label)
     same = mixed.groupBy("print", "total").agg(F.min(F.struct("bucket", "big", "major")).alias("x")).select("x.bucket", "total", "x.big", "x.major")
     some = materialise(same if once else mixed.select("bucket", "total", "big", "major"))
     one, major = F.col("total") <= block, F.col("class") == F.col("major")

@@ -10,10 +10,12 @@ k-mers aligned in order, the similarity is L / (n + m - L), and the band is as w
 that similarity allows, so no pair at or over the threshold is lost to it.
 
 Equal texts are one node. Every node is paired with one member of its first buckets (a
-star), which joins most of each group. Then all nodes of different classes that share a
-bucket, and agree in at least AGREE sketches, are compared: bucket by bucket, large ones in
-blocks, so that no pairs are written out, and a pair in the first bucket that it shares
-alone. Classes are connected components of the verified pairs.
+star), which joins most of each group. In large buckets that still hold several classes,
+nodes are then sorted by their further sketches, and neighbours of different classes paired.
+Last, all nodes of different classes that share a bucket, and agree in at least AGREE
+sketches, are compared: bucket by bucket, large ones in blocks, so that no pairs are written
+out, and a pair in the first bucket that it shares alone. Classes are connected components
+of the verified pairs.
 
 Defined results: words are lower-cased for A-Z; a text of one to four words is one k-mer;
 texts without words equal only identical texts; null text counts as empty. A very long text
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Classes, across, components, dealt_units, each_unit, joined, units_apart, with_texts
+from .graph import Classes, across, components, dealt_units, each_unit, joined, mixed_buckets, units_apart, with_texts
 from .shared import keep_rows, matching, materialise
 from .text import LOWER, Block, blocks, id_text, mix64, prefix_hash, seeds, shingles, span_hash
 
@@ -42,10 +44,10 @@ LENGTH = 3
 #: Bands of the first round.
 FIRST_BANDS = 4
 #: Sketches that two texts of different classes must share to be compared. At a similarity
-#: of 0.8, where half of them agree on average, all but 0.02 % of pairs do.
-AGREE = 2
+#: of 0.8, where half of them agree on average, all but 0.15 % of pairs do.
+AGREE = 3
 #: Texts of a block of those still apart in a bucket.
-BLOCK = 64
+BLOCK = 128
 
 
 def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +185,26 @@ def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(once.join(named, "key").select("node", "text"))
 
 
+def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts align."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return materialise(with_texts(pairs, _texts(rows, nodes, wanted)).mapInArrow(_verify(least), "a long, b long"))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and further sketches: neighbours of one bucket and different classes."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket, node, kind = (b.column(c).to_numpy() for c in ("bucket", "node", "class"))
+        if last is not None:
+            bucket, node, kind = (np.concatenate([[x], y]) for x, y in zip(last, (bucket, node, kind), strict=True))
+        at = np.flatnonzero((bucket[1:] == bucket[:-1]) & (kind[1:] != kind[:-1]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(node[at], node[at + 1])), "b": pa.array(np.minimum(node[at], node[at + 1]))})
+        last = bucket[-1], node[-1], kind[-1]
+
+
 def _agreeing(u: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a unit's rows to be compared: of different classes, with AGREE sketches in common, of which this bucket's is the first."""
     bands = u.column("bands").flatten().to_numpy().reshape(u.num_rows, -1)
@@ -247,12 +269,24 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bands = nodes.select("node", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("bucket"))
     buckets = materialise(bands.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "b"))
     star = materialise(bands.join(buckets, "bucket").groupBy("node").agg(F.min("b").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b"))
-    wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    edges = materialise(with_texts(star, _texts(rows, names, wanted)).mapInArrow(_verify(least), "a long, b long"))
-    label = materialise(components(edges))
-
-    # Then all bands: nodes of different classes in one bucket.
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    label = materialise(components(_verified(rows, names, star, least)))
+
+    # A pair that agrees in AGREE sketches meets first in one of the others.
+    members = nodes.select("node", F.posexplode(F.slice("bands", 1, SKETCHES - AGREE + 1)).alias("turn", "bucket"))
+    known, mixed = mixed_buckets(members, label)
+    mixed = materialise(mixed.select("bucket", "total"))
+    large = mixed.where(F.col("total") > BLOCK).select("bucket")
+    if large.limit(1).count():
+        inside = known.join(large, "bucket").join(nodes.select("node", "bands"), "node")
+        further = F.expr("concat(slice(bands, turn + 1, size(bands)), slice(bands, 1, turn))")
+        inside = inside.select("bucket", "node", "class", further.alias("further"))
+        beside = inside.repartitionByRange("bucket", "further").sortWithinPartitions("bucket", "further").mapInArrow(_neighbours, "a long, b long")
+        pairs = materialise(beside.distinct().join(star, ["a", "b"], "left_anti"))
+        closer = materialise(_verified(rows, names, pairs, least).join(label.select(F.col("node").alias("a"), F.col("component").alias("one")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("two")), "b", "left"))
+        label = materialise(joined(label, closer.select(F.coalesce("one", "a").alias("a"), F.coalesce("two", "b").alias("b"))))
+
+    # Then nodes of different classes in one bucket; those of one class so far stay so.
+    members = known.join(mixed.select("bucket"), "bucket").select("bucket", "node")
     apart = units_apart(members, label, BLOCK, once=False).join(nodes.select("node", "bands"), "node")
     met = materialise(apart.repartition("unit").sortWithinPartitions("unit").mapInArrow(_needed, apart.schema))
     texts = _texts(rows, names, met.select("node").distinct())
