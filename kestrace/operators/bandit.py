@@ -50,26 +50,30 @@ def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
 
 
 def factorised(state: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l00..l33 of each arm's matrix and w with L w = b."""
+    """Adds the Cholesky factor l00..l33 of each arm's matrix and w with L w = b.
+
+    One projection whose columns refer to those before them.
+    """
     c = F.col
-    l00 = state.withColumn("l00", F.sqrt("a00"))
-    out = l00.withColumns({"l10": c("a01") / c("l00"), "l20": c("a02") / c("l00"), "l30": c("a03") / c("l00")})
-    out = out.withColumn("l11", F.sqrt(c("a11") - c("l10") * c("l10")))
-    out = out.withColumns({"l21": (c("a12") - c("l20") * c("l10")) / c("l11"), "l31": (c("a13") - c("l30") * c("l10")) / c("l11")})
-    out = out.withColumn("l22", F.sqrt(c("a22") - c("l20") * c("l20") - c("l21") * c("l21")))
-    out = out.withColumn("l32", (c("a23") - c("l30") * c("l20") - c("l31") * c("l21")) / c("l22"))
-    out = out.withColumn("l33", F.sqrt(c("a33") - c("l30") * c("l30") - c("l31") * c("l31") - c("l32") * c("l32")))
-    return _substitute(out, "b", "w")
-
-
-def _substitute(rows: DataFrame, given: str, name: str) -> DataFrame:
-    """Forward substitution: L name = given."""
+    steps = [
+        ("l00", F.sqrt("a00")), ("l10", c("a01") / c("l00")), ("l20", c("a02") / c("l00")), ("l30", c("a03") / c("l00")),
+        ("l11", F.sqrt(c("a11") - c("l10") * c("l10"))), ("l21", (c("a12") - c("l20") * c("l10")) / c("l11")), ("l31", (c("a13") - c("l30") * c("l10")) / c("l11")),
+        ("l22", F.sqrt(c("a22") - c("l20") * c("l20") - c("l21") * c("l21"))), ("l32", (c("a23") - c("l30") * c("l20") - c("l31") * c("l21")) / c("l22")),
+        ("l33", F.sqrt(c("a33") - c("l30") * c("l30") - c("l31") * c("l31") - c("l32") * c("l32"))),
+    ]
+    steps += [(f"w{i}", value) for i, value in enumerate(_substituted("b", [F.col(f"w{i}") for i in range(4)]))]
+    return state.select("*", *[value.alias(name) for name, value in steps])
+
+
+def _substituted(given: str, found: list[Column] | None = None) -> list[Column]:
+    """Forward substitution, L x = given: each x by those before it, as found names them or else written out."""
+    out: list[Column] = []
     for i in range(4):
         value = F.col(f"{given}{i}")
         for j in range(i):
-            value = value - F.col(f"l{i}{j}") * F.col(f"{name}{j}")
-        rows = rows.withColumn(f"{name}{i}", value / F.col(f"l{i}{i}"))
-    return rows
+            value = value - F.col(f"l{i}{j}") * (found[j] if found else out[j])
+        out.append(value / F.col(f"l{i}{i}"))
+    return out
 
 
 FACTORS = [*(f"l{i}{j}" for i in range(4) for j in range(i + 1)), *(f"w{i}" for i in range(4))]
@@ -77,10 +81,10 @@ FACTORS = [*(f"l{i}{j}" for i in range(4) for j in range(i + 1)), *(f"w{i}" for
 
 def ucb_scores(rows: DataFrame, alpha: float = 1.0) -> DataFrame:
     """rows (x0..x3, FACTORS) with ucb: the mean estimate plus alpha times its width."""
-    out = _substitute(rows, "x", "z")
-    mean = sum((F.col(f"z{i}") * F.col(f"w{i}") for i in range(1, 4)), F.col("z0") * F.col("w0"))
-    spread = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, 4)), F.col("z0") * F.col("z0"))
-    return out.withColumn("ucb", mean + alpha * F.sqrt(spread)).drop(*(f"z{i}" for i in range(4)))
+    z = _substituted("x")
+    mean = sum((z[i] * F.col(f"w{i}") for i in range(1, 4)), z[0] * F.col("w0"))
+    spread = sum((z[i] * z[i] for i in range(1, 4)), z[0] * z[0])
+    return rows.withColumn("ucb", mean + alpha * F.sqrt(spread))
 
 
 def with_policy(rows: DataFrame, state: DataFrame, by: str = "sidecar") -> DataFrame:
@@ -120,9 +124,8 @@ def thompson_draws(rows: DataFrame, seed: str, *keys: str) -> DataFrame:
     Beta(1, 1) gives u, a lone alpha or beta a power; other arms need general_draws.
     """
     u = seeded_uniform(*[F.col(k) for k in keys], F.lit(seed))
-    out = rows.withColumn("u", u)
     draw = F.when(F.col("beta") == 1, F.pow("u", 1 / F.col("alpha"))).when(F.col("alpha") == 1, 1 - F.pow(1 - F.col("u"), 1 / F.col("beta")))
-    return out.withColumn("draw", F.when((F.col("alpha") == 1) & (F.col("beta") == 1), F.col("u")).otherwise(draw))
+    return rows.withColumn("u", u).withColumn("draw", F.when((F.col("alpha") == 1) & (F.col("beta") == 1), F.col("u")).otherwise(draw))
 
 
 @F.pandas_udf(DoubleType())

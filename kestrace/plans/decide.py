@@ -30,7 +30,7 @@ def judged(rows: DataFrame, config: EngineConfig) -> DataFrame:
     learned = F.col("n") >= config.confidence
     method = F.when(forced, "forced").when(learned, "linucb").otherwise("thompson")
     score = F.when(forced, 1.0).when(learned, F.col("ucb")).otherwise(F.col("draw"))
-    return rows.withColumn("method", method).withColumn("score", score).withColumn("sampled", F.col("score") >= config.threshold)
+    return rows.select("*", method.alias("method"), score.alias("score"), (score >= config.threshold).alias("sampled"))
 
 
 def decide(spans: DataFrame, state: DataFrame, cells: DataFrame, config: EngineConfig | None = None) -> DataFrame:
