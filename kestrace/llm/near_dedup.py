@@ -46,8 +46,8 @@ FIRST_BANDS = 4
 #: Sketches that two texts of different classes must share to be compared. At a similarity
 #: of 0.8, where half of them agree on average, all but 0.15 % of pairs do.
 AGREE = 3
-#: Texts of a block of those still apart in a bucket.
-BLOCK = 128
+#: Texts of a block of those still apart in a bucket: each is copied once for every so many others.
+BLOCK = 512
 
 
 def kmers(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray]:
