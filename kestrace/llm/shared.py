@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .text import fresh
 
 _own: dict[str, str] = {}
+#: Folders of the tables written so far and not removed, oldest first.
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,17 +50,33 @@ def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/kestrace-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     atexit.register(_remove, spark, path)
     return out
 
 
+def _folders(df: DataFrame) -> set[str]:
+    """The folders of materialised tables that df reads."""
+    return {f.rsplit("/kestrace-", 1)[0] + "/kestrace-" + f.rsplit("/kestrace-", 1)[1].split("/")[0] for f in df.inputFiles() if "/kestrace-" in f}
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a materialised table that no later plan reads."""
-    for path in {f.rsplit("/kestrace-", 1)[0] + "/kestrace-" + f.rsplit("/kestrace-", 1)[1].split("/")[0] for f in df.inputFiles() if "/kestrace-" in f}:
+    for path in _folders(df):
         _remove(df.sparkSession, path)
 
 
+def step(make: Callable[[], DataFrame]) -> DataFrame:
+    """make's result, written out; the tables that were written on the way are removed."""
+    mark = len(_written)
+    out = materialise(make())
+    for path in _written[mark:-1]:
+        _remove(out.sparkSession, path)
+    del _written[mark:-1]
+    return out
+
+
 #: Wanted keys are broadcast up to this many, about 16 bytes each.
 BROADCAST_KEYS = 500_000
 #: Slots of a filter at most, one bit each.
