@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -643,6 +643,74 @@ def evaluation_report(spark, d):
     return E.report(metrics, T.class_distribution(classes), compared, _arms(spark, d), snapshots).withColumn("value", F.round("value", 6))
 
 
+# ---- Wire requests and stored traces, built from the events and read back ----
+def _pair(key: str, **value) -> Column:
+    kinds = {"string_value": "string", "int_value": "long", "bool_value": "boolean", "double_value": "double"}
+    return F.struct(F.lit(key).alias("key"), F.struct(*[value.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]).alias("value"))
+
+
+def _requests(spark, d):
+    """One export request for each event; every 23rd names no service, odd ones were retried, every 17th threw."""
+    seq = F.col("seq")
+    own = F.filter(F.array(_pair("service.name", string_value=F.col("service_name"))), lambda x: F.col("seq") % 23 != 0)
+    attributes = F.array(
+        _pair("http.status_code", int_value=F.col("http_status")), _pair("rpc.grpc.status_code", int_value=F.col("grpc_status")), _pair("otel.status_code", string_value=F.col("otel_status")),
+        _pair("error", string_value=F.col("error_attribute")), _pair("retries", int_value=seq % 2),
+    )
+    events = F.filter(F.array(F.struct(F.lit("Some Exception").alias("name"))), lambda x: F.col("seq") % 17 == 0)
+    start = seq.cast("long") * 1_000_000
+    span = F.struct(
+        F.upper("trace_id").alias("trace_id"), "span_id", F.col("operation_name").alias("name"), start.alias("start_time_unix_nano"), (start + F.col("duration_us") * 1000).alias("end_time_unix_nano"),
+        F.struct(F.col("status_code").alias("code")).alias("status"), attributes.alias("attributes"), events.alias("events"),
+    )
+    scope = F.struct(F.struct(F.lit("maker").alias("name"), F.lit("1").alias("version")).alias("scope"), F.array(span).alias("spans"))
+    return _spans(spark, d).select(F.array(F.struct(F.struct(own.alias("attributes")).alias("resource"), F.array(scope).alias("scope_spans"))).alias("resource_spans"))
+
+
+_sent = "CAST(1 + CAST(grpc_status > 0 AS INT) + CAST(otel_status IS NOT NULL AS INT) + CAST(error_attribute IS NOT NULL AS INT) + seq % 2 AS INT)"
+
+
+@query(f"SELECT trace_id, span_id, CASE WHEN seq % 23 = 0 THEN 'unknown' ELSE service_name END AS service_name, operation_name, duration_us, status_code, http_status, grpc_status, otel_status, error_attribute, {_sent} AS attributes, seq % 17 = 0 AS threw FROM spans")
+def request_spans(spark, d):
+    rows = I.flatten_requests(_requests(spark, d))
+    return rows.select("trace_id", "span_id", "service_name", "operation_name", "duration_us", "status_code", "http_status", "grpc_status", "otel_status", "error_attribute", F.size("attributes").alias("attributes"), S.exception_event(F.col("event_names")).alias("threw"))
+
+
+@query("SELECT span_id, 5 AS attributes, CAST(seq % 2 AS VARCHAR) AS retries FROM spans")
+def request_spans_whole(spark, d):
+    """The other way of reading requests, which keeps zero and empty attributes."""
+    rows = I.flatten_requests(_requests(spark, d), keep_falsy=True)
+    return rows.select("span_id", F.size("attributes").alias("attributes"), F.try_element_at("attributes", F.lit("retries")).alias("retries"))
+
+
+def _stored(spark, d):
+    """The events as a store gives traces: tags typed as JSON types them, services by process."""
+    rows = _spans(spark, d).withColumn("us", F.unix_micros("ts"))
+    tag = lambda key, text: F.struct(F.lit(key).alias("key"), F.parse_json(text).alias("value"))
+    error = F.when(F.col("error_attribute").isNotNull(), "true").when(F.col("seq") % 5 == 0, '"true"').otherwise("false")
+    otel = F.when(F.col("otel_status") == "ERROR", '"ERROR"').when(F.col("seq") % 7 == 0, '"OK"').otherwise("1")
+    tags = F.array(tag("http.status_code", F.when(F.col("seq") % 3 == 0, F.concat(F.lit('"'), F.col("http_status"), F.lit('"'))).otherwise(F.col("http_status").cast("string"))), tag("error", error), tag("otel.status_code", otel))
+    span = F.struct(F.col("span_id").alias("spanID"), F.col("operation_name").alias("operationName"), F.col("us").alias("startTime"), F.col("duration_us").alias("duration"), F.concat(F.lit("p-"), "service_name").alias("processID"), tags.alias("tags"))
+    process = F.struct(F.concat(F.lit("p-"), "service_name").alias("id"), F.struct(F.col("service_name").alias("serviceName")).alias("process"))
+    return rows.groupBy("trace_id").agg(F.collect_list(span).alias("spans"), F.map_from_entries(F.collect_set(process)).alias("processes")).withColumnRenamed("trace_id", "traceID")
+
+
+@query("SELECT trace_id, service_name, count(*) AS spans, CAST(sum(CAST(http_status >= 500 AND seq % 3 <> 0 AS INT) + CAST(error_attribute IS NOT NULL AS INT) + CAST(otel_status IS NOT NULL AS INT)) AS BIGINT) AS error_tags, max(duration_us) AS longest FROM spans GROUP BY trace_id, service_name")
+def stored_trace_errors(spark, d):
+    rows = I.flatten_traces(_stored(spark, d))
+    return rows.groupBy("trace_id", "service_name").agg(F.count(F.lit(1)).alias("spans"), F.sum("error_tags").cast("long").alias("error_tags"), F.max("duration_us").alias("longest"))
+
+
+@query("SELECT trace_id FROM spans GROUP BY trace_id HAVING bool_or(service_name = 'frontend') AND max(ts) >= TIMESTAMP '2024-01-01' ORDER BY max(ts) DESC, trace_id LIMIT 20")
+def fetched_traces(spark, d):
+    return I.fetch_traces(_stored(spark, d), "frontend", 20, 1_704_067_200_000_000).select(F.col("traceID").alias("trace_id"))
+
+
+@query("SELECT DISTINCT service_name AS service FROM spans")
+def service_list(spark, d):
+    return I.services_of(_stored(spark, d))
+
+
 # ---- Volume ----
 @query(f"""SELECT service_name, {_bucket("duration_us")} AS latency_bucket, count(*) AS spans, CAST(sum(err) AS BIGINT) AS errors FROM (SELECT ([{_names}])[CAST(l_suppkey % 12 AS INT) + 1] AS service_name, CAST(floor(l_extendedprice * l_quantity * 0.1::DOUBLE) AS BIGINT) AS duration_us, CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 1 ELSE 0 END AS err FROM lineitem) GROUP BY ALL""")
 def lineitem_features(spark, d):
