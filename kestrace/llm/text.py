@@ -143,7 +143,7 @@ def bounded_batches(docs: DataFrame) -> DataFrame:
     The default is 10 000 rows or 64 MB, of which each task holds several.
     """
     conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(key, "").rstrip("b")
+    now = (conf.get(key, None) or "").rstrip("b")
     if not now.isdigit() or int(now) > ARROW_BYTES:
         conf.set(key, str(ARROW_BYTES))
     return docs
