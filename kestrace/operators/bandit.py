@@ -26,10 +26,20 @@ def sums(reward: Column) -> dict[str, Column]:
     return out | {f"t{i}": reward * x[i] for i in range(4)} | {"n": F.lit(1).cast("long"), "good": reward, "bad": 1.0 - reward}
 
 
+#: Parts of 1 that Beta parts are summed in: a double holds such sums of 9e9 rewards exactly.
+WHOLE = 1e6
+
+
+def beta_sum(x: Column) -> Column:
+    """Sum of x, whole WHOLEths apart from what is left of each: a long sum of tenths has no error that grows."""
+    whole = F.rint(x * WHOLE)
+    return F.sum(whole) / WHOLE + F.sum(x - whole / WHOLE)
+
+
 def arm_state(rewards: DataFrame, by: str = "sidecar") -> DataFrame:
     """(by, arm_index, n, a00..a33, b0..b3, alpha, beta) from rewards with x0..x3 and reward."""
     parts = sums(F.col("reward"))
-    total = rewards.groupBy(by, "arm_index").agg(*[F.sum(c).alias(k) for k, c in parts.items()])
+    total = rewards.groupBy(by, "arm_index").agg(*[(beta_sum(c) if k in ("good", "bad") else F.sum(c)).alias(k) for k, c in parts.items()])
     return as_state(total, [by, "arm_index"])
 
 
@@ -103,7 +113,10 @@ def arm_stats(state: DataFrame, confidence: int = 10) -> DataFrame:
     norm = F.sqrt(sum((F.col(f"b{i}") * F.col(f"b{i}") for i in range(1, 4)), F.col("b0") * F.col("b0")))
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     keep = [c for c in state.columns if c in ("sidecar", "arm_index")]
-    return state.select(*keep, "n", (F.col("n") >= confidence).alias("confident"), norm.alias("b_norm"), "alpha", "beta", mean.alias("thompson_mean"), F.floor(F.col("alpha") + F.col("beta") - 2).cast("long").alias("observations"))
+    # The Beta parts of n rewards add up to n but for the rounding of both.
+    both = F.col("alpha") + F.col("beta") - 2
+    seen = F.floor(both + F.abs(both) * 1e-15 + 1e-9).cast("long")
+    return state.select(*keep, "n", (F.col("n") >= confidence).alias("confident"), norm.alias("b_norm"), "alpha", "beta", mean.alias("thompson_mean"), seen.alias("observations"))
 
 
 #: Cells of the grid on which a Beta density is summed.

@@ -367,8 +367,7 @@ def thompson_cold_start(spark, d):
 
 @query("SELECT sidecar, arm_index, n, n >= 10 AS confident, round(sqrt(b0 * b0 + b1 * b1 + b2 * b2 + b3 * b3), 6) AS b_norm, CAST(floor(alpha + beta - 2 + 1e-9) AS BIGINT) AS observations FROM state")
 def arm_stats(spark, d):
-    # The Beta parts of n rewards add up to n but for rounding.
-    return B.arm_stats(_arms(spark, d)).select("sidecar", "arm_index", "n", "confident", *_r("b_norm"), F.floor(F.col("alpha") + F.col("beta") - 2 + 1e-9).cast("long").alias("observations"))
+    return B.arm_stats(_arms(spark, d)).select("sidecar", "arm_index", "n", "confident", *_r("b_norm"), "observations")
 
 
 @query("SELECT sidecar, count(*) AS forced FROM firsts WHERE is_error OR has_error = 1 GROUP BY sidecar")

@@ -54,6 +54,15 @@ def test_thompson_state_and_arms_apart(spark):
     assert stats[3].confident and stats[3].observations == 50 and abs(stats[3].thompson_mean - 51 / 52) < 1e-12
 
 
+def test_observations_of_many_rewards(spark):
+    """Tenths, whose plain sums drift, in an order that no partial sum evens out."""
+    reward = F.element_at(F.array(*[F.lit(x) for x in (0.9, 0.2, 0.8, 0.4, 0.1)]), (F.col("id") % 5 + 1).cast("int"))
+    rows = spark.range(0, 200_000, 1, 3).select(F.lit("s").alias("sidecar"), F.lit(1).alias("arm_index"), *[F.lit(0.5).alias(f"x{i}") for i in range(4)], reward.alias("reward"))
+    got = B.arm_stats(B.arm_state(rows)).first()
+    assert (got.n, got.observations) == (200_000, 200_000)
+    assert abs(got.alpha - 96_001) < 1e-9 and abs(got.beta - 104_001) < 1e-9
+
+
 def test_draws_follow_their_prior(spark):
     base = spark.range(2000).select(F.lit("s").alias("sidecar"), F.col("id").cast("string").alias("trace_id"))
     for alpha, beta, low, high in ((1.0, 1.0, 0.45, 0.55), (101.0, 1.0, 0.98, 1.0), (1.0, 101.0, 0.0, 0.02), (30.0, 10.0, 0.99, 1.0), (5.0, 5.0, 0.44, 0.56)):
