@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Classes, across, components, dealt_units, each_unit, joined, units_apart, with_texts
+from .graph import Classes, across, asked_texts, components, dealt_units, each_unit, joined, units_apart
 from .shared import materialise, slot_words
 from .text import P_INV, P, blocks, id_text, mix64, power, seeds
 
@@ -328,17 +328,25 @@ def jaccard_reaches(one: np.ndarray, two: np.ndarray, least: float) -> bool:
 
 
 def _similar(least: float):
+    """Pairs (a, b) that reach least. Each b's text comes first, with a null, then those of its a."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                n = part.num_rows
-                shingles = Grams(part.column("text_a").to_pylist() + part.column("text_b").to_pylist())
-                ok, last, held = [], None, None
-                for i, other in enumerate(part.column("b").to_pylist()):
-                    if other != last:  # pairs of one line stand together
-                        last, held = other, shingles.of(n + i)
+        other = ""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                text = part.column("text").to_pylist()
+                shingles, ok, place, held = Grams([*text, other]), [], len(text), None
+                for i, a in enumerate(part.column("a").to_pylist()):
+                    if a is None:
+                        place, held = i, None
+                        ok.append(False)
+                        continue
+                    if held is None:
+                        held = shingles.of(place)
                     ok.append(bool(jaccard_reaches(shingles.of(i), held, least)))
+                if place < len(text):
+                    other = text[place]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -418,8 +426,12 @@ def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = materialise(met.where(F.col("kind") == OTHER).select("bucket", "node", "sketch").distinct())
     wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
     read = materialise(rows.mapInArrow(_read(slot_words(wanted)), "doc_id long, line_no long, node long, text string").withColumn("row", F.monotonically_increasing_id()))
-    texts = materialise(read.where("text is not null").groupBy("node").agg(F.first("text").alias("text")))  # and a few that share a slot
-    edges = materialise(with_texts(pairs, texts).mapInArrow(_similar(least), "a long, b long"))
+    # The shuffle that makes a line's texts one also brings them to what asks for them, and no other does.
+    lines = read.where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
+    sent = materialise(lines.join(materialise(asked_texts(pairs, members.select("node").distinct())), "node"))
+    paired = sent.where("b is not null").select("a", "b", "copy", "text").repartition("b", "copy")
+    edges = materialise(paired.sortWithinPartitions("b", "copy", F.col("a").asc_nulls_first()).mapInArrow(_similar(least), "a long, b long"))
+    texts = sent.where("b is null").select("node", "text")
     label = materialise(components(edges))
     # In a large bucket a line has met one leader only.
     apart = units_apart(members, label, BLOCK)

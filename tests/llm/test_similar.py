@@ -291,3 +291,28 @@ def test_rare_signs_fall_back_to_strings(make):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     got = {r.doc_id: r.keep_doc_id for r in line_classes(make(*enumerate(lines))).collect()}
     assert [got[i] for i in range(len(lines))] == union(len(lines), pairs) and len(pairs) == 20
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_lines_are_shuffled_once_for_all_pairs(spark, make):
+    """Joins by shuffle, as at size: a line's text is sent to be made one with its repeats, and to its pairs."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(n))
+    base = [say(20_000) for _ in range(60)]
+    lines = [x for b in base for x in (b, b + " and more")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = _shuffled(spark)
+        got = {r.doc_id: r.keep_doc_id for r in line_classes(make(*enumerate(lines)).repartition(4)).collect()}
+        sent = _shuffled(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i // 2 * 2 for i in range(len(lines))}
+    assert sent < 4.5 * sum(map(len, lines))  # twice by the repartition of this test
