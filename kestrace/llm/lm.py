@@ -2,9 +2,11 @@
 
 Words are grouped in classes: each of the most frequent words is a class of its own, all
 others share classes by their ending and length, and the end of a text is one more. The
-log-bilinear network predicts the next class from the three before it; inside a class a
-word has its add-one share of the class's count, with one unseen word a class. So the
-model's probabilities of all words, seen or not, sum to 1.
+log-bilinear network predicts the next class from the three words before it; inside a
+class a word has its add-one share of the class's count, with one unseen word a class. The
+next KNOWN most frequent words have vectors of their own besides, as context and in their
+class, where a softmax shifts their shares by context and leaves the other words in
+proportion. So the model's probabilities of all words, seen or not, sum to 1.
 
 Counting, training and scoring all read every text whole. Each partition trains on all
 its learning tokens from a common warm start and the parameters are averaged by tokens,
@@ -33,10 +35,15 @@ from .text import LOWER, Block, blocks, id_text, mix64, prefix_hash, span_hash
 #: Words that are classes of their own, classes of the others; then one for the end.
 FREQUENT = 96
 SHAPES = 95
+#: Words after these that have vectors of their own, at most: about 0.1 KB each with every task.
+KNOWN = 4096
 CONTEXT = 3
 WIDTH = 16
 NOISE = 32
 BATCH = 4096
+#: Tokens of a step of the shares inside classes, and parameters of a row.
+INNER_BATCH = 16384
+WIDE = 32
 RATE = 0.1
 #: Counts that every scorer holds at most, beside those of FREQUENT words: 16 bytes each.
 HELD = 1 << 19
@@ -47,21 +54,33 @@ WARM_TOKENS = 2048
 
 @dataclass
 class Words:
-    """What maps words to classes: sorted hashes of the frequent words."""
+    """What maps words to numbers: sorted hashes of the frequent words, and of the known ones with their class and share of it."""
 
     frequent: np.ndarray
+    known: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    kind: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    share: np.ndarray = field(default_factory=lambda: np.empty(0))
     classes: int = field(init=False)
 
     def __post_init__(self):
         self.classes = len(self.frequent) + SHAPES + 1
+        order = np.argsort(self.kind, kind="stable")  # numbers of known words ascend by class
+        self.slot = np.empty(len(order), np.int64)
+        self.slot[order] = np.arange(len(order))
+        self.kind, self.share = self.kind[order], self.share[order]
+        self.first = np.searchsorted(self.kind, np.arange(self.classes + 1))
+        self.class_of = np.concatenate([np.arange(self.classes + 1), self.kind])
+        self.rest = 1 - np.bincount(self.kind, self.share, minlength=self.classes)
 
     def of(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        """The classes of words; the end is the last class."""
+        """The numbers of words: their class (the end is the last), or for known words those after one more."""
         n = len(self.frequent)
-        if not n:
-            return shape.astype(np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, h), n - 1)
-        return np.where(self.frequent[at] == h, at, n + shape)
+        out = n + shape.astype(np.int64)
+        for hashes, number in ((self.frequent, np.arange(n)), (self.known, self.classes + 1 + self.slot)):
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                out = np.where(hashes[at] == h, number[at], out)
+        return out
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,36 +97,46 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Bilinear:
-    """source: (C + 1, D) of context classes, the last for places before the text; turn: (CONTEXT, D, D); target: (C, D); bias: (C)."""
+    """source: (C + 1, D) of context classes, the last for places before the text; turn: (CONTEXT, D, D); target: (C, D); bias: (C).
+
+    Of known words: own (K, D), added to their class as context; inner (K, D) and inside (K), their logits in it.
+    """
 
     source: np.ndarray
     turn: np.ndarray
     target: np.ndarray
     bias: np.ndarray
+    own: np.ndarray
+    inner: np.ndarray
+    inside: np.ndarray
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parameters()])
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.source, self.turn, self.target, self.bias]
+        return [self.source, self.turn, self.target, self.bias, self.own, self.inner, self.inside]
+
+    def contexts(self, kind: np.ndarray) -> np.ndarray:
+        """The vectors of all numbers of words as context."""
+        return np.concatenate([self.source, self.source[kind] + self.own]) if len(kind) else self.source
 
     @staticmethod
-    def shaped(flat: np.ndarray, classes: int) -> Bilinear:
-        sizes = [(classes + 1, WIDTH), (CONTEXT, WIDTH, WIDTH), (classes, WIDTH), (classes,)]
+    def shaped(flat: np.ndarray, classes: int, known: int = 0) -> Bilinear:
+        sizes = [(classes + 1, WIDTH), (CONTEXT, WIDTH, WIDTH), (classes, WIDTH), (classes,), (known, WIDTH), (known, WIDTH), (known,)]
         cut = np.cumsum([0, *[int(np.prod(s)) for s in sizes]])
         return Bilinear(*[flat[a:b].reshape(s).astype(np.float32).copy() for a, b, s in zip(cut, cut[1:], sizes, strict=False)])
 
     @staticmethod
-    def start(unigram: np.ndarray) -> Bilinear:
+    def start(unigram: np.ndarray, share: np.ndarray = np.empty(0)) -> Bilinear:
         rng = np.random.default_rng(9)
         classes = len(unigram)
         normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         turn = np.stack([np.eye(WIDTH, dtype=np.float32) / (i + 1) for i in range(CONTEXT)])
-        return Bilinear(normal(classes + 1, WIDTH), turn, normal(classes, WIDTH), np.log(unigram).astype(np.float32))
+        return Bilinear(normal(classes + 1, WIDTH), turn, normal(classes, WIDTH), np.log(unigram).astype(np.float32), *np.zeros((2, len(share), WIDTH), np.float32), np.log(share).astype(np.float32))
 
 
 def sequences(cls: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Target classes with each text's end, their contexts (CONTEXT, tokens), and the texts' bounds."""
+    """Target words with each text's end, their contexts (CONTEXT, tokens), and the texts' bounds."""
     n = len(first) - 1
     bounds = first + np.arange(n + 1)
     seq = np.empty(bounds[-1], np.int64)
@@ -121,19 +150,21 @@ def sequences(cls: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray,
 
 
 class Trainer:
-    """Adagrad on the noise-contrastive loss, one batch after another."""
+    """Adagrad on the noise-contrastive loss of classes and on that of shares inside them, one batch after another."""
 
-    def __init__(self, model: Bilinear, unigram: np.ndarray, seed: int, rate: float = RATE):
-        self.model, self.rate = model, rate
+    def __init__(self, model: Bilinear, unigram: np.ndarray, seed: int, rate: float = RATE, words: Words | None = None):
+        self.model, self.rate, self.words = model, rate, words
+        self.kind = words.kind if words else np.empty(0, np.int64)
         self.noise = unigram.astype(np.float64)
         self.cumulated = np.cumsum(self.noise)
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
-        self.square = [np.full_like(x, 0.1) for x in model.parameters()]
+        self.square = [np.full_like(x, 0.1) for x in model.parameters()[:5]] + [np.ones_like(x) for x in model.parameters()[5:]]
         self.rng = np.random.default_rng(seed)
         self.seen = 0
 
     def predicted(self, ctx: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        r = [self.model.source[c] for c in ctx]
+        table = self.model.contexts(self.kind)
+        r = [table[c] for c in ctx]
         return r, sum(x @ m for x, m in zip(r, self.model.turn, strict=True))
 
     def step(self, target: np.ndarray, ctx: np.ndarray) -> float:
@@ -156,23 +187,71 @@ class Trainer:
         g_bias = np.bincount(target, gp, minlength=classes)
         np.add.at(g_bias, drawn, gn.sum(0))
         g_turn = np.stack([x.T @ dq for x in r])
-        g_source = sum(spread(c, dq @ t.T, classes + 1) for c, t in zip(ctx, m.turn, strict=True))
-        for p, g, s in zip(m.parameters(), (g_source, g_turn, g_target, g_bias), self.square, strict=True):
+        g_source = sum(spread(c, dq @ t.T, classes + 1 + len(self.kind)) for c, t in zip(ctx, m.turn, strict=True))
+        g_source, g_own = g_source[: classes + 1], g_source[classes + 1 :]
+        if len(self.kind):
+            g_source = g_source + spread(self.kind, g_own, classes + 1)
+        for p, g, s in zip(m.parameters()[:5], (g_source, g_turn, g_target, g_bias, g_own), self.square, strict=False):
             g = g * 100.0
             s += g * g
             p -= (self.rate * g / np.sqrt(s)).astype(np.float32)
         self.seen += n
         return loss
 
+    def inner_step(self, target: np.ndarray, ctx: np.ndarray) -> None:
+        """One batch of the shares inside classes; the contexts' vectors stay."""
+        m, g_inner, g_inside = self.model, np.zeros_like(self.model.inner), np.zeros_like(self.model.inside)
+        q = self.predicted(ctx)[1]
+        for who, a, z, p, total, some, place in each_class(m, self.words, target, q):
+            p /= total[:, None]
+            p[some, place] -= 1
+            g_inner[a:z], g_inside[a:z] = p.T @ q[who], p.sum(0)
+        for x, g, s in zip((m.inner, m.inside), (g_inner, g_inside), self.square[5:], strict=True):
+            s += g * g
+            x -= self.rate * g / np.sqrt(s)
+
     def fit(self, target: np.ndarray, ctx: np.ndarray) -> None:
+        classes = self.words.class_of[target] if self.words else target
         for at in range(0, len(target), BATCH):
-            self.step(target[at : at + BATCH], ctx[:, at : at + BATCH])
-
-
-def class_scores(model: Bilinear, target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """log10 of each target's normalised probability."""
+            self.step(classes[at : at + BATCH], ctx[:, at : at + BATCH])
+        if len(self.kind):
+            for at in range(0, len(target), INNER_BATCH):
+                self.inner_step(target[at : at + INNER_BATCH], ctx[:, at : at + INNER_BATCH])
+
+
+def each_class(model: Bilinear, words: Words, target: np.ndarray, q: np.ndarray):
+    """For each class with known words: its tokens, its known words from a to z, their (tokens, words) weights, all weights' sum, and where tokens are known words."""
+    cls = words.class_of[target]
+    order = np.argsort(cls, kind="stable")
+    cut = np.searchsorted(cls[order], np.arange(words.classes + 1))
+    for c in np.flatnonzero((np.diff(cut) > 0) & (np.diff(words.first) > 0)).tolist():
+        who, a, z = order[cut[c] : cut[c + 1]], words.first[c], words.first[c + 1]
+        weight = np.exp(np.minimum(q[who] @ model.inner[a:z].T + model.inside[a:z], 30))
+        place = target[who] - (words.classes + 1) - a
+        some = np.flatnonzero(place >= 0)
+        yield who, a, z, weight, weight.sum(1) + np.float32(words.rest[c]), some, place[some]
+
+
+def inner_scores(model: Bilinear, words: Words, target: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """log10 of each known word's probability in its class; of other words, of the factor of their share."""
+    out = np.zeros(len(target))
+    if len(words.kind):
+        source = model.contexts(words.kind)
+        tables = [source @ t for t in model.turn]
+        for at in range(0, len(target), INNER_BATCH):
+            t = target[at : at + INNER_BATCH]
+            q = sum(table[c] for table, c in zip(tables, ctx[:, at : at + INNER_BATCH], strict=True))
+            for who, _, _, weight, total, some, place in each_class(model, words, t, q):
+                out[at + who] = -np.log10(total)
+                out[at + who[some]] += np.log10(np.maximum(weight[some, place], 1e-30))
+    return out
+
+
+def class_scores(model: Bilinear, target: np.ndarray, ctx: np.ndarray, kind: np.ndarray = np.empty(0, np.int64)) -> np.ndarray:
+    """log10 of each target class's normalised probability."""
     out = np.empty(len(target))
-    tables = [model.source @ t for t in model.turn]
+    source = model.contexts(kind)
+    tables = [source @ t for t in model.turn]
     side = np.ascontiguousarray(model.target.T)
     for at in range(0, len(target), BATCH):
         c, t = ctx[:, at : at + BATCH], target[at : at + BATCH]
@@ -226,16 +305,17 @@ def _warm(words: Words, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _train(words: Words, begin: Bilinear, unigram: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trains on all texts of a partition; gives each parameter times the tokens seen."""
-    trainer = Trainer(Bilinear.shaped(begin.flat(), words.classes), unigram, 7, RATE / 2)
+    """Trains on all texts of a partition; gives each parameter times the tokens seen, and these, WIDE in a row."""
+    trainer = Trainer(Bilinear.shaped(begin.flat(), words.classes, len(words.known)), unigram, 7, RATE / 2, words)
     for b in batches:
         for _, texts in blocks(b):
             h, shape, first = tokens(texts)
             target, ctx, _ = sequences(words.of(h, shape), first, words.classes - 1)
             trainer.fit(target, ctx)
     if trainer.seen:
-        flat = trainer.model.flat().astype(np.float64) * trainer.seen
-        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(flat) + 1, dtype=np.int32)), "x": pa.array(np.append(flat, trainer.seen))})
+        flat = np.append(trainer.model.flat().astype(np.float64) * trainer.seen, trainer.seen)
+        rows = np.append(flat, np.zeros(-len(flat) % WIDE)).reshape(-1, WIDE)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(rows), dtype=np.int32)), **{f"x{i}": pa.array(rows[:, i]) for i in range(WIDE)}})
 
 
 def _score(words: Words, model: Bilinear, held: np.ndarray, log_count: np.ndarray, log_total: np.ndarray, log_end: float):
@@ -246,16 +326,17 @@ def _score(words: Words, model: Bilinear, held: np.ndarray, log_count: np.ndarra
         for b in batches:
             for row, texts in blocks(b):
                 h, shape, first = tokens(texts)
-                cls = words.of(h, shape)
-                target, ctx, bounds = sequences(cls, first, words.classes - 1)
+                number = words.of(h, shape)
+                cls = words.class_of[number]
+                target, ctx, bounds = sequences(number, first, words.classes - 1)
                 total = lambda x, at: np.diff(np.concatenate([[0.0], np.cumsum(x)])[at])
-                network = total(class_scores(model, target, ctx), bounds)
+                network = total(class_scores(model, words.class_of[target], ctx, words.kind) + inner_scores(model, words, target, ctx), bounds)
                 u, inverse = np.unique(h, return_inverse=True)
                 at = np.minimum(np.searchsorted(held, u), max(0, len(held) - 1))
                 found = held[at] == u if len(held) else np.zeros(len(u), bool)
                 known = found[inverse]
                 seen = np.where(known, log_count[at][inverse] if len(held) else 0.0, 0.0)
-                inside = np.where(cls >= own, np.where(known, seen, 0.0) - log_total[np.maximum(cls - own, 0)], 0.0)
+                inside = np.where((cls >= own) & (number < words.classes), np.where(known, seen, 0.0) - log_total[np.maximum(cls - own, 0)], 0.0)
                 rare = np.flatnonzero(~known)
                 offsets = pa.array(np.searchsorted(rare, first).astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
@@ -282,15 +363,18 @@ def language_scores(docs: DataFrame) -> DataFrame:
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n_train, distinct = (totals[0] or 0) + train_docs, totals[1] + (train_docs > 0)
 
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    top = sorted((np.int64(r.word).view(np.uint64), r.shape, r.n) for r in top)
-    words = Words(np.array([x[0] for x in top], np.uint64))
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT + KNOWN).collect()
+    top = [(np.int64(r.word).view(np.uint64), r.shape, r.n) for r in top]
+    top, known = sorted(top[:FREQUENT]), sorted(top[FREQUENT:])
     size, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # SHAPES rows
         size[r.shape], kinds[r.shape] = r.n, r.v
     for _, shape, n in top:
         size[shape] -= n
         kinds[shape] -= 1
+    kind = np.array([x[1] for x in known], np.int64)
+    share = (np.array([x[2] for x in known], np.float64) + 1) / (size + kinds + 1)[kind]
+    words = Words(np.array([x[0] for x in top], np.uint64), np.array([x[0] for x in known], np.uint64), len(top) + kind, share)
     unigram = np.concatenate([[x[2] for x in top], size, [train_docs]]) + 0.5
     unigram /= unigram.sum()
 
@@ -303,12 +387,12 @@ def language_scores(docs: DataFrame) -> DataFrame:
             break
         least = level
     got = counts.where(F.col("n") >= least).select("word", "n").toArrow()
-    # Words that are classes of their own are always held: no share of a class is theirs.
-    held = np.concatenate([got.column("word").to_numpy().view(np.uint64), words.frequent])
+    # Words that are classes of their own or known are always held: their counts give no share of a class.
+    held = np.concatenate([got.column("word").to_numpy().view(np.uint64), words.frequent, words.known])
     held, once = np.unique(held, return_index=True)
-    log_count = np.log10(np.concatenate([got.column("n").to_numpy(), np.array([x[2] for x in top], np.int64)])[once] + 1.0)
+    log_count = np.log10(np.concatenate([got.column("n").to_numpy(), np.array([x[2] for x in top + known], np.int64)])[once] + 1.0)
 
-    model = Bilinear.start(unigram)
+    model = Bilinear.start(unigram, words.share)
     if train_docs:
         # Warm start on a bounded sample, then one pass over all learning texts.
         sample = learn.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) < (1 << 20) * min(1.0, WARM_DOCS / train_docs))
@@ -317,14 +401,15 @@ def language_scores(docs: DataFrame) -> DataFrame:
             listed = [np.asarray(x, np.int64) for x in drawn.column("classes").to_pylist()]
             first = np.concatenate([[0], np.cumsum([len(x) for x in listed])])
             target, ctx, _ = sequences(np.concatenate(listed), first, words.classes - 1)
-            trainer = Trainer(model, unigram, 3)
+            trainer = Trainer(model, unigram, 3, words=words)
             for _ in range(3):
                 trainer.fit(target, ctx)
         begin = model
-        sums = learn.mapInArrow(lambda x: _train(words, begin, unigram, x), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").toArrow()
-        flat = sums.column("x").to_numpy()
-        if len(flat):
-            model = Bilinear.shaped(flat[:-1] / flat[-1], words.classes)
+        sums = learn.mapInArrow(lambda x: _train(words, begin, unigram, x), "at int, " + ", ".join(f"x{i} double" for i in range(WIDE)))
+        sums = sums.groupBy("at").agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(WIDE)]).orderBy("at").toArrow()
+        if sums.num_rows:
+            flat, n = np.stack([sums.column(f"x{i}").to_numpy() for i in range(WIDE)], 1).ravel(), len(model.flat())
+            model = Bilinear.shaped(flat[:n] / flat[n], words.classes, len(words.known))
 
     log_total = np.log10(size + kinds + 1)
     log_end = float(np.log10(train_docs + 1.0))

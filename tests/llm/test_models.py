@@ -228,3 +228,25 @@ def test_grades_against_a_plain_sum(spark, make, words):
         z = sum(float(model.weights[a]) for a in at.tolist())
         above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
         assert abs(got[i].expected_grade - sum(above)) < 1e-4 and abs(got[i].p_top - above[-1]) < 1e-4 and got[i].kept == (above[-1] >= Q.SELECT)
+
+
+def test_rarer_words_of_one_shape_are_told_apart(make, monkeypatch):
+    """Which of two words of one class follows depends on which of two words of one class came before."""
+    monkeypatch.setattr(M, "FREQUENT", 4)
+    rng = np.random.default_rng(5)
+    both = lambda a, b: " ".join(["kalora " + a, "milora " + b] * 100)
+    texts = [" ".join("the " + ("kalora tesuna" if x else "milora resuna") + " of a" for x in rng.permutation([True, False] * 50)) for _ in range(200)]
+    got = {r.doc_id: r for r in M.language_scores(make(*enumerate([*texts, both("tesuna", "resuna"), both("resuna", "tesuna")]))).collect()}
+    right, wrong = got[200], got[201]
+    assert right.n_tokens == wrong.n_tokens and abs(right.base_score - wrong.base_score) < 1e-6
+    assert right.score > wrong.score + 0.1 * right.n_tokens
+
+
+def test_shares_inside_a_class_sum_to_one():
+    words = M.Words(np.array([5], np.uint64), np.array([3, 9, 11], np.uint64), np.array([2, 1, 2]), np.array([0.3, 0.2, 0.5]))
+    model = M.Bilinear.start(np.full(words.classes, 1 / words.classes), words.share)
+    rng = np.random.default_rng(2)
+    model.own[:], model.inner[:] = rng.standard_normal((2, 3, M.WIDTH))
+    ids = np.array([*words.of(np.array([3, 11], np.uint64), np.array([1, 1])), 2])  # both known words of class 2, and its others
+    got = 10 ** M.inner_scores(model, words, ids, np.tile([[0], [words.classes], [words.classes + 1]], 3))
+    assert abs(got[0] + got[1] + got[2] * words.rest[2] - 1) < 1e-5
