@@ -316,3 +316,30 @@ def test_texts_of_lines_are_shuffled_once_for_all_pairs(spark, make):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {i: i // 2 * 2 for i in range(len(lines))}
     assert sent < 4.5 * sum(map(len, lines))  # twice by the repartition of this test
+
+
+def used_alike(n=40):
+    """Documents of n topics with a pair of words each that never meet but share their company, an item of n of the first words, and one of their partners."""
+    rng = random.Random(6)
+    common = [f"the{i}" for i in range(12)]
+    company = [[f"c{t}x{k}" for k in range(8)] for t in range(n)]
+    pairs = [(f"one{t}", f"two{t}") for t in range(n)]
+    docs = []
+    for i in range(n * 40):
+        body = [rng.choice(company[i % n]) for _ in range(24)] + [pairs[i % n][i // n % 2]] + common + [":"]
+        rng.shuffle(body)
+        docs.append(" ".join(body))
+    say = lambda side: " ".join(w for t in range(12) for w in (common[t], common[(5 * t + 1) % 12], pairs[t][side])) + " : " + " ".join(common[:6])
+    return docs, say(0), say(1)
+
+
+def test_words_used_alike_count_as_one_another(spark, make, monkeypatch):
+    """A passage whose telling words are replaced by others of the same use: found by the latent space, not without it."""
+    docs, item, reworded = used_alike()
+    assert not {w for w in item.split() if w.startswith("one")} & set(reworded.split())
+    table = make(*enumerate([*docs, reworded]))
+    bench = spark.createDataFrame([(7, item)], BENCH)
+    got = contaminated(table, bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(len(docs), 7)] and got[0].lcs >= 0.6
+    monkeypatch.setattr("kestrace.llm.decontam.ALIKE", 1.01)
+    assert contaminated(table, bench).count() == 0
