@@ -44,6 +44,9 @@ BATCH = 4096
 #: Tokens of a step of the shares inside classes, and parameters of a row.
 INNER_BATCH = 16384
 WIDE = 32
+#: Tokens whose classes are scored at once, and whose shares inside them are: what fits the processor's caches, and few calls.
+SCORED = 1024
+INNER_SCORED = 65536
 RATE = 0.1
 #: Counts that every scorer holds at most, beside those of FREQUENT words: 16 bytes each.
 HELD = 1 << 19
@@ -149,6 +152,14 @@ def sequences(cls: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray,
     return seq, ctx, bounds
 
 
+def _sums(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of at, ascending, and the sum of the rows of x with each."""
+    order = np.argsort(at.astype(np.uint16) if at.max(initial=0) < 1 << 16 else at, kind="stable")
+    sorted_ = at[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first], np.add.reduceat(x[order], first)
+
+
 class Trainer:
     """Adagrad on the noise-contrastive loss of classes and on that of shares inside them, one batch after another."""
 
@@ -167,8 +178,8 @@ class Trainer:
         r = [table[c] for c in ctx]
         return r, sum(x @ m for x, m in zip(r, self.model.turn, strict=True))
 
-    def step(self, target: np.ndarray, ctx: np.ndarray) -> float:
-        """One batch; returns the mean loss."""
+    def step(self, target: np.ndarray, ctx: np.ndarray, loss: bool = True) -> float | None:
+        """One batch; returns the mean loss if asked for it."""
         m, n = self.model, len(target)
         r, q = self.predicted(ctx)
         drawn = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE) * self.cumulated[-1]), len(self.noise) - 1)
@@ -177,26 +188,30 @@ class Trainer:
         dn = q @ qn.T + m.bias[drawn] - self.log_noise[drawn]
         gp = -1 / (1 + np.exp(np.clip(dp, -30, 30)))
         gn = 1 / (1 + np.exp(np.clip(-dn, -30, 30)))
-        loss = float(-np.log(1e-9 + 1 + gp).mean() - np.log(1e-9 + 1 - gn).sum(1).mean())
+        mean = float(-np.log(1e-9 + 1 + gp).mean() - np.log(1e-9 + 1 - gn).sum(1).mean()) if loss else None
         gp, gn = gp / n, gn / n
         dq = gp[:, None] * qt + gn @ qn
         classes = len(m.bias)
-        spread = lambda at, x, size: np.stack([np.bincount(at, x[:, j], minlength=size) for j in range(x.shape[1])], 1)
-        g_target = spread(target, gp[:, None] * q, classes)
+        g_target, g_source = np.zeros_like(m.target), np.zeros_like(m.source)
+        to, g = _sums(target, gp[:, None] * q)
+        g_target[to] = g
         np.add.at(g_target, drawn, gn.T @ q)
         g_bias = np.bincount(target, gp, minlength=classes)
         np.add.at(g_bias, drawn, gn.sum(0))
         g_turn = np.stack([x.T @ dq for x in r])
-        g_source = sum(spread(c, dq @ t.T, classes + 1 + len(self.kind)) for c, t in zip(ctx, m.turn, strict=True))
-        g_source, g_own = g_source[: classes + 1], g_source[classes + 1 :]
-        if len(self.kind):
-            g_source = g_source + spread(self.kind, g_own, classes + 1)
-        for p, g, s in zip(m.parameters()[:5], (g_source, g_turn, g_target, g_bias, g_own), self.square, strict=False):
-            g = g * 100.0
-            s += g * g
-            p -= (self.rate * g / np.sqrt(s)).astype(np.float32)
+        to, g = _sums(ctx.ravel(), np.concatenate([dq @ t.T for t in m.turn]))
+        own = np.searchsorted(to, classes + 1)
+        g_source[to[:own]], to, g_own = g[:own], to[own:] - classes - 1, g[own:]
+        if len(to):
+            kind, g = _sums(self.kind[to], g_own)
+            g_source[kind] += g
+        # Known words without a gradient stay as they are.
+        for p, g, s, at in zip(m.parameters()[:5], (g_source, g_turn, g_target, g_bias, g_own), self.square, (..., ..., ..., ..., to), strict=False):
+            g = g * np.float32(100.0)
+            s[at] += g * g
+            p[at] -= (self.rate * g / np.sqrt(s[at])).astype(np.float32)
         self.seen += n
-        return loss
+        return mean
 
     def inner_step(self, target: np.ndarray, ctx: np.ndarray) -> None:
         """One batch of the shares inside classes; the contexts' vectors stay."""
@@ -213,7 +228,7 @@ class Trainer:
     def fit(self, target: np.ndarray, ctx: np.ndarray) -> None:
         classes = self.words.class_of[target] if self.words else target
         for at in range(0, len(target), BATCH):
-            self.step(classes[at : at + BATCH], ctx[:, at : at + BATCH])
+            self.step(classes[at : at + BATCH], ctx[:, at : at + BATCH], loss=False)
         if len(self.kind):
             for at in range(0, len(target), INNER_BATCH):
                 self.inner_step(target[at : at + INNER_BATCH], ctx[:, at : at + INNER_BATCH])
@@ -222,11 +237,13 @@ class Trainer:
 def each_class(model: Bilinear, words: Words, target: np.ndarray, q: np.ndarray):
     """For each class with known words: its tokens, its known words from a to z, their (tokens, words) weights, all weights' sum, and where tokens are known words."""
     cls = words.class_of[target]
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
     cut = np.searchsorted(cls[order], np.arange(words.classes + 1))
     for c in np.flatnonzero((np.diff(cut) > 0) & (np.diff(words.first) > 0)).tolist():
         who, a, z = order[cut[c] : cut[c + 1]], words.first[c], words.first[c + 1]
-        weight = np.exp(np.minimum(q[who] @ model.inner[a:z].T + model.inside[a:z], 30))
+        weight = q[who] @ model.inner[a:z].T
+        weight += model.inside[a:z]
+        np.exp(np.minimum(weight, 30, out=weight), out=weight)
         place = target[who] - (words.classes + 1) - a
         some = np.flatnonzero(place >= 0)
         yield who, a, z, weight, weight.sum(1) + np.float32(words.rest[c]), some, place[some]
@@ -238,9 +255,9 @@ def inner_scores(model: Bilinear, words: Words, target: np.ndarray, ctx: np.ndar
     if len(words.kind):
         source = model.contexts(words.kind)
         tables = [source @ t for t in model.turn]
-        for at in range(0, len(target), INNER_BATCH):
-            t = target[at : at + INNER_BATCH]
-            q = sum(table[c] for table, c in zip(tables, ctx[:, at : at + INNER_BATCH], strict=True))
+        for at in range(0, len(target), INNER_SCORED):
+            t = target[at : at + INNER_SCORED]
+            q = sum(table[c] for table, c in zip(tables, ctx[:, at : at + INNER_SCORED], strict=True))
             for who, _, _, weight, total, some, place in each_class(model, words, t, q):
                 out[at + who] = -np.log10(total)
                 out[at + who[some]] += np.log10(np.maximum(weight[some, place], 1e-30))
@@ -252,19 +269,22 @@ def class_scores(model: Bilinear, target: np.ndarray, ctx: np.ndarray, kind: np.
     out = np.empty(len(target))
     source = model.contexts(kind)
     tables = [source @ t for t in model.turn]
-    side = np.ascontiguousarray(model.target.T)
-    for at in range(0, len(target), BATCH):
-        c, t = ctx[:, at : at + BATCH], target[at : at + BATCH]
+    side, ones = np.ascontiguousarray(model.target.T), np.ones(len(model.bias), np.float32)
+    for at in range(0, len(target), SCORED):
+        c, t = ctx[:, at : at + SCORED], target[at : at + SCORED]
         q = tables[0][c[0]]
         for table, x in zip(tables[1:], c[1:], strict=True):
             q += table[x]
         logits = q @ side
         logits += model.bias
         own = logits[np.arange(len(t)), t].astype(np.float64)
-        top = logits.max(1)
-        logits -= top[:, None]
+        if max(-logits.min(), logits.max()) < 60:  # no power overflows, nor do all vanish
+            top = 0.0
+        else:
+            top = logits.max(1)
+            logits -= top[:, None]
         np.exp(logits, out=logits)
-        out[at : at + BATCH] = own - top - np.log(logits.sum(1, dtype=np.float64))
+        out[at : at + SCORED] = own - top - np.log(logits @ ones)
     return out / np.log(10)
 
 

@@ -250,3 +250,36 @@ def test_shares_inside_a_class_sum_to_one():
     ids = np.array([*words.of(np.array([3, 11], np.uint64), np.array([1, 1])), 2])  # both known words of class 2, and its others
     got = 10 ** M.inner_scores(model, words, ids, np.tile([[0], [words.classes], [words.classes + 1]], 3))
     assert abs(got[0] + got[1] + got[2] * words.rest[2] - 1) < 1e-5
+
+
+def test_steps_touch_only_what_a_batch_has(monkeypatch):
+    """Parameters after some steps are those of plain sums, and one step's work does not grow with the known words."""
+    known = 30_000
+    words = M.Words(np.array([5], np.uint64), np.arange(10, 10 + known, dtype=np.uint64), np.arange(known) % 90 + 1, np.full(known, 1e-4))
+    unigram = np.full(words.classes, 1 / words.classes)
+    rng = np.random.default_rng(3)
+    start = M.Bilinear.start(unigram, words.share)
+    start.own[:] = rng.standard_normal(start.own.shape) * 0.1
+    trainer = M.Trainer(M.Bilinear.shaped(start.flat(), words.classes, known), unigram, 1, words=words)
+    target, ctx = rng.integers(0, words.classes, 500), rng.integers(0, words.classes + 1 + 60, (3, 500))
+    gradient = {}
+    for at, x in [*zip(ctx.ravel(), np.ones((1500, 2)), strict=True)]:
+        gradient[int(at)] = gradient.get(int(at), 0) + x
+    at, summed = M._sums(ctx.ravel(), np.ones((1500, 2)))
+    assert at.tolist() == sorted(gradient) and all((summed[i] == gradient[k]).all() for i, k in enumerate(at.tolist()))
+    trainer.step(target, ctx, loss=False)
+    seen = np.unique(ctx[ctx > words.classes]) - words.classes - 1
+    moved = (trainer.model.own != start.own).any(1)
+    assert moved[seen].all() and not np.delete(moved, seen).any()
+    assert (np.delete(trainer.square[4], seen, 0) == np.float32(0.1)).all()
+
+
+def test_class_scores_of_any_size():
+    """Logits beyond what a power holds are scaled first."""
+    unigram = np.full(20, 1 / 20)
+    model = M.Bilinear.start(unigram)
+    ctx = np.tile(np.array([[3], [7], [20]]), (1, 20))
+    plain = M.class_scores(model, np.arange(20), ctx)
+    for shift in (500, -500):
+        model.bias = np.log(unigram).astype(np.float32) + np.float32(shift)
+        assert np.abs(M.class_scores(model, np.arange(20), ctx) - plain).max() < 1e-4
