@@ -104,12 +104,12 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(right, ["b", "copy"]).select("a", "b", "text_a", "text_b")
 
 
-def asked_texts(pairs: DataFrame, others: DataFrame) -> DataFrame:
-    """Rows (node, a, b, copy), each of which asks for node's text, so that one join by node serves all.
+def asked_texts(pairs: DataFrame) -> DataFrame:
+    """Rows (node, a, b, copy), each of which asks for node's text, so that one join by node serves both ends.
 
     A pair's end of more pairs is b. It is asked for once for every PAIRS_A_COPY of its
-    pairs, with a null; a for each of its pairs; the nodes of others with b null. So no
-    node asks for a copy for each of many pairs.
+    pairs, with a null; a for each of its pairs. So no node asks for a copy for each of many
+    pairs.
     """
     load = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")))
     of = lambda c: load.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
@@ -119,8 +119,7 @@ def asked_texts(pairs: DataFrame, others: DataFrame) -> DataFrame:
     found = materialise(found.select("x.a", "x.b", F.pmod(F.xxhash64("x.a"), F.col("copies")).cast("int").alias("copy")))
     none = F.lit(None).cast("long")
     once = found.select("b", "copy").distinct().select(F.col("b").alias("node"), none.alias("a"), "b", "copy")
-    alone = others.select("node", none.alias("a"), none.alias("b"), F.lit(None).cast("int").alias("copy"))
-    return found.select(F.col("a").alias("node"), "a", "b", "copy").unionByName(once).unionByName(alone)
+    return found.select(F.col("a").alias("node"), "a", "b", "copy").unionByName(once)
 
 
 def mixed_buckets(members: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,10 +10,14 @@ candidate pair stands when the exact Jaccard similarity of the two shingle sets
 least 0.8. Classes are connected components, by distributed union-find; of each class the
 first line, by document and place, stays.
 
+Bucket keys are dealt in slices by their leading bits. A map task sends its lines of a slice
+as one piece, so that rows are packed and sorted by numpy, not one by one by Spark.
+
 Each map task pairs its own resembling lines of a large bucket with leaders, so a bucket
 of near copies that holds a third of all lines costs its task a few rows a map task; the
-others are dealt by line. Texts are read again only for candidates and the lines of large
-buckets.
+others are dealt by line. Of a large bucket that no task reduced so, lines that resemble no
+other line there are left out. Texts are read again only for candidates and the lines of large
+buckets; those of large buckets are sent only where classes apart resemble each other.
 
 Defined results: lines end at \\n; blank lines (white space alone) are no lines. A line of
 fewer than five characters is one shingle; a very long line has all its shingles. Null text
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import Classes, across, asked_texts, components, dealt_units, each_unit, joined, units_apart
-from .shared import materialise, slot_words
+from .shared import forget, matching, materialise, slot_words
 from .text import P_INV, P, blocks, id_text, mix64, power, seeds
 
 SHINGLE = 5
@@ -42,12 +46,18 @@ ROWS = 4
 #: At a similarity of 0.8 a sketch shares 27.2 of 32 on average, with a deviation of 2.
 SKETCH = 32
 SHARED = 20
-#: Lines of a task whose bands are held before they are sent.
+#: Lines of a task whose minima are held before their bands are sent.
 HELD = 100_000
 #: Buckets of at most so many lines are compared at once.
 SMALL = 12
 #: Leaders of a larger bucket that a line is compared with at first.
 LEADERS = 24
+#: Lines of a larger bucket that are all compared by their sketches, to leave out those like no other.
+WHOLE = 1024
+#: Bytes of input for a slice, slices at least and at most, and slices of an input of unknown size: powers of 2.
+SLICE_BYTES, LEAST_SLICES, MOST_SLICES, SOME_SLICES = 1 << 20, 1 << 6, 1 << 20, 1 << 12
+#: Rows of a slice that a task holds before it reduces large buckets to leaders.
+SLICE_ROWS = 4_000_000
 #: Lines of a block of those still apart in a bucket.
 BLOCK = 512
 #: Labels of lines are broadcast up to this many (24 bytes each), else joined by a shuffle.
@@ -87,8 +97,8 @@ class Lines:
     def run(self, start, end) -> np.ndarray:
         return (self.total[end] - self.total[start]) * self.inverse[start]
 
-    def bands(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(BANDS, picked lines) bucket keys, and the lines' sketches."""
+    def minima(self, pick: np.ndarray) -> np.ndarray:
+        """(BANDS * ROWS, picked lines) lowest hashes of the lines' shingles."""
         n = len(self.code)
         gram = np.zeros(n, np.uint64)
         if n > SHINGLE:
@@ -104,21 +114,26 @@ class Lines:
         until = np.maximum(start + 1, end - SHINGLE + 1)
         cuts = np.stack([start, np.minimum(until, n)], 1).ravel()
         cuts[-1] = min(cuts[-1], n - 1)
-        buffer, low = np.empty(n, np.uint32), []
-        for f, m in zip(*(seeds(BANDS * ROWS, k).astype(np.uint32) | np.uint32(1) for k in (5, 6)), strict=True):
+        buffer, low = np.empty(n, np.uint32), np.empty((BANDS * ROWS, len(pick)), np.uint32)
+        for out, f, m in zip(low, *(seeds(BANDS * ROWS, k).astype(np.uint32) | np.uint32(1) for k in (5, 6)), strict=True):
             np.bitwise_xor(half, f, out=buffer)
             np.multiply(buffer, m, out=buffer)
-            low.append(np.minimum.reduceat(buffer, cuts)[0::2].astype(np.uint64))
-        out = []
-        for b in range(BANDS):
-            key = np.full(len(pick), b + 1, np.uint64)
-            for r in range(ROWS):
-                key = mix64(key * _MUL + low[b * ROWS + r])
-            out.append(key)
-        sketch = np.zeros(len(pick), np.uint64)
-        for x in low[:SKETCH]:
-            sketch = sketch << np.uint64(2) | mix64(x) & np.uint64(3)
-        return np.stack(out), sketch
+            out[:] = np.minimum.reduceat(buffer, cuts)[0::2]
+        return low
+
+
+def bands(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(BANDS, lines) bucket keys, and the lines' sketches, of the lines' minima."""
+    keys = np.empty((BANDS, low.shape[1]), np.uint64)
+    for b in range(BANDS):
+        key = np.full(low.shape[1], b + 1, np.uint64)
+        for r in range(ROWS):
+            key = mix64(key * _MUL + low[b * ROWS + r])
+        keys[b] = key
+    sketch = np.zeros(low.shape[1], np.uint64)
+    for x in low[:SKETCH]:
+        sketch = sketch << np.uint64(2) | mix64(x.astype(np.uint64)) & np.uint64(3)
+    return keys, sketch
 
 
 _ODD = np.uint64(0x5555555555555555)
@@ -184,90 +199,170 @@ def _close(key: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.nd
     return np.concatenate(a), np.concatenate(b)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bytes of a packed row by kind: bucket (of LINE and LEAD without what the slice tells), node and sketch.
+_KEY_BYTES, _ROW_BYTES = 6, {LINE: 22, LEAD: 22, OTHER: 24, PAIR: 16}
+
+
+def slice_bits(docs: DataFrame) -> int:
+    """Leading bits of a bucket key that make its slice, by the size that Spark knows of docs."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    slices = SOME_SLICES if size >= 1 << 62 else min(MOST_SLICES, max(LEAST_SLICES, size // SLICE_BYTES))
+    return (slices - 1).bit_length()
+
+
+def _packed(bucket: np.ndarray, node: np.ndarray, sketch: np.ndarray, kind: int, bits: int) -> pa.RecordBatch:
+    """slice, kind, piece: rows of one kind, a piece for each slice. Members are dealt by node, pairs by their first one."""
+    bucket, node, sketch = (np.ascontiguousarray(x).view(np.uint64) for x in (bucket, node, sketch))
+    by = bucket if kind < OTHER else mix64(node if kind == OTHER else bucket)
+    part = (by >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, wide = part[order], _ROW_BYTES[kind]
+    key = _KEY_BYTES if kind < OTHER else 8
+    out = np.empty((len(part), wide), np.uint8)
+    out[:, :key] = bucket[order].view(np.uint8).reshape(-1, 8)[:, :key]
+    out[:, key : key + 8] = node[order].view(np.uint8).reshape(-1, 8)
+    if kind != PAIR:
+        out[:, key + 8 :] = sketch[order].view(np.uint8).reshape(-1, 8)
+    start, end = _runs(part) if len(part) else (np.empty(0, np.int64),) * 2
+    offsets = pa.py_buffer((np.append(start, len(part)) * wide).astype(np.int32))
+    piece = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets, pa.py_buffer(out)])
+    return pa.RecordBatch.from_pydict({"slice": pa.array(part[start]), "kind": pa.array(np.full(len(start), kind, np.int32)), "piece": piece})
+
+
+def _unpacked(part: int, kind: int, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bucket, node, sketch, kind of a piece's rows."""
+    rows = piece.reshape(-1, _ROW_BYTES[kind])
+    key = _KEY_BYTES if kind < OTHER else 8
+    column = lambda s: np.ascontiguousarray(rows[:, s : s + 8]).view(np.int64).ravel()
+    bucket = np.zeros((len(rows), 8), np.uint8)
+    bucket[:, :key] = rows[:, :key]
+    bucket = bucket.view(np.int64).ravel()
+    if kind < OTHER:
+        bucket |= np.uint64((part & 0xFFFF) << 48).astype(np.int64)
+    sketch = np.zeros(len(rows), np.int64) if kind == PAIR else column(key + 8)
+    return bucket, column(key), sketch, np.full(len(rows), kind, np.int32)
+
+
+def _buckets(bits: int):
     """A task's lines in all their buckets; of a bucket with many of them leaders, the others, and pairs."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    # A bucket is known by its slice and its lowest bits from here on.
+    known = np.uint64(0xFFFF_FFFF_FFFF)
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         node, once = np.unique(np.concatenate([x[0] for x in held]), return_index=True)
-        keys, sketch = np.concatenate([x[1] for x in held], 1)[:, once].ravel(), np.concatenate([x[2] for x in held])[once]
+        keys, sketch = bands(np.concatenate([x[1] for x in held], 1)[:, once])
         held.clear()
-        order = np.argsort(keys, kind="stable")
+        keys = keys.ravel()
+        order = np.argsort(keys)
         key, line = keys[order], order % len(node)
         start, end = _runs(key)
         large = end - start > SMALL
         plain = np.repeat(~large, end - start)
-        out = [(key[plain], node[line[plain]], sketch[line[plain]], LINE)]
+        out: dict[int, list] = {k: [] for k in _ROW_BYTES}
+        out[LINE].append((key[plain], node[line[plain]], sketch[line[plain]]))
         for s, e in zip(start[large].tolist(), end[large].tolist(), strict=True):
-            who = line[s:e]
+            who = np.sort(line[s:e])
             lead, a, b = _star(node[who], sketch[who])
             rest = np.setdiff1d(np.arange(e - s), lead)
-            out += [(key[s:e][x], node[who[x]], sketch[who[x]], kind) for x, kind in ((lead, LEAD), (rest, OTHER))]
-            out.append(_pair_rows(a, b))
-        for at in range(0, len(out), 500):
-            yield _rows(*out[at : at + 500])
+            bucket = key[s] & known | (key[s] >> np.uint64(64 - bits) & np.uint64(0xFFFF)) << np.uint64(48)
+            out[LEAD].append((np.full(len(lead), key[s]), node[who[lead]], sketch[who[lead]]))
+            out[OTHER].append((np.full(len(rest), bucket), node[who[rest]], sketch[who[rest]]))
+            out[PAIR].append(_pair_rows(a, b)[:3])
+        for kind, some in out.items():
+            if some:
+                yield _packed(*(np.concatenate([np.ascontiguousarray(x[i]).view(np.int64) for x in some]) for i in range(3)), kind, bits)
 
-    for b in batches:
-        for _, texts in blocks(b, limit=1 << 18):
-            lines = Lines(texts)
-            node, pick = np.unique(lines.node, return_index=True)
-            if len(pick):
-                order = np.argsort(pick)
-                held.append((node[order], *lines.bands(pick[order])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for _, texts in blocks(b, limit=1 << 17):
+                lines = Lines(texts)
+                node, pick = np.unique(lines.node, return_index=True)
+                if len(pick):
+                    order = np.argsort(pick)
+                    held.append((node[order], lines.minima(pick[order])))
             if sum(len(x[0]) for x in held) > HELD:
-                yield from flush()
-    yield from flush()
+                yield from flush(held)
+        yield from flush(held)
+
+    return run
+
+
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _met(rows: _Rows, final: bool) -> tuple[list, _Rows]:
+    """What the rows of a slice give, and, unless they are all, those to go on with: of large buckets some leaders."""
+    order = np.argsort(rows[0])
+    start, end = _runs(rows[0][order])
+    several = np.repeat(end - start > 1, end - start)
+    pick = order[several]
+    # Lines that several tasks sent are one; a line sent as a leader stands for its kind.
+    pick = pick[np.lexsort((-rows[3][pick], rows[1][pick], rows[0][pick]))]
+    key, node = rows[0][pick], rows[1][pick]
+    once = np.ones(len(pick), bool)
+    once[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, sketch, kind = (x[pick][once] for x in rows)
+    if not len(key):
+        return [], rows
+    start, end = _runs(key)
+    top = np.maximum.reduceat(kind, start)
+    large = (end - start > SMALL) | (top > LINE)
+    out, rest = [], []
+    near = np.repeat(~large, end - start)
+    if final:
+        out.append(_pair_rows(*_close(key[near], node[near], sketch[near].view(np.uint64))))
+    else:
+        alone = order[~several]
+        rest = [tuple(x[alone] for x in rows), (key[near], node[near], sketch[near], kind[near])]
+    for i in np.flatnonzero(large).tolist():
+        who = np.arange(start[i], end[i])
+        if final and top[i] == LINE and len(who) <= WHOLE:
+            who = who[resemble(sketch[who, None].view(np.uint64), sketch[None, who].view(np.uint64)).sum(1) > 1]
+            if len(who) <= SMALL:
+                out.append(_pair_rows(*_close(key[who], node[who], sketch[who].view(np.uint64))))
+                continue
+        lead, a, b = _star(node[who], sketch[who].view(np.uint64))
+        new = who[kind[who] != SENT]
+        out += [(key[new], node[new], sketch[new], OTHER), _pair_rows(a, b)]
+        on = who[lead[:LEADERS]]
+        rest.append((key[on], node[on], sketch[on], np.full(len(on), SENT, np.int32)))
+    return out, rest if final else tuple(np.concatenate(x) for x in zip(*rest, strict=True))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket: pairs, and all lines of large buckets. A bucket may go on in the next batch."""
-    none = np.empty(0, np.int64)
-    rest = (none, none, none, np.empty(0, np.int32))
-
-    def done(rows: tuple, final: bool) -> tuple[list, tuple]:
-        if not len(rows[0]):
-            return [], rows
-        start, end = _runs(rows[0])
-        several = end - start > 1
-        several[-1] = True
-        pick = np.flatnonzero(np.repeat(several, end - start))
-        # Lines that several tasks sent are one; a line sent as a leader stands for its kind.
-        pick = pick[np.lexsort((-rows[3][pick], rows[1][pick], rows[0][pick]))]
-        key, node = rows[0][pick], rows[1][pick]
-        once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node, sketch, kind = (x[pick][once] for x in rows)
-        start, end = _runs(key)
-        large = (end - start > SMALL) | (np.maximum.reduceat(kind, start) > LINE)
-        small = ~large & (end - start > 1)
-        if not final:
-            small[-1] = False
-        near = np.repeat(small, end - start)
-        out = [_pair_rows(*_close(key[near], node[near], sketch[near].view(np.uint64)))]
-        left = slice(start[-1], end[-1])
-        kept = (key[left], node[left], sketch[left], kind[left])
-        for i in np.flatnonzero(large).tolist():
-            s, e = start[i], end[i]
-            lead, a, b = _star(node[s:e], sketch[s:e].view(np.uint64))
-            new = np.arange(s, e)[kind[s:e] != SENT]
-            out += [(key[new], node[new], sketch[new], OTHER), _pair_rows(a, b)]
-            if i == len(start) - 1:
-                on = s + lead[:LEADERS]
-                kept = (key[on], node[on], sketch[on], np.full(len(on), SENT, np.int32))
-        return out, kept
+    """Of pieces sorted by slice: pairs, and the lines of large buckets. A slice may go on in the next batch."""
+    held, size, now = [], 0, None
+
+    def done(final: bool) -> list:
+        nonlocal held, size
+        if not held:
+            return []
+        out, rest = _met(tuple(np.concatenate(x) for x in zip(*held, strict=True)), final)
+        held = [] if final else [rest]
+        # Rows of small buckets alone can't be reduced: then twice as many are held.
+        size = 0 if final else max(0, len(rest[0]) - SLICE_ROWS // 2)
+        return out
 
     for b in batches:
-        new = tuple(b.column(c).to_numpy() for c in ("bucket", "node", "sketch", "kind"))
-        ready = new[3] >= OTHER
-        for kind in (OTHER, PAIR):
-            if (some := new[3] == kind).any():
-                yield _rows((*(x[some] for x in new[:3]), kind))
-        out, rest = done(tuple(np.concatenate([x, y[~ready]]) for x, y in zip(rest, new, strict=True)), False)
+        out = []
+        for part, kind, piece in zip(b.column("slice").to_pylist(), b.column("kind").to_pylist(), b.column("piece"), strict=True):
+            rows = _unpacked(part, kind, np.frombuffer(piece.as_buffer(), np.uint8))
+            if kind >= OTHER:
+                out.append((*rows[:3], kind))
+                continue
+            if part != now:
+                out += done(True)
+                now = part
+            held.append(rows)
+            size += len(rows[0])
+            if size > SLICE_ROWS:
+                out += done(False)
         if out:
             yield _rows(*out)
-    out, _ = done(rest, True)
-    if out:
+    if out := done(True):
         yield _rows(*out)
 
 
@@ -394,23 +489,27 @@ def _meet(least: float):
     return run
 
 
-def _read(words: np.ndarray):
-    """Each line's place and node, and the lower-cased text of a block's distinct lines in the slots."""
-    slots = np.uint64(64 * len(words) - 1)
+def _in(words: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Which nodes the slots hold, as slot_words made them."""
+    slot = node.view(np.uint64) & np.uint64(64 * len(words) - 1)
+    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _read(words: np.ndarray, paired: np.ndarray):
+    """Each line's place and node, and the lower-cased text of a block's distinct lines in the slots; ask: whether paired has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, texts in blocks(b, limit=1 << 18):
                 lines = Lines(texts)
-                slot = lines.node.view(np.uint64) & slots
-                want = (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+                want = _in(words, lines.node)
                 some = np.flatnonzero(want)
                 pick = some[np.unique(lines.node[some], return_index=True)[1]]
                 text, code = np.full(len(want), None, object), lines.code.astype("<u4")
                 for i in pick.tolist():
                     text[i] = code[lines.start[i] : lines.end[i]].tobytes().decode("utf-32-le")
                 ids = b.column("doc_id").slice(row, len(texts)).take(pa.array(lines.doc))
-                yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(lines.number.astype(np.int64)), "node": pa.array(lines.node), "text": pa.array(text, pa.string())})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "line_no": pa.array(lines.number.astype(np.int64)), "node": pa.array(lines.node), "text": pa.array(text, pa.string()), "ask": pa.array(_in(paired, lines.node))})
 
     return run
 
@@ -419,23 +518,28 @@ def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no (from 0), keep_doc_id, keep_line_no, class_size, kept for each line that is not blank."""
     rows = id_text(docs)
     schema = "bucket long, node long, sketch long, kind int"
-    sent = rows.select("text").mapInArrow(_buckets, schema)
-    dealt = sent.repartition(F.when(F.col("kind") < OTHER, F.col("bucket")).otherwise(F.col("node"))).sortWithinPartitions("bucket")
-    met = materialise(dealt.mapInArrow(_candidates, schema))
+    sent = rows.select("text").mapInArrow(_buckets(slice_bits(docs)), "slice long, kind int, piece binary")
+    dealt = sent.repartition("slice").sortWithinPartitions("slice")
+    met = materialise(dealt.mapInArrow(_candidates, "bucket long, node long, sketch long, kind int"))
     pairs = materialise(met.where(F.col("kind") == PAIR).select(F.col("bucket").alias("a"), F.col("node").alias("b")).distinct())
     members = materialise(met.where(F.col("kind") == OTHER).select("bucket", "node", "sketch").distinct())
-    wanted = materialise(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct())
-    read = materialise(rows.mapInArrow(_read(slot_words(wanted)), "doc_id long, line_no long, node long, text string").withColumn("row", F.monotonically_increasing_id()))
-    # The shuffle that makes a line's texts one also brings them to what asks for them, and no other does.
-    lines = read.where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
-    sent = materialise(lines.join(materialise(asked_texts(pairs, members.select("node").distinct())), "node"))
-    paired = sent.where("b is not null").select("a", "b", "copy", "text").repartition("b", "copy")
-    edges = materialise(paired.sortWithinPartitions("b", "copy", F.col("a").asc_nulls_first()).mapInArrow(_similar(least), "a long, b long"))
-    texts = sent.where("b is null").select("node", "text")
+    forget(met)
+    paired = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = slot_words(materialise(paired.unionByName(members.select("node")).distinct()))
+    read = rows.mapInArrow(_read(wanted, slot_words(paired)), "doc_id long, line_no long, node long, text string, ask boolean")
+    read = materialise(read.withColumn("row", F.monotonically_increasing_id()))
+    # The shuffle that makes a line's texts one also brings them to the pairs that ask for them.
+    lines = read.where("ask and text is not null").groupBy("node").agg(F.first("text").alias("text"))
+    sent = materialise(lines.join(materialise(asked_texts(pairs)), "node")).select("a", "b", "copy", "text")
+    sorted_ = sent.repartition("b", "copy").sortWithinPartitions("b", "copy", F.col("a").asc_nulls_first())
+    edges = materialise(sorted_.mapInArrow(_similar(least), "a long, b long"))
+    forget(sent)
     label = materialise(components(edges))
-    # In a large bucket a line has met one leader only.
+    # In a large bucket a line has met one leader only. Few of its lines are still apart from one that they resemble.
     apart = units_apart(members, label, BLOCK)
     met = materialise(apart.repartition("unit").sortWithinPartitions("unit").mapInArrow(_needed, apart.schema))
+    texts = matching(read.where("text is not null").select("node", "text"), materialise(met.select("node").distinct()), "node")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     found = materialise(dealt_units(met, texts).mapInArrow(_meet(least), "a long, b long"))
     if found.limit(1).count():
         label = materialise(joined(label, found))
@@ -443,6 +547,10 @@ def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     few = F.broadcast(label) if label.count() <= BROADCAST_LABELS else label
     places = read.select("doc_id", "line_no", "row", "node").join(few, "node", "left")
     places = materialise(places.select("doc_id", "line_no", "row", F.coalesce("component", "node").alias("class")))
+    forget(read)
     first = F.min(F.struct("doc_id", "line_no", "row")).alias("first")
-    best = materialise(places.groupBy("class").agg(first, F.count(F.lit(1)).alias("class_size")))
-    return places.join(best, "class").select("doc_id", "line_no", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), "class_size", (F.col("first.row") == F.col("row")).alias("kept"))
+    best = materialise(places.groupBy("class").agg(first, F.count(F.lit(1)).alias("class_size")).where("class_size > 1"))
+    alone = F.col("first").isNull()
+    of = lambda c: F.when(alone, F.col(c)).otherwise(F.col(f"first.{c}"))
+    kept = alone | (F.col("first.row") == F.col("row"))
+    return places.join(best, "class", "left").select("doc_id", "line_no", of("doc_id").alias("keep_doc_id"), of("line_no").alias("keep_line_no"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), kept.alias("kept"))

@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from kestrace.llm.decontam import Item, answer_of, confirm, contaminated, drop_contaminated, latent_space, words_of
 from kestrace.llm.graph import components
+from kestrace.llm import line_dedup
 from kestrace.llm.line_dedup import line_classes, shingle_set
 from kestrace.llm.near_dedup import aligned, drop_near_copies, kmers, near_classes, sketches
 
@@ -318,6 +320,62 @@ def test_texts_of_lines_are_shuffled_once_for_all_pairs(spark, make):
     assert sent < 4.5 * sum(map(len, lines))  # twice by the repartition of this test
 
 
+def test_rows_of_buckets_are_shuffled_packed(spark, make, tmp_path):
+    """Unlike lines: a row for each of ten bands, and what brings classes to their lines."""
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40)) for _ in range(6000)]
+    make(*((i, "\n".join(lines[i * 60 : i * 60 + 60])) for i in range(100))).coalesce(1).write.parquet(f"{tmp_path}/documents")
+    start = _shuffled(spark)
+    got = line_classes(spark.read.parquet(f"{tmp_path}/documents")).collect()
+    sent = _shuffled(spark) - start
+    assert len(got) == 6000 and all(r.kept and r.class_size == 1 for r in got)
+    assert sent < 300 * len(lines)
+
+
+def _found(batches):
+    """Pairs and members (bucket, node) in batches of _candidates."""
+    rows = [tuple(x) for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("bucket", "node", "kind")), strict=True)]
+    return {(a, b) for a, b, k in rows if k == line_dedup.PAIR}, {(a, b) for a, b, k in rows if k == line_dedup.OTHER}
+
+
+def test_pieces_of_slices_against_all_lines(words, monkeypatch):
+    """Several tasks' pieces, held as a whole or reduced on the way, link what resembles each other in a bucket."""
+    rng, bits = random.Random(10), 7
+    frame = [rng.choice(words) for _ in range(14)]
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(50)) for _ in range(300)]
+    for _ in range(240):
+        w = list(frame)
+        w[rng.randrange(14)] = rng.choice(words)
+        lines.append(" ".join(w))
+    lines = list(dict.fromkeys(lines))
+    rng.shuffle(lines)
+    sent = [b for at in range(0, len(lines), 60) for b in line_dedup._buckets(bits)(iter([pa.RecordBatch.from_pydict({"text": lines[at : at + 60]})]))]
+    table = pa.Table.from_batches(sent).combine_chunks().sort_by("slice")
+    whole = _found(line_dedup._candidates(iter(table.to_batches())))
+    read = line_dedup.Lines([x.encode() for x in lines])
+    keys, sketch = line_dedup.bands(read.minima(np.arange(len(lines))))
+    of = {int(n): i for i, n in enumerate(read.node)}
+    want = {(i, j) for row in keys for k in Counter(row.tolist()) for at in [np.flatnonzero(row == np.uint64(k))] for i in at for j in at if i < j and line_dedup.unlike(sketch[i], sketch[j]) <= 12 and read.node[i] != read.node[j]}
+    assert len(want) > 1000
+    monkeypatch.setattr(line_dedup, "SLICE_ROWS", 40)
+    for pairs, members in (whole, _found(line_dedup._candidates(iter(table.to_batches(max_chunksize=3))))):
+        met = {tuple(sorted((of[a], of[b]))) for a, b in pairs}
+        by = {}
+        for bucket, node in members:
+            by.setdefault(bucket, []).append(of[node])
+        met |= {(i, j) for who in by.values() for i in who for j in who if i < j}
+        assert want <= met
+
+
+def test_lines_like_no_other_of_a_large_bucket_are_left_out():
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 1 << 62, 40)
+    sketch[7] = sketch[3]
+    rows = (np.full(40, 5), np.arange(40), sketch, np.zeros(40, np.int32))
+    pairs, members = _found([line_dedup._rows(*line_dedup._met(rows, True)[0])])
+    assert pairs == {(7, 3)} and not members
+
+
 def used_alike(n=40):
     """Documents of n topics with a pair of words each that never meet but share their company, an item of n of the first words, and one of their partners."""
     rng = random.Random(6)
